@@ -131,7 +131,11 @@ def explode_candidates(candidates):
 
 
 def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT):
-    """Every candidate pair with its score in tenths and its ownership."""
+    """Every candidate pair with its score in tenths and its ownership.
+
+    Scores leave through ``inline``, which keeps a later filter on them from
+    computing them a second time.
+    """
     features = queries.select(
         "query_id",
         F.col("installation_id").alias("asking_installation"),
@@ -165,8 +169,9 @@ def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT):
             F.col("asked_model"), F.col("vehicle_model"), F.col("asked_power"), F.col("engine_power")
         ),
     )
+    scores = F.array(F.struct(tenths.alias("tenths"), own.alias("is_own")))
     return pairs.join(cases, "case_id").select(
-        "query_id", "case_id", "closed_at", tenths.alias("tenths"), own.alias("is_own")
+        "query_id", "case_id", "closed_at", F.inline(scores)
     )
 
 

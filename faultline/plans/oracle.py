@@ -44,6 +44,19 @@ VIEWS = {
         SELECT *, row_number() OVER (PARTITION BY installation_id ORDER BY ts, event_id)
                     AS violation_count
         FROM usage_log WHERE NOT success""",
+    "ordered": """
+        SELECT installation_id, event_id, ts,
+               row_number() OVER (PARTITION BY installation_id ORDER BY ts, event_id) AS place
+        FROM usage_log""",
+    "walk": f"""
+        SELECT installation_id, event_id, ts, place, TRUE AS admitted, [ts] AS held
+        FROM ordered WHERE place = 1
+        UNION ALL
+        SELECT installation_id, event_id, ts, place, len(live) < {registry.CALL_LIMIT},
+               CASE WHEN len(live) < {registry.CALL_LIMIT} THEN list_append(live, ts) ELSE live END
+        FROM (SELECT o.*, list_filter(w.held, lambda t: t > o.ts - INTERVAL 24 HOURS) AS live
+              FROM walk w JOIN ordered o
+                ON o.installation_id = w.installation_id AND o.place = w.place + 1)""",
     "free_texts": """
         SELECT 'documents' AS source, doc_id AS text_id, text FROM documents
         UNION ALL SELECT 'benchmark', item_id, text FROM benchmark
@@ -155,17 +168,17 @@ def _needs(sql, wanted=None):
     wanted = [] if wanted is None else wanted
     for name, body in VIEWS.items():
         if re.search(rf"\b{name}\b", sql) and name not in wanted:
-            _needs(body, wanted)
+            _needs(body.replace(name, ""), wanted)
             if name not in wanted:
                 wanted.append(name)
     return wanted
 
 
-def with_views(sql, recursive=False):
+def with_views(sql):
     needed = _needs(sql)
     if not needed:
         return sql
-    head = "WITH RECURSIVE " if recursive else "WITH "
+    head = "WITH RECURSIVE " if "walk" in needed else "WITH "
     body = ", ".join(f"{name} AS ({VIEWS[name]})" for name in needed)
     return f"{head}{body} {sql}"
 
@@ -283,6 +296,17 @@ SESSIONS = f"""
           FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous
                 FROM events))"""
 
+CLOSED = f"""
+    HAVING max(ts) + INTERVAL {views.CHUNK_GAP} <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE"""
+
+GATED = f"""
+    SELECT id, fate, CASE WHEN fate = 'rejected' THEN reason END AS reason
+    FROM (SELECT *, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN power = '2-HIGH' THEN 'queued'
+                         ELSE 'accepted' END AS fate
+          FROM (SELECT id, power, {CASE_REASON} AS reason
+                FROM (SELECT * REPLACE (CASE WHEN power = '2-HIGH' THEN ' ' ELSE model END AS model),
+                             {TRIMMED.replace('text', 'description')} AS trimmed FROM docs)))"""
+
 STATEMENTS = {
     "s1_read_cases": "SELECT CAST(event_id AS VARCHAR) AS row_id, event_type AS row_status, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "s2_read_corpus": "SELECT id, installation_id, brand AS vehicle_brand, model AS vehicle_model, mileage, closed_at, array_to_string(symptoms, '|') AS symptoms, array_to_string(codes, '|') AS codes FROM corpus",
@@ -583,6 +607,24 @@ STATEMENTS = {
         FROM asked q LEFT JOIN blocks b ON b.query_id = q.id""",
 }
 
+STATEMENTS |= {
+    "t1_debounced_last_write": f"""
+        SELECT CAST(user_id AS VARCHAR) AS case_id, arg_max(event_type || '-' || event_id, ts) AS data,
+               max(ts) AS edited_at, count(*) AS n_edits
+        FROM ({SESSIONS}) GROUP BY user_id, response_start {CLOSED}""",
+    "t2_idempotent_ingest": STATEMENTS["s3_insert_if_absent"],
+    "t2_without_recent_repeats": "SELECT DISTINCT l_orderkey AS installation_id, l_linenumber AS local_id FROM lineitem",
+    "t3_stream_rate_limit": "SELECT event_id, installation_id, admitted FROM walk",
+    "t3_batch_admission": "SELECT event_id, installation_id, admitted FROM walk",
+    "t4_stream_chunk_assembly": f"""
+        SELECT CAST(user_id AS VARCHAR) AS port, string_agg(event_type, '' ORDER BY ts, event_id) AS raw,
+               response_start, count(*) AS n_chunks
+        FROM ({SESSIONS}) GROUP BY user_id, response_start {CLOSED}""",
+    "t5_stream_search": STATEMENTS["j3_search_top5"],
+    "t6_stream_quality_gate": GATED,
+    "t7_stream_violations": STATEMENTS["s9_violation_alerts"],
+}
+
 
 def oracle_sql():
     return {name: with_views(sql) for name, sql in STATEMENTS.items()}

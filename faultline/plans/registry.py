@@ -8,6 +8,7 @@ from faultline.functions import similarity as sim
 from faultline.functions.answers import join_blocks
 from faultline.functions.text import join_texts
 from faultline.operators import (
+    admission,
     answers,
     cases,
     catalog,
@@ -21,7 +22,10 @@ from faultline.operators import (
     search,
 )
 from faultline.plans import views
+from faultline.session import scratch_path, stage
 from faultline.sources import readers
+from faultline.streaming import jobs as streams
+from faultline.streaming.sinks import run_available
 
 QUERIES = {}
 AS_OF = "2024-01-20 00:00:00"
@@ -354,7 +358,12 @@ def v10_active_brands(spark, sf_dir):
 
 
 def _search_inputs(spark, sf_dir):
-    return views.case_queries(spark, sf_dir), views.case_corpus(spark, sf_dir)
+    """Open and closed cases, both from one written case table.
+
+    A search reads each side several times; building the cases takes five joins.
+    """
+    rows = stage(views.case_rows(spark, sf_dir), "cases")
+    return views.as_queries(rows), views.closed(rows)
 
 
 @query
@@ -751,3 +760,126 @@ def j2_self_similarity(spark, sf_dir):
         ),
     )
     return rows.select("id", (tenths / 10).alias("score"))
+
+
+# --- streams ----------------------------------------------------------------
+
+
+def stream_of(spark, sf_dir, name):
+    """A table replayed as a stream of files."""
+    schema = views.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def timed(rows, ts="ts"):
+    """Event time as an instant, which watermarks need."""
+    return rows.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
+def appended(spark, rows, name):
+    """Run a stream to its end into a file table and read that back."""
+    path = scratch_path(spark, name)
+    writer = rows.writeStream.format("parquet").option("path", path)
+    run_available(writer, f"{path}-checkpoint")
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def batches(spark, writer, path, schema):
+    """Run a per-batch writer to its end and read what it wrote."""
+    run_available(writer, f"{path}-checkpoint")
+    return spark.read.schema(schema).parquet(path).drop("batch_id")
+
+
+@query
+def t1_debounced_last_write(spark, sf_dir):
+    edits = timed(views.as_chunks(stream_of(spark, sf_dir, "events")))
+    data = F.concat("chunk", F.lit("-"), F.col("seq").cast("string"))
+    bursts = streams.debounced_last_write(
+        edits.select(F.col("port").alias("case_id"), "ts", data.alias("data")),
+        "case_id", "ts", "data", views.CHUNK_GAP,
+    )
+    return appended(spark, bursts, "edits").withColumn(
+        "edited_at", F.col("edited_at").cast("timestamp_ntz")
+    )
+
+
+@query
+def t2_idempotent_ingest(spark, sf_dir):
+    rows = views.as_versions(stream_of(spark, sf_dir, "lineitem"))
+    path = scratch_path(spark, "corpus")
+    writer = streams.ingest_writer(rows, path, ["l_linestatus", *views.VERSION_ORDER])
+    return batches(spark, writer, path, rows.schema)
+
+
+@query
+def t2_without_recent_repeats(spark, sf_dir):
+    rows = timed(views.as_versions(stream_of(spark, sf_dir, "lineitem")), "l_shipdate")
+    unique = streams.without_recent_repeats(rows, "l_shipdate")
+    return appended(spark, unique.select(*merges.KEY), "unique")
+
+
+@query
+def t3_stream_rate_limit(spark, sf_dir):
+    attempts = timed(views.as_usage(stream_of(spark, sf_dir, "events")))
+    judged = streams.rate_limit(attempts, "installation_id", "ts", ["event_id"], CALL_LIMIT)
+    return appended(spark, judged, "admitted").select("event_id", "installation_id", "admitted")
+
+
+@query
+def t3_batch_admission(spark, sf_dir):
+    admitted = admission.admit(
+        views.usage_log(spark, sf_dir), "installation_id", "ts", ["event_id"], CALL_LIMIT, limits.DAY
+    )
+    return admitted.select("event_id", "installation_id", "admitted")
+
+
+@query
+def t4_stream_chunk_assembly(spark, sf_dir):
+    chunks = timed(views.as_chunks(stream_of(spark, sf_dir, "events")))
+    responses = streams.assemble_chunks(chunks, "port", "ts", ["seq"], "chunk", views.CHUNK_GAP)
+    return appended(spark, responses, "responses").withColumn(
+        "response_start", F.col("response_start").cast("timestamp_ntz")
+    )
+
+
+@query
+def t5_stream_search(spark, sf_dir):
+    path = scratch_path(spark, "cases")
+    views.case_rows(spark, sf_dir).write.parquet(path)
+    rows = spark.read.parquet(path)
+    arriving = spark.readStream.schema(rows.schema).parquet(path)
+    hits_path = scratch_path(spark, "hits")
+    writer = streams.search_writer(
+        views.as_queries(arriving), lambda session: views.closed(session.read.parquet(path)), hits_path
+    )
+    schema = "query_id string, hit_rank int, case_id string, score double, is_own boolean"
+    return batches(spark, writer, hits_path, schema)
+
+
+@query
+def t6_stream_quality_gate(spark, sf_dir):
+    path = scratch_path(spark, "documents")
+    documents = views.case_documents(spark, sf_dir)
+    # A blank model passes the case rules but not the table constraints.
+    blank = F.when(F.col("vehicle.enginePower") == "2-HIGH", F.lit(" ")).otherwise(F.col("vehicle.model"))
+    documents.withColumn("vehicle", F.col("vehicle").withField("model", blank)).write.parquet(path)
+    arriving = spark.readStream.schema(documents.schema).parquet(path)
+    out = {name: scratch_path(spark, name) for name in ("accepted", "rejected", "queued")}
+    writer = streams.quality_gate_writer(arriving, *out.values(), now=F.lit("2002-01-01").cast("timestamp"))
+    run_available(writer, f"{out['accepted']}-checkpoint")
+    parts = [
+        spark.read.schema(f"{key} string, reason string").parquet(out[name]).select(
+            F.col(key).alias("id"), F.lit(name).alias("fate"), "reason"
+        )
+        for name, key in [("accepted", "local_id"), ("rejected", "id"), ("queued", "id")]
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def t7_stream_violations(spark, sf_dir):
+    violations = views.as_violations(views.as_usage(stream_of(spark, sf_dir, "events")))
+    path = scratch_path(spark, "violations")
+    writer = streams.violations_writer(violations, path, f"{path}-totals", views.SENDER)
+    schema = "event_id bigint, violation_count bigint, blocked boolean, subject string, body string"
+    return batches(spark, writer, path, schema)

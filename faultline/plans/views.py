@@ -29,7 +29,7 @@ def case_rows(spark, sf_dir):
     )
     signals = lines.groupBy("l_orderkey").agg(
         *[
-            F.array_sort(F.collect_set(source)).alias(name)
+            F.sort_array(F.collect_set(source)).alias(name)
             for source, name in [("p_type", "types"), ("p_brand", "brands"), ("p_name", "names")]
         ]
     )
@@ -63,27 +63,32 @@ def case_rows(spark, sf_dir):
     )
 
 
+def closed(rows):
+    return rows.filter("status = 'F'")
+
+
+def as_queries(rows):
+    """Open cases as flat search queries."""
+    return rows.filter("status = 'O'").select(
+        F.col("id").alias("query_id"),
+        "installation_id",
+        F.col("vehicle_brand").alias("brand"),
+        F.col("vehicle_model").alias("model"),
+        F.col("engine_power").alias("power"),
+        "symptoms",
+        F.col("obd_codes").alias("codes"),
+        F.col("description").alias("text"),
+    )
+
+
 def case_corpus(spark, sf_dir):
     """All closed cases."""
-    return case_rows(spark, sf_dir).filter("status = 'F'")
+    return closed(case_rows(spark, sf_dir))
 
 
 def case_queries(spark, sf_dir):
     """All open cases, as flat search queries."""
-    return (
-        case_rows(spark, sf_dir)
-        .filter("status = 'O'")
-        .select(
-            F.col("id").alias("query_id"),
-            "installation_id",
-            F.col("vehicle_brand").alias("brand"),
-            F.col("vehicle_model").alias("model"),
-            F.col("engine_power").alias("power"),
-            "symptoms",
-            F.col("obd_codes").alias("codes"),
-            F.col("description").alias("text"),
-        )
-    )
+    return as_queries(case_rows(spark, sf_dir))
 
 
 def _message(kind, suffix, symptoms, codes, text, result=None, tokens=None):
@@ -170,9 +175,9 @@ def case_messages(spark, sf_dir):
     )
 
 
-def line_versions(spark, sf_dir):
+def as_versions(lines):
     """Order lines as repeated versions of a keyed row; earlier loads have status F."""
-    return table(spark, sf_dir, "lineitem").select(
+    return lines.select(
         F.col("l_orderkey").alias("installation_id"),
         F.col("l_linenumber").alias("local_id"),
         "l_linestatus",
@@ -187,6 +192,10 @@ def line_versions(spark, sf_dir):
     )
 
 
+def line_versions(spark, sf_dir):
+    return as_versions(table(spark, sf_dir, "lineitem"))
+
+
 VERSION_ORDER = [
     "l_shipdate",
     "l_partkey",
@@ -199,9 +208,9 @@ VERSION_ORDER = [
 ]
 
 
-def usage_log(spark, sf_dir):
+def as_usage(events):
     """Events as model calls; an error event is a failed call."""
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         text_id("user_id").alias("installation_id"),
         "ts",
@@ -212,19 +221,23 @@ def usage_log(spark, sf_dir):
     )
 
 
-def violation_log(spark, sf_dir):
-    return (
-        usage_log(spark, sf_dir)
-        .filter("NOT success")
-        .select(
-            "event_id",
-            "installation_id",
-            F.col("model").alias("reason"),
-            F.col("ts").alias("created_at"),
-        )
+def usage_log(spark, sf_dir):
+    return as_usage(table(spark, sf_dir, "events"))
+
+
+def as_violations(usage):
+    return usage.filter("NOT success").select(
+        "event_id",
+        "installation_id",
+        F.col("model").alias("reason"),
+        F.col("ts").alias("created_at"),
     )
 
 
+def violation_log(spark, sf_dir):
+    return as_violations(usage_log(spark, sf_dir))
+
+
 def session_rows(spark, sf_dir):
     """Events as session rows with a JSON document."""
     return table(spark, sf_dir, "events").select(
@@ -314,7 +327,7 @@ def catalog_items(spark, sf_dir):
         table(spark, sf_dir, "orders")
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_nationkey")
-        .agg(F.array_sort(F.collect_set("o_orderpriority")).alias("powers"))
+        .agg(F.sort_array(F.collect_set("o_orderpriority")).alias("powers"))
     )
     brand = [
         F.col("r_name").alias("brand"),
@@ -353,14 +366,20 @@ def symptom_catalog(spark, sf_dir):
     )
 
 
-def chunks(spark, sf_dir):
+def as_chunks(events):
     """Events as serial chunks of a port."""
-    return table(spark, sf_dir, "events").select(
-        text_id("user_id").alias("port"), "ts", F.col("event_id").alias("seq"),
+    return events.select(
+        text_id("user_id").alias("port"),
+        "ts",
+        F.col("event_id").alias("seq"),
         F.col("event_type").alias("chunk"),
     )
 
 
+def chunks(spark, sf_dir):
+    return as_chunks(table(spark, sf_dir, "events"))
+
+
 CHUNK_GAP = "10 minutes"
 CHUNK_LIMIT = "12 minutes"
 

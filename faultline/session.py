@@ -49,3 +49,14 @@ def ensure_checkpoint_dir(spark):
 def scratch_path(spark, name):
     """A fresh path inside the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def stage(df, name):
+    """Write a table that several branches of a plan read, and read it back.
+
+    This also cuts lineage, and survives the loss of executors.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
