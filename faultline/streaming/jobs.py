@@ -147,7 +147,7 @@ def violations_writer(violations, path, totals_path, sender, key="installation_i
 
     def number(batch, batch_id):
         spark = batch.sparkSession
-        totals_schema = StructType([violations.schema[key]]).add("before", "bigint")
+        totals_schema = StructType([violations.schema[key]]).add("before", "long")
         # The newest snapshot is enough; every snapshot holds all installations.
         totals = read_before(spark, f"{totals_path}/of={batch_id - 1}", totals_schema, batch_id)
         numbered = (
