@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
 from faultline.functions import answers as fn
+from faultline.functions.once import once
 from faultline.functions.text import empty_to_null
 
 
@@ -12,20 +13,18 @@ def parse_answers(rows, raw="raw"):
 
     The repair runs only for rows whose text is not valid JSON.
     """
-    text = F.col("_text")
-    staged = (
-        rows.withColumn("_text", fn.from_first_brace(F.col(raw)))
-        .withColumn("_ok", F.coalesce(fn.is_json(text), F.lit(False)))
-        .withColumn("_fixed", F.when(~F.col("_ok"), fn.repaired(text)))
-        .withColumn("_fixed", F.when(fn.is_json(F.col("_fixed")), F.col("_fixed")))
+    text, whole = fn.from_first_brace(F.col(raw)), F.col("_whole")
+    judged = rows.select("*", once(_ok=F.coalesce(fn.is_json(text), F.lit(False))))
+    fixed = judged.select(
+        "*", once(_whole=F.when(F.col("_ok"), text).otherwise(fn.repaired(text)))
     )
-    return staged.select(
+    usable = F.col("_ok") | F.coalesce(fn.is_json(whole), F.lit(False))
+    return fixed.select(
         *rows.columns,
-        fn.to_answer(F.when(F.col("_ok"), text).otherwise(F.col("_fixed"))).alias("result"),
-        F.when(F.col("_ok"), "ok")
-        .when(F.col("_fixed").isNotNull(), "repaired")
-        .otherwise("failed")
-        .alias("status"),
+        once(
+            result=fn.to_answer(F.when(usable, whole)),
+            status=F.when(F.col("_ok"), "ok").when(usable, "repaired").otherwise("failed"),
+        ),
     )
 
 

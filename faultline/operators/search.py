@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
 from faultline.functions import similarity as sim
+from faultline.functions.once import once
 from faultline.functions.text import empty_to_null, or_empty
 from faultline.operators.recency import newest_per_key, recency_key
 from faultline.operators.skew import join_spreading_hot_keys
@@ -131,11 +132,7 @@ def explode_candidates(candidates):
 
 
 def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT):
-    """Every candidate pair with its score in tenths and its ownership.
-
-    Scores leave through ``inline``, which keeps a later filter on them from
-    computing them a second time.
-    """
+    """Every candidate pair with its score in tenths and its ownership."""
     features = queries.select(
         "query_id",
         F.col("installation_id").alias("asking_installation"),
@@ -169,9 +166,8 @@ def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT):
             F.col("asked_model"), F.col("vehicle_model"), F.col("asked_power"), F.col("engine_power")
         ),
     )
-    scores = F.array(F.struct(tenths.alias("tenths"), own.alias("is_own")))
     return pairs.join(cases, "case_id").select(
-        "query_id", "case_id", "closed_at", F.inline(scores)
+        "query_id", "case_id", "closed_at", once(tenths=tenths, is_own=own)
     )
 
 

@@ -199,7 +199,7 @@ def p3_join_texts(spark, sf_dir):
     texts = F.array(F.col("url"), F.lit(""), F.lit(None).cast("string"), F.col("html"))
     return views.table(spark, sf_dir, "pages").select(
         "page_id",
-        F.length(join_texts(texts, "\n")).alias("n_chars"),
+        F.length(join_texts(texts, "\n")).cast("bigint").alias("n_chars"),
         F.md5(join_texts(texts, "\n")).alias("fingerprint"),
         join_texts(F.array(F.lit(""), F.lit(None).cast("string")), " ").alias("nothing"),
     )
@@ -685,7 +685,7 @@ def g1_parse_answer(spark, sf_dir):
 def g2_join_content_blocks(spark, sf_dir):
     joined = join_blocks(F.col("content"))
     return views.answers(spark, sf_dir).select(
-        "answer_id", F.length(joined).alias("n_chars"), F.md5(joined).alias("fingerprint")
+        "answer_id", F.length(joined).cast("bigint").alias("n_chars"), F.md5(joined).alias("fingerprint")
     )
 
 
