@@ -12,6 +12,11 @@ DIAGNOSIS = "diagnosis"
 
 # Whitespace as JavaScript defines it, as the inside of a regex character class
 WHITESPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+WHITESPACE_CHARACTERS = (
+    "\t\n\x0b\f\r \u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 # Similarity weights, in tenths of a point
 MODEL_TENTHS = 30
@@ -57,7 +62,7 @@ MAX_TOKENS_CAP = 8_000
 BLOCK_AFTER_VIOLATIONS = 3
 
 # Scan-log decoding
-CODE_LETTERS = ["P", "C", "B", "U"]
+CODE_LETTERS = "PCBU"
 REPLY_PREFIX = {"03": "43", "07": "47"}
 ADAPTER_PATTERN = r"(?i)ELM ?327|OBDII"
 CHUNK_SILENCE = "150 milliseconds"

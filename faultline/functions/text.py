@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from faultline.fixed_values import WHITESPACE
+from faultline.fixed_values import WHITESPACE, WHITESPACE_CHARACTERS
 
 
 def strip(text):
     """Trim every kind of whitespace (Spark's own ``trim`` drops only blanks)."""
-    return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    return F.btrim(text, F.lit(WHITESPACE_CHARACTERS))
 
 
 def words(text):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
+from faultline.functions.once import once
 from faultline.functions.signals import (
     distinct_signals,
     input_texts,
@@ -33,11 +34,12 @@ def explode_messages(cases, kind=None, case="id"):
 
 def with_signals(cases):
     """Distinct symptoms and codes over all inputs, in first-occurrence order."""
-    return cases.withColumns(
-        {
-            "symptoms": distinct_signals(F.col("messages"), "symptoms"),
-            "obd_codes": distinct_signals(F.col("messages"), "obdCodes"),
-        }
+    return cases.select(
+        "*",
+        once(
+            symptoms=distinct_signals(F.col("messages"), "symptoms"),
+            obd_codes=distinct_signals(F.col("messages"), "obdCodes"),
+        ),
     )
 
 

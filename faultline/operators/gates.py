@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
 from faultline.functions import quality
+from faultline.functions.once import once
 from faultline.functions.signals import distinct_signals, joined_text
 from faultline.functions.text import is_given, or_empty, strip
 from faultline.operators.limits import tokens_before
@@ -12,17 +13,20 @@ from faultline.operators.limits import tokens_before
 def judge_cases(cases):
     """Add the first failing reason and the first malformed code of each case."""
     messages = F.col("messages")
-    codes = distinct_signals(messages, "obdCodes")
-    reason = quality.case_reason(
-        F.col("resolution"),
-        distinct_signals(messages, "symptoms"),
-        codes,
-        joined_text(messages, " "),
-        F.col("vehicle.model"),
+    signals = cases.select(
+        "*",
+        once(
+            _symptoms=distinct_signals(messages, "symptoms"),
+            _codes=distinct_signals(messages, "obdCodes"),
+            _text=joined_text(messages, " "),
+        ),
     )
-    return cases.withColumns({"reason": reason, "bad_code": quality.first_bad_code(codes)}).withColumn(
-        "bad_code", F.when(F.col("reason") == "bad_code", F.col("bad_code"))
+    reason = quality.case_reason(
+        F.col("resolution"), F.col("_symptoms"), F.col("_codes"), F.col("_text"), F.col("vehicle.model")
     )
+    return signals.select(
+        *cases.columns, once(reason=reason), quality.first_bad_code(F.col("_codes")).alias("bad_code")
+    ).withColumn("bad_code", F.when(F.col("reason") == "bad_code", F.col("bad_code")))
 
 
 def check_constraints(rows):

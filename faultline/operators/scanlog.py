@@ -4,19 +4,23 @@ from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
 from faultline.functions import scan
+from faultline.functions.once import once
 from faultline.operators.cases import new_pending_codes
 from faultline.operators.running import hour_bucket, running
 
 
 def parse_responses(scans):
-    """Codes and error class of each raw response."""
-    lines = scan.clean_lines(F.col("raw"))
-    return scans.withColumns(
-        {
-            "codes": scan.scan_codes(lines, F.col("mode")),
-            "error": scan.scan_error(lines),
-        }
+    """Codes and error class of each raw response; errors and missing data leave no codes."""
+    lines, joined = F.col("_lines"), F.col("_joined")
+    cleaned = scans.select("*", once(_lines=scan.clean_lines(F.col("raw"))))
+    classed = cleaned.select("*", once(_joined=F.array_join(lines, ""))).select(
+        "*", once(error=scan.scan_error(joined))
     )
+    silent = scan.has_no_data(joined) | F.col("error").isNotNull()
+    codes = F.when(silent, F.array().cast("array<string>")).otherwise(
+        scan.scan_codes(lines, F.col("mode"))
+    )
+    return classed.select(*scans.columns, codes.alias("codes"), "error")
 
 
 def read_codes(scans, key="scan_id"):

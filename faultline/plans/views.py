@@ -15,6 +15,16 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows):
+    """Deal out a table that is stored in fewer pieces than there are cores.
+
+    Work that is heavy per row would otherwise leave cores idle; a table of many
+    pieces is left as it is, so nothing is shuffled at scale.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def text_id(column):
     return F.col(column).cast("string")
 
@@ -261,10 +271,12 @@ def free_texts(spark, sf_dir):
         ("customer", F.col("c_custkey"), "c_name"),
     ]
     parts = [
-        table(spark, sf_dir, name).select(
-            F.lit(name).alias("source"),
-            key.cast("bigint").alias("text_id"),
-            F.col(column).alias("text"),
+        spread(
+            table(spark, sf_dir, name).select(
+                F.lit(name).alias("source"),
+                key.cast("bigint").alias("text_id"),
+                F.col(column).alias("text"),
+            )
         )
         for name, key, column in sources
     ]
@@ -286,7 +298,8 @@ def raw_scans(spark, sf_dir):
         F.lit("43 02 "), part, F.lit(" "), supplier,
         F.lit("\r\n43 01 "), part, F.lit(" 00 00 12\r>"),
     )
-    return table(spark, sf_dir, "lineitem").select(
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return spread(table(spark, sf_dir, "lineitem").select(*keys)).select(
         F.col("l_orderkey").alias("scan_id"),
         "l_linenumber",
         "l_partkey",
@@ -298,7 +311,7 @@ def raw_scans(spark, sf_dir):
 
 def order_scans(spark, sf_dir):
     """One stored-code and one pending-code response per order, some of them failing."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     customer, order = hex4(F.col("o_custkey")), hex4(F.col("o_orderkey"))
     price = hex4(F.floor("o_totalprice"))
     urgent = F.col("o_orderpriority")
@@ -443,6 +456,6 @@ def answers(spark, sf_dir):
         F.struct(F.lit(None).cast("string").alias("text")),
         F.struct(body.alias("text")),
     )
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         F.col("p_partkey").alias("answer_id"), kind.alias("kind"), content.alias("content")
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import answers, quality, scan, text
 from faultline.functions import similarity as sim
+from faultline.operators.scanlog import parse_responses
 
 
 @pytest.mark.parametrize(
@@ -62,11 +63,9 @@ def test_clean_lines(value, raw, lines):
         ("NO DATA\rERROR", "03", [], None),
     ],
 )
-def test_parse_response(value, raw, mode, codes, error):
-    lines = scan.clean_lines(F.col("raw"))
-    row, schema = (raw, mode), "raw string, mode string"
-    assert value(scan.scan_codes(lines, F.col("mode")), schema, row) == codes
-    assert value(scan.scan_error(lines), schema, row) == error
+def test_parse_response(table, raw, mode, codes, error):
+    row = parse_responses(table([(raw, mode)], "raw string, mode string")).first()
+    assert (row["codes"], row["error"]) == (codes, error)
 
 
 @pytest.mark.parametrize(
