@@ -7,7 +7,9 @@ header or a model ``label`` with its ``powers``.
 
 from pyspark.sql import functions as F
 
+from faultline.functions.text import or_empty
 from faultline.operators.running import position_bucket, running
+from faultline.operators.skew import join_spreading_hot_keys
 
 
 def catalog_items(catalog):
@@ -41,7 +43,10 @@ def active_brands(items):
 
 
 def brand_lookup(rows, items, brand, default_expertise):
-    """Case-insensitive brand to its expertise text; the earliest entry wins."""
+    """Case-insensitive brand to its expertise text; the earliest entry wins.
+
+    Hot brands are spread by the first column of ``rows``.
+    """
     entries = (
         brands(items)
         .groupBy(F.lower("brand").alias("_brand"))
@@ -50,32 +55,29 @@ def brand_lookup(rows, items, brand, default_expertise):
             F.min_by("expertise", "brand_position").alias("expertise"),
         )
     )
-    return (
-        rows.withColumn("_brand", F.lower(F.col(brand)))
-        .join(entries, "_brand", "left")
-        .select(
-            *rows.columns,
-            "catalog_brand",
-            F.coalesce("expertise", F.lit(default_expertise)).alias("expertise"),
-        )
+    named = rows.withColumn("_brand", F.lower(F.col(brand)))
+    return join_spreading_hot_keys(named, entries, ["_brand"], rows.columns[0], "left").select(
+        *rows.columns,
+        "catalog_brand",
+        F.coalesce("expertise", F.lit(default_expertise)).alias("expertise"),
     )
 
 
 def model_powers(rows, items, model):
-    """Power options of a model: the first brand whose entry lists powers, else none."""
+    """Power options of a model: the first brand whose entry lists powers, else none.
+
+    Hot models are spread by the first column of ``rows``.
+    """
     entries = (
         items.filter(F.col("label").isNotNull())
         .groupBy("label", "brand_position")
         .agg(F.min_by("powers", "position").alias("powers"))
         .filter(F.col("powers").isNotNull())
-        .groupBy(F.col("label").alias("_label"))
+        .groupBy(F.col("label").alias(model))
         .agg(F.min_by("powers", "brand_position").alias("powers"))
     )
-    return (
-        rows.join(entries, F.col(model) == F.col("_label"), "left")
-        .drop("_label")
-        .withColumn("powers", F.coalesce("powers", F.array().cast("array<string>")))
-    )
+    found = join_spreading_hot_keys(rows, entries, [model], rows.columns[0], "left")
+    return found.select(*rows.columns, or_empty(F.col("powers")).alias("powers"))
 
 
 def carry_group_header(items):
@@ -118,7 +120,7 @@ def symptom_category_counts(selected, categories, case="id"):
     """How many selected symptoms of a case fall into each category."""
     chosen = selected.select(case, F.explode("symptoms").alias("symptom"))
     return (
-        chosen.join(categories, "symptom")
+        join_spreading_hot_keys(chosen, categories, ["symptom"], case)
         .groupBy(case, "category")
         .agg(F.count("*").alias("n_selected"))
     )

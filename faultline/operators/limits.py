@@ -10,6 +10,7 @@ from faultline.operators.running import (
     rolling_count,
     running,
 )
+from faultline.operators.skew import join_spreading_hot_keys
 
 DAY = "24 hours"
 
@@ -88,7 +89,7 @@ def tokens_before(messages, case, position, tokens):
 def flag_first_diagnosis(messages, case, position, kind):
     """Mark each case's first diagnosis."""
     firsts = first_position(messages, [case], position, kind == fv.DIAGNOSIS)
-    return messages.join(firsts, case, "left").select(
+    return join_spreading_hot_keys(messages, firsts, [case], position, "left").select(
         *messages.columns,
         F.coalesce(F.col(position) == F.col("first_position"), F.lit(False)).alias("is_first"),
     )

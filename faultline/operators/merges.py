@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from faultline.operators.skew import join_spreading_hot_keys
+
 KEY = ("installation_id", "local_id")
 
 
@@ -65,7 +67,7 @@ def update_by_json_key(sessions, changes, path="$.id", data="data"):
     ``new_updated_at``.
     """
     keyed = sessions.withColumn("doc_key", F.get_json_object(data, path))
-    return keyed.join(changes, "doc_key", "left").select(
+    return join_spreading_hot_keys(keyed, changes, ["doc_key"], "id", "left").select(
         *[c for c in sessions.columns if c not in (data, "status", "updated_at")],
         F.coalesce("new_data", data).alias(data),
         F.coalesce("new_status", "status").alias("status"),
@@ -76,7 +78,8 @@ def update_by_json_key(sessions, changes, path="$.id", data="data"):
 def delete_by_json_key(sessions, doc_keys, path="$.id", data="data"):
     """Drop the rows whose document has one of the keys; rows without a key stay."""
     keyed = sessions.withColumn("doc_key", F.get_json_object(data, path))
-    return keyed.join(doc_keys.select("doc_key"), "doc_key", "left_anti").select(
+    gone = doc_keys.select("doc_key").distinct()
+    return join_spreading_hot_keys(keyed, gone, ["doc_key"], "id", "left_anti").select(
         *sessions.columns
     )
 

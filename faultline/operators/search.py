@@ -125,12 +125,6 @@ def candidate_cases(queries, corpus, limit=fv.CANDIDATE_LIMIT):
     )
 
 
-def explode_candidates(candidates):
-    return candidates.select(
-        "query_id", F.posexplode("case_ids").alias("pos", "case_id")
-    ).select("query_id", (F.col("pos") + 1).alias("candidate_rank"), "case_id")
-
-
 def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT):
     """Every candidate pair with its score in tenths and its ownership."""
     features = queries.select(

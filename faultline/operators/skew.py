@@ -1,5 +1,7 @@
 """Joins against a keyed side when a few keys hold much of the other side."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 10_000
@@ -22,12 +24,22 @@ def hot_keys(df, keys, max_hot=MAX_HOT_KEYS, min_rows=MIN_HOT_ROWS):
 
 
 def join_spreading_hot_keys(
-    big, keyed, keys, spread_on, max_hot=MAX_HOT_KEYS, min_rows=MIN_HOT_ROWS
+    big, keyed, keys, spread_on, how="inner", max_hot=MAX_HOT_KEYS, min_rows=MIN_HOT_ROWS
 ):
-    """Inner join where ``keyed`` has one row per key and ``big`` may be skewed.
+    """Join a side that may be skewed with one that has few rows per key.
 
-    Rows of a hot key are spread over several salted copies of the keyed row.
+    Rows of a hot key are spread over several salted copies of the keyed rows.
+    In a ``left`` or ``left_anti`` join the rows without a key match nothing; they
+    pass by instead of gathering in one task.
     """
+    if how == "inner":
+        return _spread_join(big, keyed, keys, spread_on, how, max_hot, min_rows)
+    has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    joined = _spread_join(big.filter(has_key), keyed, keys, spread_on, how, max_hot, min_rows)
+    return joined.unionByName(big.filter(~has_key), allowMissingColumns=True)
+
+
+def _spread_join(big, keyed, keys, spread_on, how, max_hot, min_rows):
     hot = F.broadcast(hot_keys(big, keys, max_hot, min_rows))
     splits = F.coalesce(F.col("_splits"), F.lit(1))
     left = (
@@ -40,4 +52,4 @@ def join_spreading_hot_keys(
         .withColumn("_part", F.explode(F.sequence(F.lit(0), splits - 1)))
         .drop("_splits")
     )
-    return left.join(right, [*keys, "_part"]).drop("_part")
+    return left.join(right, [*keys, "_part"], how).drop("_part")

@@ -104,8 +104,9 @@ def search_writer(queries, corpus_of, path):
     """Search every new query against the corpus as it is when the batch runs."""
 
     def find(batch, batch_id):
-        hits = search.search(batch, corpus_of(batch.sparkSession))
-        write_batch(hits, path, batch_id)
+        held = batch.persist()
+        write_batch(search.search(held, corpus_of(batch.sparkSession)), path, batch_id)
+        held.unpersist()
 
     return queries.writeStream.foreachBatch(find)
 

@@ -98,7 +98,7 @@ def test_hot_keys_are_spread_without_changing_results(table, monkeypatch):
     # Half of all queries and cases share one code.
     queries = [(*q[:6], ["P0001"], q[7]) if i % 2 else q for i, q in enumerate(queries)]
     corpus = [(*c[:6], ["P0001"], *c[7:]) if i % 2 else c for i, c in enumerate(corpus)]
-    monkeypatch.setattr(skew.join_spreading_hot_keys, "__defaults__", (10_000, 3))
+    monkeypatch.setattr(skew.join_spreading_hot_keys, "__defaults__", ("inner", 10_000, 3))
     expected, _ = plain_search(queries, corpus, 20)
     q, c = table(queries, QUERY), table(corpus, CASE)
     hot = skew.hot_keys(search.query_keys(q), search.POSTING_KEY, min_rows=3).collect()
@@ -112,6 +112,17 @@ def test_hot_keys_are_few_by_definition(table):
     assert skew.hot_keys(rows, ["k"], max_hot=100, min_rows=1).count() == 50
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_spread_join_equals_join(table, how):
+    rows = [(["hot", "warm", None, f"k{i % 9}"][i % 4], i) for i in range(400)]
+    big = table(rows, "k string, n int")
+    keyed = table([("hot", 1), ("warm", 2), ("k0", 3), ("zz", 4), (None, 5)], "k string, v int")
+    got = skew.join_spreading_hot_keys(big, keyed, ["k"], "n", how, min_rows=20)
+    plain = big.join(keyed, "k", how)
+    assert got.count() == plain.count()
+    assert got.select(plain.columns).exceptAll(plain).count() == 0
+
+
 def plan_of(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
