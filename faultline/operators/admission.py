@@ -1,8 +1,9 @@
 """Exact rolling admission, where only admitted rows count against the limit.
 
 The verdict of a row depends on earlier verdicts, so a key is folded in time
-order.  Keys of ordinary size are folded whole.  A larger key is never gathered:
-its time is cut into slices as long as the window, and within a slice
+order.  Keys of ordinary size are folded in one pass.  A larger key would keep one
+task busy for long, so its time is cut into slices as long as the window, and
+within a slice
 
 * earlier admissions free their places at known moments, which split the slice
   into gaps,
@@ -19,38 +20,61 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import functions as F
 
-from faultline.operators.recency import newest_per_key
+from faultline.operators.recency import micros, newest_per_key
 from faultline.operators.skew import MAX_HOT_KEYS
 from faultline.session import stage
 
 MAX_GROUP_ROWS = 100_000
 
 
-def fold_times(times, admitted, limit, length, inclusive):
-    """Verdicts for ascending times; ``admitted`` is the deque of counted times."""
-    verdicts = []
-    for moment in times:
-        horizon = moment - length
-        while admitted and (admitted[0] < horizon or (admitted[0] == horizon and not inclusive)):
-            admitted.popleft()
-        verdicts.append(len(admitted) < limit)
-        if verdicts[-1]:
-            admitted.append(moment)
-    return verdicts
-
-
-def _fold_groups(rows, key, ts, order, limit, length, inclusive):
-    """Fold each key; rows marked ``_prior`` were admitted before and only count."""
-    window = pd.Timedelta(length)
-
-    def fold(group):
-        prior = deque(sorted(group.loc[group["_prior"], ts]))
-        fresh = group[~group["_prior"]].sort_values([ts, *order])
-        verdicts = fold_times(fresh[ts], prior, limit, window, inclusive)
-        return fresh.drop(columns="_prior").assign(admitted=verdicts)
+def length_micros(length):
+    return pd.Timedelta(length) // pd.Timedelta("1us")
+
+
+def judge(held, moment, limit, length, inclusive):
+    """Verdict for a row; ``held`` is the deque of counted times and is kept current.
+
+    Times are microseconds.
+    """
+    horizon = moment - length
+    while held and (held[0] < horizon or (held[0] == horizon and not inclusive)):
+        held.popleft()
+    if len(held) >= limit:
+        return False
+    held.append(moment)
+    return True
+
+
+def _fold(rows, key, ts, order, limit, length, inclusive):
+    """Judge the rows of each key in time order.
+
+    Spark sorts; the rows then stream past with no more than ``limit`` times in
+    memory.  Rows marked ``_prior`` were admitted before and only count.
+    """
+    window = length_micros(length)
+    timed = rows.withColumn("_at", micros(rows, ts))
+
+    def fold(frames):
+        current, held = None, deque()
+        for frame in frames:
+            verdicts = []
+            for name, moment, prior in zip(frame[key], frame["_at"], frame["_prior"]):
+                if name != current:
+                    current, held = name, deque()
+                if prior:
+                    held.append(moment)
+                    verdicts.append(True)
+                else:
+                    verdicts.append(judge(held, moment, limit, window, inclusive))
+            judged = frame.assign(admitted=verdicts)
+            yield judged[~frame["_prior"]].drop(columns=["_prior", "_at"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_prior"]
-    return rows.groupBy(key).applyInPandas(fold, ", ".join([*fields, "admitted boolean"]))
+    return (
+        timed.repartition(key)
+        .sortWithinPartitions(key, "_at", *order)
+        .mapInPandas(fold, ", ".join([*fields, "admitted boolean"]))
+    )
 
 
 def admit(
@@ -63,11 +87,11 @@ def admit(
     n_large = large.count()
     if n_large == 0:
         whole = narrow.withColumn("_prior", F.lit(False))
-        return _fold_groups(whole, key, ts, order, limit, length, inclusive)
+        return _fold(whole, key, ts, order, limit, length, inclusive)
     if n_large <= MAX_HOT_KEYS:
         large = F.broadcast(large)
     ordinary = narrow.join(large, key, "left_anti").withColumn("_prior", F.lit(False))
-    folded = _fold_groups(ordinary, key, ts, order, limit, length, inclusive)
+    folded = _fold(ordinary, key, ts, order, limit, length, inclusive)
     return folded.unionByName(
         _admit_in_slices(
             narrow.join(large, key, "left_semi"), key, ts, order, limit, length, inclusive
@@ -113,5 +137,5 @@ def _admit_slice(rows, before, key, ts, order, limit, length, inclusive):
     candidates = possible.withColumn("_prior", F.lit(False)).unionByName(
         before.withColumn("_prior", F.lit(True))
     )
-    folded = _fold_groups(candidates, key, ts, order, limit, length, inclusive)
+    folded = _fold(candidates, key, ts, order, limit, length, inclusive)
     return folded.filter("admitted").drop("admitted")

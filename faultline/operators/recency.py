@@ -13,12 +13,12 @@ def micros(df, column):
     value = F.col(column)
     if isinstance(df.schema[column].dataType, T.TimestampType):
         return F.unix_micros(value)
-    second = F.extract(F.lit("SECOND"), value)
+    seconds = F.hour(value) * 3600 + F.minute(value) * 60
+    within = F.extract(F.lit("SECOND"), value) * 1_000_000
     return (
         F.unix_date(value.cast("date")) * F.lit(MICROS_PER_DAY)
-        + F.hour(value) * F.lit(3_600_000_000)
-        + F.minute(value) * F.lit(60_000_000)
-        + (second * 1_000_000).cast("bigint")
+        + seconds.cast("bigint") * 1_000_000
+        + within.cast("bigint")
     )
 
 

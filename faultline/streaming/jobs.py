@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from faultline import fixed_values as fv
 from faultline.operators import cases, gates, limits, merges, search
-from faultline.operators.admission import fold_times
+from faultline.operators.admission import judge, length_micros
 from faultline.streaming.sinks import read_before, write_batch
 
 EDIT_DELAY = "1 minute"
@@ -52,29 +52,29 @@ def rate_limit(attempts, key, ts, order, limit, length=limits.DAY, inclusive=Fal
     watermark has passed the last of them by ``length``.  A row that is late by up
     to ``length`` is judged against the state at arrival; an older one is dropped.
     """
-    window = pd.Timedelta(length)
+    window = length_micros(length)
     columns = [key, ts, *order]
     schema = StructType([attempts.schema[c] for c in columns]).add("admitted", "boolean")
 
-    def judge(group, frames, state):
+    def fold(group, frames, state):
         if state.hasTimedOut:
             state.remove()
             return
-        held = deque(pd.to_datetime(list(state.get[0]), unit="us")) if state.exists else deque()
-        rows = pd.concat(list(frames))[columns].sort_values([ts, *order])
-        verdicts = fold_times(rows[ts], held, limit, window, inclusive)
-        state.update(([int(t.value // 1000) for t in held],))
+        held = deque(state.get[0]) if state.exists else deque()
+        rows = pd.concat(list(frames)).sort_values(["_at", *order])
+        verdicts = [judge(held, moment, limit, window, inclusive) for moment in rows["_at"]]
+        state.update(([int(moment) for moment in held],))
         if held:
-            expiry = int((held[-1] + window).value // 1_000_000) + 1
+            expiry = int(held[-1] + window) // 1000 + 1
             state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(admitted=verdicts)
+        yield rows[columns].assign(admitted=verdicts)
 
     return (
-        attempts.select(*columns)
+        attempts.select(*columns, F.unix_micros(ts).alias("_at"))
         .withWatermark(ts, length)
         .groupBy(key)
         .applyInPandasWithState(
-            judge, schema, "admitted array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+            fold, schema, "admitted array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 

@@ -4,12 +4,11 @@ import datetime
 import random
 from collections import deque
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
-from faultline.operators import admission, gates, limits, running, scanlog
+from faultline.operators import admission, gates, limits, recency, running, scanlog
 
 DAY0 = datetime.datetime(2024, 1, 1)
 LOG = "k string, ts timestamp_ntz, id bigint, ok boolean"
@@ -78,6 +77,17 @@ def test_rolling_count(table, inclusive):
         assert r["n"] == expected
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_micros(table, kind):
+    times = [DAY0, datetime.datetime(2024, 5, 6, 23, 59, 59, 999_999), datetime.datetime(1969, 12, 31, 1, 2, 3, 4), None]
+    rows = table([(t,) for t in times], f"ts {kind}")
+    epoch, one = datetime.datetime(1970, 1, 1), datetime.timedelta(microseconds=1)
+    expected = [None if t is None else (t - epoch) // one for t in times]
+    assert [r[0] for r in rows.select(recency.micros(rows, "ts")).collect()] == expected
+    keys = [r[0] for r in rows.select(recency.recency_key(rows, "ts")).collect()]
+    assert keys == [-(1 << 63) if e is None else -e for e in expected]
+
+
 def plain_admission(rows, limit, inclusive):
     day, held, verdicts = datetime.timedelta(hours=24), {}, {}
     for k, ts, i, _ in sorted(rows, key=lambda r: (r[1], r[2])):
@@ -103,13 +113,13 @@ def test_large_key_folds_few_rows(table, monkeypatch):
     """What reaches the fold is bounded by the limit, not by the rows of the key."""
     rows = [("hot", DAY0 + datetime.timedelta(seconds=7 * i), i, True) for i in range(20_000)]
     sizes = []
-    original = admission._fold_groups
+    original = admission._fold
 
     def counting(frame, *args):
         sizes.append(frame.count())
         return original(frame, *args)
 
-    monkeypatch.setattr(admission, "_fold_groups", counting)
+    monkeypatch.setattr(admission, "_fold", counting)
     got = admission.admit(table(rows, LOG), "k", "ts", ["id"], 3, "24 hours", max_group=100)
     verdicts = {r["id"]: r["admitted"] for r in got.collect()}
     assert verdicts == plain_admission(rows, 3, False)
@@ -118,9 +128,10 @@ def test_large_key_folds_few_rows(table, monkeypatch):
 
 def test_fold_state_stays_within_limit():
     held = deque()
-    times = [pd.Timestamp(DAY0) + pd.Timedelta(minutes=i) for i in range(500)]
-    admission.fold_times(times, held, 4, pd.Timedelta("1 hour"), False)
-    assert len(held) <= 4
+    hour = admission.length_micros("1 hour")
+    for minute in range(500):
+        admission.judge(held, minute * 60_000_000, 4, hour, False)
+        assert len(held) <= 4
 
 
 MESSAGES = "c string, pos int, type string, text string, symptoms array<string>, obdCodes array<string>, tokens bigint"
