@@ -255,7 +255,7 @@ def test_is_json(value, document, expected):
     assert value(answers.is_json(F.lit(document))) is expected
 
 
-def reference_cut(document):
+def plain_cut(document):
     """Plain restatement of the cut rule, character by character."""
     depth, quoted, escaped, last = 0, False, False, -1
     for i, char in enumerate(document):
@@ -282,5 +282,5 @@ def test_complete_length_against_restatement(spark):
     documents = ["".join(picker.choices(pool, k=picker.randint(0, 40))) for _ in range(3000)]
     rows = spark.createDataFrame([(d,) for d in documents], "d string").repartition(8)
     got = rows.select("d", answers.complete_length(F.col("d")).alias("n")).collect()
-    wrong = [(r.d, r.n, reference_cut(r.d)) for r in got if r.n != reference_cut(r.d)]
+    wrong = [(r.d, r.n, plain_cut(r.d)) for r in got if r.n != plain_cut(r.d)]
     assert not wrong, wrong[:3]
