@@ -68,7 +68,7 @@ class Forest:
         points = self.lifted(sample)
         for _ in range(trees if len(points) else 0):
             self.roots.append(self._grow(points, np.arange(len(points)), draw))
-        self.planes = np.array(self.planes).reshape(len(self.offsets), -1)
+        self.planes = np.array(self.planes).reshape(len(self.offsets), points.shape[1])
         self.offsets = np.array(self.offsets)
 
     def lifted(self, vectors):
@@ -152,12 +152,13 @@ def calibrate(forest, sample, k=NEIGHBOURS, recall=RECALL, trials=TRIALS):
 
 
 def fit(rows, sample=SAMPLE, k=NEIGHBOURS):
-    """(forest, effort, sample matrix) for the usable vectors."""
-    longest = rows.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
-    matrix = np.array([r["v"] for r in drawn.select("v").collect()], float).reshape(-1, 1 if longest is None else len(drawn.first()["v"]))
-    ids = np.array([r["vec_id"] for r in drawn.select("vec_id").collect()])
-    forest = Forest(matrix, longest or 0.0)
+    """(forest, effort, sample matrix, sample ids) for the usable vectors."""
+    squares = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
+    longest = rows.agg(F.sqrt(F.max(squares))).first()[0] or 0.0
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    ids = np.array([row["vec_id"] for row in drawn], np.int64)
+    matrix = np.array([row["v"] for row in drawn], float).reshape(len(drawn), -1 if drawn else 1)
+    forest = Forest(matrix, longest)
     return forest, calibrate(forest, matrix, k), matrix, ids
 
 

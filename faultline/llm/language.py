@@ -39,7 +39,7 @@ LENGTHS = (3, 4)
 SLICE = 1 << 20
 UNKNOWN = "und"
 #: Documents of the pipeline with a smaller score are rejected.
-MIN_SCORE = 0.3
+MIN_SCORE = 0.15
 
 _LETTER = np.zeros(0, bool)
 

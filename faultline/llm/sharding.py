@@ -61,18 +61,21 @@ def balance(sizes, shards=SHARDS):
 def rebalance(owner, sizes, shards):
     """The map edited for ``shards`` shards: shards above the mean give slots to those below.
 
-    A slot moves only if that brings the two shards closer together.
+    New shards only receive, and slots of shards that are gone go to the smallest.  Else
+    a slot moves only if that brings the two shards closer together.
     """
     held = dict.fromkeys(range(shards), 0)
     for slot, shard in owner.items():
         held[shard] = held.get(shard, 0) + sizes[slot][0]
     mean = sum(held.values()) / shards
+    fresh = set(range(shards)) - set(owner.values())
+    shrinks = any(shard >= shards for shard in owner.values())
     edited = dict(owner)
     for slot in sorted(owner, key=lambda s: (-sizes[s][0], s)):
         here, size = owner[slot], sizes[slot][0]
-        there = min(range(shards), key=lambda s: (held[s], s))
-        leaves = here >= shards
-        if leaves or (held[here] > mean and held[here] - size >= mean - size / 2 and held[there] + size <= mean + size / 2 and size):
+        there = min(fresh or range(shards), key=lambda s: (held[s], s))
+        closer = size > 0 and held[here] - mean >= size / 2 and mean - held[there] >= size / 2
+        if here >= shards or (closer and not shrinks):
             edited[slot] = there
             held[here] -= size
             held[there] += size

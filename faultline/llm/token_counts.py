@@ -39,7 +39,12 @@ def _library(file):
 @lru_cache(2)
 def _cache(file):
     library = _library(file)
-    return Memo(lambda word: len(library.encode(word)))
+    return Memo(lambda word: word_tokens(library, word))
+
+
+def word_tokens(library, word):
+    """Tokens of a word behind a blank; without a word, of the blank itself."""
+    return len(library.encode(word)) if word else 1
 
 
 def words(text):
@@ -76,7 +81,7 @@ def frequent_words(docs, file, sample_docs=SAMPLE_DOCS, size=TABLE_WORDS):
     parts = text_columns(sample, {"word": "array<string>", "n": "array<long>"}, _sample_words)
     for row in parts.select("word", "n").toLocalIterator():
         seen.update(dict(zip(row["word"], row["n"], strict=True)))
-    return {word: len(library.encode(word)) for word, _ in seen.most_common(size)}
+    return {word: word_tokens(library, word) for word, _ in seen.most_common(size)}
 
 
 def token_counts(docs, model=None, limit=LIMIT):
