@@ -38,21 +38,25 @@ ARROW = {
 }
 
 
-def text_columns(df, columns, compute):
-    """``df`` without its column ``text`` but with ``columns`` made from it.
+def _values(column):
+    return column.to_pylist()
+
+
+def text_columns(df, columns, compute, source="text", rows=_values):
+    """``df`` without its column ``text`` (or ``source``) but with ``columns`` made from it.
 
     ``columns`` maps names to types; ``compute`` gets the texts of a batch and gives
     one list for each column.  Other columns pass unchanged, nulls included.
     """
     small_batches(df.sparkSession)
-    rest = [name for name in df.columns if name != "text"]
+    rest = [name for name in df.columns if name != source]
     shape = T.StructType([df.schema[name] for name in rest])
     for name, kind in columns.items():
         shape = shape.add(name, T.DataType.fromDDL(kind))
 
     def run(batches):
         for batch in batches:
-            made = compute(batch.column("text").to_pylist())
+            made = compute(rows(batch.column(source)))
             arrays = [batch.column(name) for name in rest]
             arrays += [
                 pa.array(values, ARROW[kind])
@@ -60,7 +64,7 @@ def text_columns(df, columns, compute):
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[*rest, *columns])
 
-    return df.select(*rest, "text").mapInArrow(run, shape)
+    return df.select(*rest, source).mapInArrow(run, shape)
 
 
 def blank_cut(text):

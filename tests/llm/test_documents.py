@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 import public_tokenizers
 from faultline.llm import bpe, language, line_rules, packing, pii, sharding, simhash, token_counts, vocab
+from faultline.llm.base import stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -406,7 +407,7 @@ def plain_encoder():
 @pytest.mark.parametrize("block", [bpe.BLOCK_BYTES, 5000])
 def test_bpe_round_trip(docs, rows, block):
     coder = plain_encoder()
-    encoded = bpe.encode(docs, block_bytes=block)
+    encoded = stage(bpe.encode(stage(docs, "docs"), block_bytes=block), "encoded")
     found = Counter((r["doc_id"], tuple(r["ids"])) for r in encoded.collect())
     assert found == Counter((r[0], tuple(coder.encode_ordinary(r[1] or ""))) for r in rows)
     back = Counter((r["doc_id"], r["text"]) for r in bpe.decode(encoded).collect())
@@ -437,7 +438,7 @@ def test_empty_tables(no_docs):
     assert packing.pack(packing.pieces(no_docs)).count() == 0
     assert token_counts.token_counts(ids).count() == 0
     assert sharding.shard(no_docs)[0].count() == 0
-    assert bpe.digests(bpe.encode(no_docs)).count() == 0
+    assert bpe.digests(bpe.encode(stage(no_docs, "none"))).count() == 0
 
 
 def test_pipeline_stages_follow_each_other(spark, docs):
