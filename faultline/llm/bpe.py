@@ -62,15 +62,19 @@ class Block:
     def __init__(self, key, buckets):
         self.key, self.buckets = key, buckets
         self.words, self.rows, self.size = {}, [], 0
-        self.heads = Memo(lambda chunk: self._places(pre_tokens(chunk)))
-        # letters alone are one pre-token with their blank
-        self.rest = Memo(
-            lambda word: self._places([f" {word}"] if word.isalpha() else pre_tokens(f" {word}"))
-        )
+        # the block's size bounds both caches
+        self.heads = Memo(self._places, entries=float("inf"))
+        self.rest = Memo(self._rest_places, entries=float("inf"))
+
+    def _place(self, word):
+        return self.words.setdefault(word, len(self.words)).to_bytes(4, "little")
 
-    def _places(self, words):
-        number = self.words.setdefault
-        return np.array([number(w, len(self.words)) for w in words], "<u4").tobytes()
+    def _places(self, chunk):
+        return b"".join(map(self._place, pre_tokens(chunk)))
+
+    def _rest_places(self, word):
+        # letters alone are one pre-token with their blank
+        return self._place(f" {word}") if word.isalpha() else self._places(f" {word}")
 
     def add(self, doc_id, text, keep):
         first, rest = blank_cut(text)
