@@ -1,6 +1,6 @@
 """Nearest neighbours by inner product with a forest of random-projection trees.
 
-Trees are fitted on a bounded sample of at most ``SAMPLE`` vectors: a node's hyperplane lies
+Trees are fitted on about ``SAMPLE`` vectors (at most twice that) drawn by the hash of the id: a node's hyperplane lies
 between two random members, at the median projection.  Every vector is indexed under
 its leaf in each tree.  A query walks all trees through one priority queue ordered by its
 margin to the hyperplanes and takes leaves until its effort is spent.  Leaf candidates
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from faultline.llm.base import stage
+from faultline.llm.base import drawn, stage
 
 SAMPLE = 8000
 TREES = 12
@@ -155,9 +155,9 @@ def fit(rows, sample=SAMPLE, k=NEIGHBOURS):
     """(forest, effort, sample matrix, sample ids) for the usable vectors."""
     squares = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
     longest = rows.agg(F.sqrt(F.max(squares))).first()[0] or 0.0
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    ids = np.array([row["vec_id"] for row in drawn], np.int64)
-    matrix = np.array([row["v"] for row in drawn], float).reshape(len(drawn), -1 if drawn else 1)
+    taken = drawn(rows, sample, "vec_id").sort("vec_id").collect()
+    ids = np.array([row["vec_id"] for row in taken], np.int64)
+    matrix = np.array([row["v"] for row in taken], float).reshape(len(taken), -1 if taken else 1)
     forest = Forest(matrix, longest)
     return forest, calibrate(forest, matrix, k), matrix, ids
 

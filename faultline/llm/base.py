@@ -3,11 +3,12 @@
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.session import stage
 
-__all__ = ["Memo", "blank_cut", "read", "small_batches", "stage", "text_columns"]
+__all__ = ["Memo", "blank_cut", "drawn", "read", "small_batches", "stage", "text_columns"]
 
 #: Rows in one Arrow batch of texts: bounds what a Python worker holds at a time.
 BATCH_ROWS = 256
@@ -38,6 +39,24 @@ ARROW = {
 }
 
 
+def below_share(share, *keys):
+    """Whether a row's hash of ``keys`` lies in the lowest ``share`` of all hashes."""
+    bound = F.least(F.lit(share) if isinstance(share, float) else share, F.lit(1.0))
+    return F.xxhash64(*keys).cast("double") < (bound * 2.0 - 1.0) * float(1 << 63)
+
+
+def drawn(rows, size, *keys):
+    """About ``size`` of the rows by the hash of ``keys``, all if there are no more.
+
+    The share follows from the count, so no task meets more than its own rows; rows of
+    equal keys are drawn together, and the limit bounds that.
+    """
+    total = rows.count()
+    if total <= size:
+        return rows
+    return rows.filter(below_share(size / total, *keys)).limit(2 * size)
+
+
 def _values(column):
     return column.to_pylist()
 

@@ -9,7 +9,7 @@ positives would give is taken off; the largest remainder decides (ties: first by
 N-grams are the runs of three and four characters of lower-cased words (runs of
 letters) with a blank on either side, so every text with a letter has one.
 
-The filters are learnt from labelled documents, a bounded sample of at most
+The filters are learnt from labelled documents, a bounded sample of about
 ``SAMPLE_DOCS`` a language drawn by the hash of the id.  An n-gram belongs to a
 language if it was seen there at least ``MIN_SEEN`` times and its share of that
 language's n-grams is at least ``MIN_SHARE`` of its largest share in any language.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from faultline.llm.base import stage, text_columns
+from faultline.llm.base import below_share, stage, text_columns
 
 SAMPLE_DOCS = 2000
 MIN_SEEN = 3
@@ -147,16 +147,15 @@ def _gram_counts(batches):
 def learn(labelled, sample_docs=SAMPLE_DOCS):
     """Filters from labelled rows (doc_id, text, lang); nulls of text or lang teach nothing."""
     usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    drawn = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        usable.select("doc_id", "lang")
-        .distinct()
-        .withColumn("at", F.row_number().over(drawn))
-        .filter(F.col("at") <= sample_docs)
-        .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    held = usable.groupBy("lang").count().select(
+        F.col("lang").alias("_lang"), (F.lit(float(sample_docs)) / F.col("count")).alias("_share")
+    )
+    # one row a language
+    sample = (
+        usable.join(F.broadcast(held), F.col("lang") == F.col("_lang"))
+        .filter(below_share(F.col("_share"), "doc_id"))
+        .select("lang", "text")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))
-    sample = usable.join(F.broadcast(ids), same, "left_semi")
     counts = (
         sample.mapInArrow(_gram_counts, "lang string, gram long, seen long")
         .groupBy("lang", "gram")

@@ -5,8 +5,8 @@ non-overlapping for each kind; a match that fails its check is dropped.  The tag
 finds what the patterns lose, such as a phone number that runs into a card number.
 
 *Training.*  Labelled spans come from the corpus itself: base spans that stand alone
-and the words around them, from at most ``SAMPLE_DOCS`` documents with a digit, drawn
-by the hash of the id.  Training sequences set such spans among words and beside each
+and the words around them, from about ``SAMPLE_DOCS`` documents with a digit (twice that at most), drawn
+by a hash of the row.  Training sequences set such spans among words and beside each
 other.  The network is numpy only and learns by Adam with a fixed seed.
 
 *Decoding.*  Windows of ``WINDOW`` characters every ``STRIDE`` cover the text.  Every
@@ -28,7 +28,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from faultline.llm.base import text_columns
+from faultline.llm.base import drawn, text_columns
 
 KINDS = ["email", "ip", "card", "phone"]
 SAMPLE_DOCS = 600
@@ -307,7 +307,7 @@ def _sequence(draw, spans, words):
 def train(docs, sample_docs=SAMPLE_DOCS, steps=STEPS, seed=7):
     """A tagger learnt from a bounded sample of the documents, or None without spans."""
     texts = docs.filter("text RLIKE '[0-9]'").select("doc_id", "text")
-    sample = texts.orderBy(F.xxhash64("doc_id", "text")).limit(sample_docs)
+    sample = drawn(texts, sample_docs, "doc_id", "text")
     rows = text_columns(sample, {"spans": "string", "words": "string"}, _sample_texts).collect()
     rows.sort(key=lambda row: (row["spans"], row["words"]))
     spans = {kind: [] for kind in KINDS}

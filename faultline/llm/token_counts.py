@@ -3,8 +3,8 @@
 Pre-tokens are the words between blanks; a piece of the vocabulary never holds a blank
 behind another character, so the tokens of a text are those of its words, each with
 the blanks before it.  Tier one is a broadcast table of the token counts of frequent
-words, at most ``TABLE_WORDS`` entries, counted in at most ``SAMPLE_DOCS`` documents drawn
-by the hash of the id.  Tier two is a bounded cache in each Python worker, whose misses
+words, at most ``TABLE_WORDS`` entries, counted in about ``SAMPLE_DOCS`` documents (twice that
+at most) drawn by the hash of the id.  Tier two is a bounded cache in each Python worker, whose misses
 are encoded.  No pre-token is shuffled, and neither tier can change a count.
 
 Null text is empty and has no tokens.  The character U+2581, which the vocabulary uses
@@ -17,10 +17,9 @@ from collections import Counter
 from functools import lru_cache
 
 import sentencepiece
-from pyspark.sql import functions as F
 
 from faultline.llm import vocab
-from faultline.llm.base import Memo, text_columns
+from faultline.llm.base import Memo, drawn, text_columns
 
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -76,7 +75,7 @@ def _sample_words(texts):
 def frequent_words(docs, file, sample_docs=SAMPLE_DOCS, size=TABLE_WORDS):
     """Token counts of the most frequent words of a bounded sample."""
     library = _library(file)
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id")).limit(sample_docs)
+    sample = drawn(docs.select("doc_id", "text"), sample_docs, "doc_id")
     seen = Counter()
     parts = text_columns(sample, {"word": "array<string>", "n": "array<long>"}, _sample_words)
     for row in parts.select("word", "n").toLocalIterator():

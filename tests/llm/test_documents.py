@@ -173,16 +173,17 @@ def test_one_of_each_class_stays(docs, rows):
 # --- 3: language --------------------------------------------------------------------
 
 
-def test_languages_of_held_out_documents(docs):
+def test_languages_of_held_out_documents(docs, rows):
     filters = language.learn(docs.filter(~language.held_out()))
     assert filters.languages == ["de", "en", "fr"]
     texts = docs.select("doc_id", "lang", language.held_out().alias("held_out"), "text")
     judged = language.predict(texts, filters).collect()
     assert len(judged) == docs.count()
-    # documents 40 to 96 share English lines or are copies
+    # documents 40 to 96 share English lines or are copies; of eight made-up words any language may be
     told = [r for r in judged if r["held_out"] and r["doc_id"] < 160 and not 40 <= r["doc_id"] < 97]
-    assert len(told) > 20
-    assert sum(r["lang"] == r["lang_pred"] for r in told) >= 0.97 * len(told)
+    told = [r for r in told if len(rows[r["doc_id"]][1].split()) > 50]
+    assert len(told) > 15
+    assert all(r["lang"] == r["lang_pred"] for r in told)
     assert all(0 <= r["score"] <= 1 for r in judged)
     by_id = {r["doc_id"]: r["lang_pred"] for r in judged}
     assert {by_id[i] for i in (200, 201, 202, 203, 210)} == {"und"}
