@@ -103,6 +103,49 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_line_frequency": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
+        grams AS (
+            SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
+            FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+        repeats AS (
+            SELECT r, count(DISTINCT i + j) AS n
+            FROM (SELECT r, i FROM grams QUALIFY count(*) OVER (PARTITION BY r, g) > 1), range(3) AS s(j)
+            GROUP BY r),
+        raw AS (SELECT r, doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+        dup AS (
+            SELECT r, count(*) - count(DISTINCT line) AS n FROM raw
+            WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+        lines AS (
+            SELECT DISTINCT r, doc_id, source, text, trim(regexp_replace(
+                translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS line FROM raw),
+        common AS (
+            SELECT source, line, min(doc_id) AS first_doc
+            FROM (SELECT DISTINCT doc_id, source, text, line FROM lines WHERE line <> '')
+            GROUP BY source, line HAVING count(*) > 100),
+        sums AS (
+            SELECT r, sum(length(l.line)) AS line_chars,
+                coalesce(sum(length(l.line)) FILTER (
+                    c.line IS NOT NULL AND l.doc_id IS DISTINCT FROM c.first_doc), 0) AS removed_chars
+            FROM lines l LEFT JOIN common c
+                ON l.source IS NOT DISTINCT FROM c.source AND l.line = c.line
+            WHERE l.line <> '' GROUP BY r),
+        counts AS (
+            SELECT d.doc_id, len(w.words) AS n_words, coalesce(length(array_to_string(w.words, '')), 0) AS word_chars,
+                length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                coalesce(dup.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+                CAST(coalesce(line_chars, 0) AS BIGINT) AS line_chars,
+                CAST(coalesce(removed_chars, 0) AS BIGINT) AS removed_chars
+            FROM d JOIN w USING (r) LEFT JOIN repeats USING (r) LEFT JOIN dup USING (r) LEFT JOIN sums USING (r)),
+        judged AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+        SELECT *, NOT base_failed AND NOT (removed_chars > 0
+            AND line_chars - removed_chars < 0.3 * line_chars) AS kept
+        FROM judged
+    """,
     "op9_bloom_cascade": """
         WITH u AS (
             SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
