@@ -68,6 +68,7 @@ ADAPTER_PATTERN = r"(?i)ELM ?327|OBDII"
 CHUNK_SILENCE = "150 milliseconds"
 CHUNK_CAP = "5 seconds"
 CHUNK_CAP_STORED = "10 seconds"
+CHUNK_CAP_PENDING = "6 seconds"
 EDIT_SILENCE = "500 milliseconds"
 
 # Answer repair: closes the fault list and fills the fields that were cut off

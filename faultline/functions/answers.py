@@ -25,11 +25,13 @@ def is_json(text):
 
     Spark's parser stops after the first value.  Inside brackets only text that
     starts with ``]`` or ``,`` could follow unnoticed, inside an object only
-    ``}`` or a further field, so passing both leaves nothing.
+    ``}`` or a further field, so passing both leaves nothing.  An object may repeat a
+    key; the last value counts.
     """
-    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
-    return in_list.isNotNull() & in_object.isNotNull()
+    strict = {"allowSingleQuotes": "false"}
+    in_list = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", strict)
+    in_object = F.from_json(F.concat(F.lit('{"x":'), text, F.lit("}")), "x string", strict)
+    return F.coalesce(F.get(in_list, F.lit(0)).isNotNull() & in_object["x"].isNotNull(), F.lit(False))
 
 
 def complete_length(text):

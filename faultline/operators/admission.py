@@ -1,30 +1,26 @@
 """Exact rolling admission, where only admitted rows count against the limit.
 
-The verdict of a row depends on earlier verdicts, so a key is folded in time
-order.  Keys of ordinary size are folded in one pass.  A larger key would keep one
-task busy for long, so its time is cut into slices as long as the window, and
-within a slice
-
-* earlier admissions free their places at known moments, which split the slice
-  into gaps,
-* an admission inside the slice frees its place only after the slice, so of each
-  gap at most the first ``limit`` rows can be admitted.
-
-Only those rows are folded, and their number does not depend on how many rows
-the key has.  Each slice is written before the next begins.
+The verdict of a row depends on earlier verdicts, so rows are folded in time order.
+A key's history is first cut where a whole slot as long as the window holds no row:
+nothing admitted before such a silence counts after it.  The parts are independent.
+Parts of no more than ``limit`` rows are admitted without a fold; the others stream,
+sorted by Spark, past a state of at most ``limit`` times, and rows that meet a full
+state are passed over by search up to the moment the next place is free.
+
+All keys take this one path.  Times are microseconds and never pass through Python's
+dates, so no time zone matters.  Rows without a time are denied and count for
+nothing; rows without a key are one key of their own.
 """
 
-from collections import deque
-from functools import reduce
+from bisect import bisect_left, bisect_right, insort
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from faultline.operators.recency import micros, newest_per_key
-from faultline.operators.skew import MAX_HOT_KEYS
-from faultline.session import stage
-
-MAX_GROUP_ROWS = 100_000
+from faultline.operators.recency import micros
 
 
 def length_micros(length):
@@ -32,110 +28,90 @@ def length_micros(length):
 
 
 def judge(held, moment, limit, length, inclusive):
-    """Verdict for a row; ``held`` is the deque of counted times and is kept current.
+    """Verdict for a row; ``held`` is the sorted list of counted times and is kept current.
 
-    Times are microseconds.
+    A late row takes its place among the times; later ones count against it too.
     """
-    horizon = moment - length
-    while held and (held[0] < horizon or (held[0] == horizon and not inclusive)):
-        held.popleft()
+    expired = bisect_left if inclusive else bisect_right
+    del held[: expired(held, moment - length)]
     if len(held) >= limit:
         return False
-    held.append(moment)
+    insort(held, moment)
     return True
 
 
-def _fold(rows, key, ts, order, limit, length, inclusive):
-    """Judge the rows of each key in time order.
-
-    Spark sorts; the rows then stream past with no more than ``limit`` times in
-    memory.  Rows marked ``_prior`` were admitted before and only count.
-    """
-    window = length_micros(length)
-    timed = rows.withColumn("_at", micros(rows, ts))
-
-    def fold(frames):
-        current, held = None, deque()
-        for frame in frames:
-            verdicts = []
-            for name, moment, prior in zip(frame[key], frame["_at"], frame["_prior"]):
-                if name != current:
-                    current, held = name, deque()
-                if prior:
-                    held.append(moment)
-                    verdicts.append(True)
-                else:
-                    verdicts.append(judge(held, moment, limit, window, inclusive))
-            judged = frame.assign(admitted=verdicts)
-            yield judged[~frame["_prior"]].drop(columns=["_prior", "_at"])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_prior"]
+def judge_sorted(held, moments, limit, length, inclusive):
+    """Verdicts for the sorted times of one key, passing over rows that meet a full state."""
+    admitted = np.zeros(len(moments), bool)
+    side = "right" if inclusive else "left"
+    at = 0
+    while at < len(moments) and limit > 0:
+        if judge(held, int(moments[at]), limit, length, inclusive):
+            admitted[at] = True
+            at += 1
+        else:
+            at = max(at + 1, int(np.searchsorted(moments, held[0] + length, side)))
+    return admitted
+
+
+def _fold(rows, key, order, limit, window, inclusive):
+    """Judge the rows of each (key, part) in time order; needs ``_at`` and ``_part``."""
+
+    def fold(batches):
+        current, held = None, []
+        for batch in batches:
+            moments = batch.column("_at").to_numpy()
+            names = list(zip(batch.column(key).to_pylist(), batch.column("_part").to_pylist()))
+            admitted = np.zeros(len(names), bool)
+            at = 0
+            while at < len(names):
+                end = at + 1
+                while end < len(names) and names[end] == names[at]:
+                    end += 1
+                if current is None or names[at] != current:
+                    current, held = names[at], []
+                admitted[at:end] = judge_sorted(held, moments[at:end], limit, window, inclusive)
+                at = end
+            kept = batch.drop_columns(["_at", "_part"])
+            yield kept.append_column("admitted", pa.array(admitted))
+
+    shape = rows.drop("_at", "_part").schema.add("admitted", "boolean")
     return (
-        timed.repartition(key)
-        .sortWithinPartitions(key, "_at", *order)
-        .mapInPandas(fold, ", ".join([*fields, "admitted boolean"]))
-    )
-
-
-def admit(
-    attempts, key, ts, order, limit, length, inclusive=False, max_group=MAX_GROUP_ROWS
-):
-    """(key, ts, *order, admitted) for every attempt; ``order`` identifies a row of a key."""
-    narrow = attempts.select(key, ts, *order)
-    sizes = narrow.groupBy(key).agg(F.count("*").alias("_rows"))
-    large = stage(sizes.filter(F.col("_rows") > max_group).select(key), "large-keys")
-    n_large = large.count()
-    if n_large == 0:
-        whole = narrow.withColumn("_prior", F.lit(False))
-        return _fold(whole, key, ts, order, limit, length, inclusive)
-    if n_large <= MAX_HOT_KEYS:
-        large = F.broadcast(large)
-    ordinary = narrow.join(large, key, "left_anti").withColumn("_prior", F.lit(False))
-    folded = _fold(ordinary, key, ts, order, limit, length, inclusive)
-    return folded.unionByName(
-        _admit_in_slices(
-            narrow.join(large, key, "left_semi"), key, ts, order, limit, length, inclusive
-        )
-    )
-
-
-def _admit_in_slices(attempts, key, ts, order, limit, length, inclusive):
-    first, last = attempts.agg(F.min(ts), F.max(ts)).first()
-    step = pd.Timedelta(length).to_pytimedelta()
-    admitted = [attempts.filter(F.lit(False)).select(key, ts, *order)]
-    begin = first
-    while begin <= last:
-        rows = attempts.filter((F.col(ts) >= F.lit(begin)) & (F.col(ts) < F.lit(begin + step)))
-        admitted.append(
-            stage(
-                _admit_slice(rows, admitted[-1], key, ts, order, limit, length, inclusive),
-                "admitted",
-            )
-        )
-        begin += step
-    accepted = reduce(lambda a, b: a.unionByName(b), admitted).withColumn("_hit", F.lit(True))
-    return attempts.join(accepted, [key, ts, *order], "left").select(
-        *attempts.columns, F.coalesce("_hit", F.lit(False)).alias("admitted")
+        rows.repartition(key, "_part")
+        .sortWithinPartitions(key, "_part", "_at", *order)
+        .mapInArrow(fold, shape)
     )
 
 
-def _admit_slice(rows, before, key, ts, order, limit, length, inclusive):
-    """The admitted rows of one slice, given those of the slice before."""
-    frees = before.groupBy(key).agg(
-        F.collect_list(F.col(ts) + F.expr(f"INTERVAL '{length}'")).alias("_frees")
+def _parts(timed, key):
+    """(key, slot) to the part of the key's history it lies in, and that part's rows."""
+    slots = timed.groupBy(key, "_slot").agg(F.count("*").alias("_n"))
+    by_slot = Window.partitionBy(key).orderBy("_slot")
+    silent = F.col("_slot") - F.lag("_slot").over(by_slot) > 1
+    cut = slots.withColumn("_silent", F.coalesce(silent.cast("long"), F.lit(0)))
+    parted = cut.withColumn("_part", F.sum("_silent").over(by_slot))
+    whole = Window.partitionBy(key, "_part")
+    return parted.select(
+        F.col(key).alias("_key"),
+        F.col("_slot").alias("_its_slot"),
+        "_part",
+        F.sum("_n").over(whole).alias("_rows"),
     )
 
-    def is_free(moment):
-        return moment < F.col(ts) if inclusive else moment <= F.col(ts)
 
-    placed = rows.join(frees, key, "left").withColumn(
-        "_gap", F.coalesce(F.size(F.filter("_frees", is_free)), F.lit(0))
-    )
-    possible = newest_per_key(
-        placed.drop("_frees"), [key, "_gap"], [ts, *order], limit, F.struct(*order)
-    ).drop("_gap")
-    candidates = possible.withColumn("_prior", F.lit(False)).unionByName(
-        before.withColumn("_prior", F.lit(True))
+def admit(attempts, key, ts, order, limit, length, inclusive=False):
+    """(key, ts, *order, admitted) for every attempt; ``order`` identifies a row of a key."""
+    window = length_micros(length)
+    narrow = attempts.select(key, ts, *order)
+    timeless = narrow.filter(F.col(ts).isNull()).withColumn("admitted", F.lit(False))
+    present = narrow.filter(F.col(ts).isNotNull())
+    timed = present.withColumn("_at", micros(present, ts)).withColumn(
+        "_slot", F.floor(F.col("_at") / F.lit(window)).cast("long")
     )
-    folded = _fold(candidates, key, ts, order, limit, length, inclusive)
-    return folded.filter("admitted").drop("admitted")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slot") == F.col("_its_slot"))
+    parted = timed.join(_parts(timed, key), same).drop("_key", "_its_slot", "_slot")
+    small = F.col("_rows") <= limit
+    easy = parted.filter(small).select(*narrow.columns, F.lit(True).alias("admitted"))
+    busy = parted.filter(~small).drop("_rows")
+    folded = _fold(busy, key, order, limit, window, inclusive)
+    return folded.unionByName(easy).unionByName(timeless)

@@ -63,7 +63,10 @@ def case_to_row(cases, installation=None, separator="\n", now=None):
         "obd_codes",
         joined_text(F.col("messages"), separator).alias("description"),
         "resolution",
-        F.coalesce(closed, now if now is not None else F.current_timestamp()).alias("closed_at"),
+        # now only where the time is missing; an unreadable one stays null for the gates
+        F.when(F.col("closedAt").isNull(), now if now is not None else F.current_timestamp())
+        .otherwise(closed)
+        .alias("closed_at"),
     )
 
 

@@ -11,6 +11,9 @@ from faultline.functions.text import or_empty
 from faultline.operators.running import position_bucket, running
 from faultline.operators.skew import join_spreading_hot_keys
 
+#: Entries of a catalog, some 100 bytes each, that are broadcast; a longer one is spread.
+SMALL_CATALOG = 20_000
+
 
 def catalog_items(catalog):
     """Long form of a catalog with one nested model list per brand."""
@@ -56,7 +59,9 @@ def brand_lookup(rows, items, brand, default_expertise):
         )
     )
     named = rows.withColumn("_brand", F.lower(F.col(brand)))
-    return join_spreading_hot_keys(named, entries, ["_brand"], rows.columns[0], "left").select(
+    return join_spreading_hot_keys(
+        named, entries, ["_brand"], rows.columns[0], "left", small=SMALL_CATALOG
+    ).select(
         *rows.columns,
         "catalog_brand",
         F.coalesce("expertise", F.lit(default_expertise)).alias("expertise"),
@@ -76,7 +81,9 @@ def model_powers(rows, items, model):
         .groupBy(F.col("label").alias(model))
         .agg(F.min_by("powers", "brand_position").alias("powers"))
     )
-    found = join_spreading_hot_keys(rows, entries, [model], rows.columns[0], "left")
+    found = join_spreading_hot_keys(
+        rows, entries, [model], rows.columns[0], "left", small=SMALL_CATALOG
+    )
     return found.select(*rows.columns, or_empty(F.col("powers")).alias("powers"))
 
 
@@ -120,7 +127,9 @@ def symptom_category_counts(selected, categories, case="id"):
     """How many selected symptoms of a case fall into each category."""
     chosen = selected.select(case, F.explode("symptoms").alias("symptom"))
     return (
-        join_spreading_hot_keys(chosen, categories, ["symptom"], case)
+        join_spreading_hot_keys(
+            chosen, categories, ["symptom"], case, small=SMALL_CATALOG
+        )
         .groupBy(case, "category")
         .agg(F.count("*").alias("n_selected"))
     )

@@ -18,7 +18,7 @@ def match_strength(score):
 
 
 def _listed(items):
-    joined = F.array_join(or_empty(items), ", ", "")
+    joined = F.array_join(F.array_distinct(or_empty(items)), ", ", "")
     return F.when(joined == "", "—").otherwise(joined)
 
 
@@ -38,7 +38,7 @@ def hit_entry(rank, score, vehicle_parts, symptoms, codes, resolution):
         F.lit("\n   OBD: "),
         _listed(codes),
         F.lit("\n   ✅ Ověřené řešení: "),
-        resolution,
+        F.coalesce(resolution, F.lit("—")),
     )
 
 

@@ -3,9 +3,11 @@
 Rows are cut into buckets along the order, values run inside each (key, bucket)
 and a much smaller table of bucket totals supplies what came before.  No task
 ever holds more than one bucket of a key, so a key with a large share of all
-rows is processed by many tasks.  Keys must not be null.
+rows is processed by many tasks.  Rows without a key are one key of their own.
 """
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -51,7 +53,12 @@ def running(df, keys, bucket, order, sums=None, maxes=None, before=False):
         .select(*per_bucket, *[fold(name).over(earlier).alias(f"_c_{name}") for name in inputs])
     )
     local = staged.select("*", *[fold(name).over(inside).alias(f"_l_{name}") for name in inputs])
-    joined = local.join(carried, per_bucket, "left")
+    same = reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in per_bucket]
+    )
+    joined = local.join(
+        carried.withColumnsRenamed({k: f"_k_{k}" for k in per_bucket}), same, "left"
+    )
     zero = F.lit(0)
     results = {
         name: F.coalesce(F.col(f"_l_{name}"), zero) + F.coalesce(F.col(f"_c_{name}"), zero)

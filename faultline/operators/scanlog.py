@@ -69,17 +69,31 @@ def chunk_sessions(chunks, port, ts, order, silence=fv.CHUNK_SILENCE):
     ).drop("_previous")
 
 
+def command_cap(mode):
+    """How long the answer to a command is listened to."""
+    return (
+        F.when(mode == "03", F.expr(f"INTERVAL '{fv.CHUNK_CAP_STORED}'"))
+        .when(mode == "07", F.expr(f"INTERVAL '{fv.CHUNK_CAP_PENDING}'"))
+        .otherwise(F.expr(f"INTERVAL '{fv.CHUNK_CAP}'"))
+    )
+
+
 def assemble_chunks(
-    chunks, port, ts, order, chunk, silence=fv.CHUNK_SILENCE, cap=fv.CHUNK_CAP
+    chunks, port, ts, order, chunk, silence=fv.CHUNK_SILENCE, cap=fv.CHUNK_CAP, sent_at=None
 ):
     """One row per response: its chunks joined in time order.
 
     Listening stops ``cap`` after the start, so later chunks of an unbroken
     stream belong to no response; they are counted in ``n_late``.  The cap also
-    bounds what one response can gather.
+    bounds what one response can gather.  ``cap`` is a length or an interval column of
+    the chunks; ``sent_at`` names the column with the time of the command, from which
+    the cap is measured where it is known.
     """
     placed = chunk_sessions(chunks, port, ts, order, silence)
-    heard = F.col(ts) < F.col("response_start") + F.expr(f"INTERVAL '{cap}'")
+    begun = F.col("response_start")
+    if sent_at:
+        begun = F.coalesce(F.col(sent_at), begun)
+    heard = F.col(ts) < begun + (F.expr(f"INTERVAL '{cap}'") if isinstance(cap, str) else cap)
     pieces = F.sort_array(
         F.collect_list(F.when(heard, F.struct(F.col(ts), *order, F.col(chunk).alias("piece"))))
     )

@@ -19,6 +19,8 @@ from faultline.functions.text import empty_to_null, or_empty
 from faultline.operators.recency import newest_per_key, recency_key
 from faultline.operators.skew import join_spreading_hot_keys
 
+#: Distinct query keys, about 50 bytes each, that are broadcast to prune the corpus.
+MAX_PRUNING_KEYS = 200_000
 POSTING_KEY = ["shape", "brand", "term"]
 
 
@@ -98,11 +100,15 @@ def corpus_keys(corpus, id_col="id"):
 def posting_lists(corpus, query_keys_df, limit=fv.CANDIDATE_LIMIT):
     """Newest ``limit`` case ids per key, as one short array per key.
 
-    Only the key shapes that some query uses are built; there are six shapes,
-    which bounds the broadcast.
+    Only lists that some query reads are built.  Few distinct query keys are broadcast
+    to the corpus; of many (counted) only the shapes are, of which there are six.
     """
-    shapes = query_keys_df.select("shape").distinct()
-    members = corpus_keys(corpus).join(F.broadcast(shapes), "shape", "left_semi")
+    wanted = query_keys_df.select(*POSTING_KEY).distinct()
+    if wanted.limit(MAX_PRUNING_KEYS + 1).count() <= MAX_PRUNING_KEYS:
+        members = corpus_keys(corpus).join(F.broadcast(wanted), POSTING_KEY, "left_semi")
+    else:
+        shapes = wanted.select("shape").distinct()
+        members = corpus_keys(corpus).join(F.broadcast(shapes), "shape", "left_semi")
     newest = newest_per_key(members, POSTING_KEY, ["recency", "case_id"], limit, "case_id")
     return newest.groupBy(*POSTING_KEY).agg(
         F.collect_list(F.struct("recency", "case_id")).alias("posting")

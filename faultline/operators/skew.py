@@ -24,14 +24,25 @@ def hot_keys(df, keys, max_hot=MAX_HOT_KEYS, min_rows=MIN_HOT_ROWS):
 
 
 def join_spreading_hot_keys(
-    big, keyed, keys, spread_on, how="inner", max_hot=MAX_HOT_KEYS, min_rows=MIN_HOT_ROWS
+    big,
+    keyed,
+    keys,
+    spread_on,
+    how="inner",
+    max_hot=MAX_HOT_KEYS,
+    min_rows=MIN_HOT_ROWS,
+    *,
+    small=None,
 ):
     """Join a side that may be skewed with one that has few rows per key.
 
-    Rows of a hot key are spread over several salted copies of the keyed rows.
+    Rows of a hot key are spread over several salted copies of the keyed rows.  A keyed
+    side counted to have at most ``small`` rows is broadcast instead.
     In a ``left`` or ``left_anti`` join the rows without a key match nothing; they
     pass by instead of gathering in one task.
     """
+    if small is not None and keyed.limit(small + 1).count() <= small:
+        return big.join(F.broadcast(keyed), keys, how)
     if how == "inner":
         return _spread_join(big, keyed, keys, spread_on, how, max_hot, min_rows)
     has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from faultline import fixed_values as fv
 from faultline.operators import cases, context, gates, merges, scanlog, search
 
 
@@ -24,7 +25,8 @@ def diagnose(open_cases, corpus, catalog_items):
 def close_cases(closed_cases, corpus, now=None):
     """Split closed cases into rows to insert and quarantined cases.
 
-    A case passes the case rules, then its flat row the table constraints.
+    A case passes the case rules, then its flat row the table constraints; a closing
+    time that cannot be read quarantines it.
     """
     judged = gates.judge_cases(closed_cases)
     rows = cases.case_to_row(judged.filter(F.col("reason").isNull()), now=now)
@@ -34,11 +36,23 @@ def close_cases(closed_cases, corpus, now=None):
         F.col("local_id").alias("id"), F.lit("constraint").alias("reason")
     )
     quarantine = judged.filter(F.col("reason").isNotNull()).select("id", "reason")
+    undated = accepted.filter("closed_at IS NULL").select(
+        F.col("local_id").alias("id"), F.lit("closed_at").alias("reason")
+    )
+    accepted = accepted.filter("closed_at IS NOT NULL")
     fresh = merges.rows_to_insert(corpus, accepted, order=["closed_at", "resolution"])
-    return fresh, quarantine.unionByName(broken)
+    return fresh, quarantine.unionByName(broken).unionByName(undated)
 
 
 def decode_scans(chunks, scans_of):
-    """Serial chunks to stored and pending codes; ``scans_of`` names the scan and mode."""
-    responses = scanlog.assemble_chunks(chunks, "port", "ts", ["seq"], "chunk")
+    """Serial chunks to stored and pending codes; ``scans_of`` names the scan and mode.
+
+    Where chunks name the ``mode`` they answer, listening stops as late as that command
+    allows, and ``sent_at``, if given, starts its clock.
+    """
+    cap = scanlog.command_cap(F.col("mode")) if "mode" in chunks.columns else fv.CHUNK_CAP
+    sent = "sent_at" if "sent_at" in chunks.columns else None
+    responses = scanlog.assemble_chunks(
+        chunks, "port", "ts", ["seq"], "chunk", cap=cap, sent_at=sent
+    )
     return scanlog.read_codes(scans_of(responses))

@@ -63,6 +63,7 @@ VIEWS = {
         UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations
         UNION ALL SELECT 'part', p_partkey, p_name FROM part
         UNION ALL SELECT 'pages', page_id, url FROM pages
+        UNION ALL SELECT 'pages.html', page_id, html FROM pages
         UNION ALL SELECT 'customer', c_custkey, c_name FROM customer""",
     "items": """
         SELECT r_name AS brand, r_regionkey AS brand_position, r_name LIKE 'A%' AS active,

@@ -268,11 +268,12 @@ def free_texts(spark, sf_dir):
         ("conversations", F.col("conv_id") * 1000 + F.col("turn"), "text"),
         ("part", F.col("p_partkey"), "p_name"),
         ("pages", F.col("page_id"), "url"),
+        ("pages.html", F.col("page_id"), "html"),
         ("customer", F.col("c_custkey"), "c_name"),
     ]
     parts = [
         spread(
-            table(spark, sf_dir, name).select(
+            table(spark, sf_dir, name.split(".")[0]).select(
                 F.lit(name).alias("source"),
                 key.cast("bigint").alias("text_id"),
                 F.col(column).alias("text"),

@@ -1,6 +1,7 @@
 """Session defaults and the shared folder for checkpoints and staged tables."""
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,10 +31,14 @@ def build_session(app_name="faultline", master=None, **conf):
 def shared_dir(spark):
     """The cluster's shared scratch folder, from ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    Only a local session without that setting gets a folder of its own: the executors
+    of a cluster could not see it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
         configured = tempfile.mkdtemp(prefix="faultline-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

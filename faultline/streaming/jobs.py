@@ -1,7 +1,5 @@
 """The time-driven behaviours as streaming jobs."""
 
-from collections import deque
-
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -50,7 +48,8 @@ def rate_limit(attempts, key, ts, order, limit, length=limits.DAY, inclusive=Fal
 
     The state never holds more than ``limit`` times and is dropped once the
     watermark has passed the last of them by ``length``.  A row that is late by up
-    to ``length`` is judged against the state at arrival; an older one is dropped.
+    to ``length`` is judged against the state at arrival and takes its place among the
+    times; an older one is dropped by Spark, as any row behind the watermark.
     """
     window = length_micros(length)
     columns = [key, ts, *order]
@@ -60,10 +59,10 @@ def rate_limit(attempts, key, ts, order, limit, length=limits.DAY, inclusive=Fal
         if state.hasTimedOut:
             state.remove()
             return
-        held = deque(state.get[0]) if state.exists else deque()
+        held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["_at", *order])
-        verdicts = [judge(held, moment, limit, window, inclusive) for moment in rows["_at"]]
-        state.update(([int(moment) for moment in held],))
+        verdicts = [judge(held, int(at), limit, window, inclusive) for at in rows["_at"]]
+        state.update((held,))
         if held:
             expiry = int(held[-1] + window) // 1000 + 1
             state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))

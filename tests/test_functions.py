@@ -249,6 +249,10 @@ def test_short_id(value):
         ("{'a':1}", False),
         ('{"a":1', False),
         ('{"a":"x\ny"}', False),
+        ('{"a":1,"a":2}', True),
+        ('{"a":{"b":1,"b":[1,2]},"a":2} x', False),
+        ('{"a":[1,}', False),
+        ('{"a":1],[2}', False),
     ],
 )
 def test_is_json(value, document, expected):

@@ -26,7 +26,7 @@ def duck():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     assert compare(spark, duck, SMALL, name, entry.oracle_sql()[name]).startswith("same")
 

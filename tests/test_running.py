@@ -2,7 +2,7 @@
 
 import datetime
 import random
-from collections import deque
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,42 +98,75 @@ def plain_admission(rows, limit, inclusive):
     return verdicts
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 @pytest.mark.parametrize("inclusive", [False, True])
-@pytest.mark.parametrize("max_group", [100_000, 50, 0])
-def test_admission_is_exact_for_ordinary_and_large_keys(table, inclusive, max_group):
-    rows = log_rows(2, n=500)
-    got = admission.admit(
-        table(rows, LOG), "k", "ts", ["id"], 3, "24 hours", inclusive, max_group=max_group
-    )
-    verdicts = {r["id"]: r["admitted"] for r in got.collect()}
+@pytest.mark.parametrize("hours", [120, 3000])
+def test_admission_is_exact_in_any_time_zone(table, inclusive, hours, zone, monkeypatch):
+    monkeypatch.setenv("TZ", zone)
+    time.tzset()
+    try:
+        rows = log_rows(2, n=500, hours=hours)
+        rows += [(None, ts, i + 1000, ok) for k, ts, i, ok in rows if k == "hot"]
+        got = admission.admit(table(rows, LOG), "k", "ts", ["id"], 3, "24 hours", inclusive)
+        verdicts = {r["id"]: r["admitted"] for r in got.collect()}
+    finally:
+        monkeypatch.undo()
+        time.tzset()
     assert verdicts == plain_admission(rows, 3, inclusive)
 
 
-def test_large_key_folds_few_rows(table, monkeypatch):
-    """What reaches the fold is bounded by the limit, not by the rows of the key."""
-    rows = [("hot", DAY0 + datetime.timedelta(seconds=7 * i), i, True) for i in range(20_000)]
-    sizes = []
-    original = admission._fold
+def test_rows_without_time_are_denied_and_count_for_nothing(table):
+    rows = [("a", None, i, True) for i in range(4)] + [("a", DAY0, 9, True), (None, None, 10, True)]
+    got = admission.admit(table(rows, LOG), "k", "ts", ["id"], 1, "24 hours").collect()
+    assert {r["id"] for r in got if r["admitted"]} == {9}
+    assert len(got) == 6
 
-    def counting(frame, *args):
-        sizes.append(frame.count())
-        return original(frame, *args)
 
-    monkeypatch.setattr(admission, "_fold", counting)
-    got = admission.admit(table(rows, LOG), "k", "ts", ["id"], 3, "24 hours", max_group=100)
+def test_hot_key_in_one_pass(table):
+    rows = [("hot", DAY0 + datetime.timedelta(seconds=7 * i), i, True) for i in range(20_000)]
+    got = admission.admit(table(rows, LOG), "k", "ts", ["id"], 3, "24 hours")
     verdicts = {r["id"]: r["admitted"] for r in got.collect()}
     assert verdicts == plain_admission(rows, 3, False)
-    assert max(sizes) <= 3 + 3 * 4
 
 
 def test_fold_state_stays_within_limit():
-    held = deque()
+    held = []
     hour = admission.length_micros("1 hour")
     for minute in range(500):
         admission.judge(held, minute * 60_000_000, 4, hour, False)
         assert len(held) <= 4
 
 
+def test_late_row_takes_its_place():
+    held, hour = [], 3_600_000_000
+    verdicts = [admission.judge(held, h * hour, 2, 24 * hour, False) for h in (100, 90, 115)]
+    assert verdicts == [True, True, True]
+    assert held == [100 * hour, 115 * hour]
+
+
+def test_rows_without_key_run_together(table):
+    rows = [(None, DAY0 + datetime.timedelta(hours=h), h, True) for h in range(6)]
+    got = running.rolling_count(table(rows, LOG), "k", "ts", ["id"], "24 hours", "n")
+    assert {r["id"]: r["n"] for r in got.collect()} == {h: h for h in range(6)}
+
+
+def test_answers_are_heard_as_long_as_their_command_allows(table):
+    rows = [
+        (f"p{mode}", DAY0 + datetime.timedelta(milliseconds=100 * i), i, f"{i},", mode)
+        for mode in ("03", "07", "01")
+        for i in range(71)
+    ]
+    chunks = table(rows, "port string, ts timestamp_ntz, seq int, chunk string, mode string")
+    got = scanlog.assemble_chunks(
+        chunks, "port", "ts", ["seq"], "chunk", cap=scanlog.command_cap(F.col("mode"))
+    )
+    assert {r["port"]: (r["n_chunks"], r["n_late"]) for r in got.collect()} == {
+        "p03": (71, 0),
+        "p07": (60, 11),
+        "p01": (50, 21),
+    }
+
+
 MESSAGES = "c string, pos int, type string, text string, symptoms array<string>, obdCodes array<string>, tokens bigint"
 
 
