@@ -114,7 +114,8 @@ def quality_gate_writer(documents, corpus_path, rejected_path, queue_path, now=N
     """Closed cases to corpus, rejects or queue.
 
     A case failing its own rules can never succeed and is rejected; one that the
-    table constraints turn away failed while being written and is queued.
+    table constraints turn away failed while being written and is queued, whole (as
+    JSON in ``data``) and with its ``error``, once for each id.
     """
 
     def gate(batch, batch_id):
@@ -131,9 +132,13 @@ def quality_gate_writer(documents, corpus_path, rejected_path, queue_path, now=N
             rejected_path,
             batch_id,
         )
-        write_batch(
-            checked.filter("NOT valid").select(F.col("local_id").alias("id")), queue_path, batch_id
-        )
+        failed = checked.filter("NOT valid").select(F.col("local_id").alias("id")).distinct()
+        whole = batch.select("id", F.to_json(F.struct(*batch.columns)).alias("data"))
+        named = failed.withColumnRenamed("id", "failed_id")
+        entries = whole.join(named, F.col("id").eqNullSafe(F.col("failed_id")), "left_semi")
+        entries = entries.withColumn("error", F.lit("constraint"))
+        queued = read_before(batch.sparkSession, queue_path, entries.schema, batch_id)
+        write_batch(merges.rows_to_insert(queued, entries, ["data"], ["id"]), queue_path, batch_id)
         judged.unpersist()
 
     return documents.writeStream.foreachBatch(gate)

@@ -1,6 +1,7 @@
 """Streams over several micro-batches against their batch twins."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,7 +146,7 @@ def test_quality_gate_across_batches(spark, table, tmp_path):
     path = str(tmp_path / "documents")
     batches = [
         [document("1"), document("2", resolution="short"), document("3", model=" ")],
-        [document("1", resolution="another pump text"), document("4"), document("4")],
+        [document("1", resolution="another pump text"), document("4"), document("4"), document("3", model=" ")],
     ]
     for batch in batches:
         table(batch, schemas.CASE_DOCUMENT).coalesce(1).write.mode("append").parquet(path)
@@ -156,4 +157,6 @@ def test_quality_gate_across_batches(spark, table, tmp_path):
     assert sorted(r["local_id"] for r in accepted.collect()) == ["1", "4"]
     assert accepted.select(*merges.KEY).distinct().count() == 2
     assert [tuple(r)[:2] for r in spark.read.parquet(out[1]).collect()] == [("2", "too_short")]
-    assert [r["id"] for r in spark.read.parquet(out[2]).collect()] == ["3"]
+    (queued,) = spark.read.parquet(out[2]).collect()
+    assert (queued["id"], queued["error"]) == ("3", "constraint")
+    assert json.loads(queued["data"])["resolution"] == "replaced pump"
