@@ -171,7 +171,7 @@ class Tagger:
         return states, trace
 
     def _lstm_back(self, text, way, trace, d_states):
-        w, u = self.weights[f"x{way}"], self.weights[f"h{way}"]
+        u = self.weights[f"h{way}"]
         grad = {f"{n}{way}": np.zeros_like(self.weights[f"{n}{way}"]) for n in "xhc"}
         dh = np.zeros_like(d_states[0])
         dc = np.zeros_like(dh)
@@ -187,7 +187,6 @@ class Tagger:
             grad[f"h{way}"] += old.T @ dz
             grad[f"c{way}"] += dz.sum(0)
             dh, dc = dz @ u.T, dc * f
-        del w
         return grad
 
     def emissions(self, text, keep=False):
