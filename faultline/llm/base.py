@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from faultline.session import stage
 
-__all__ = ["Memo", "blank_cut", "drawn", "read", "small_batches", "stage", "text_columns"]
+__all__ = ["Memo", "blank_cut", "drawn", "own_prefix", "read", "small_batches", "stage", "text_columns"]
 
 #: Rows in one Arrow batch of texts: bounds what a Python worker holds at a time.
 BATCH_ROWS = 256
@@ -23,6 +23,14 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_prefix(df):
+    """A prefix that no column of ``df`` has, for columns beside those given."""
+    prefix = "_"
+    while any(name.startswith(prefix) for name in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def small_batches(spark):
     """Short Arrow batches, as single texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -65,10 +73,11 @@ def text_columns(df, columns, compute, source="text", rows=_values):
     """``df`` without its column ``text`` (or ``source``) but with ``columns`` made from it.
 
     ``columns`` maps names to types; ``compute`` gets the texts of a batch and gives
-    one list for each column.  Other columns pass unchanged, nulls included.
+    one list for each column.  Other columns pass unchanged, nulls included; one with
+    the name of a made column is replaced by it.
     """
     small_batches(df.sparkSession)
-    rest = [name for name in df.columns if name != source]
+    rest = [name for name in df.columns if name != source and name not in columns]
     shape = T.StructType([df.schema[name] for name in rest])
     for name, kind in columns.items():
         shape = shape.add(name, T.DataType.fromDDL(kind))

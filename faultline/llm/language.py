@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from faultline.llm.base import below_share, stage, text_columns
+from faultline.llm.base import below_share, own_prefix, stage, text_columns
 
 SAMPLE_DOCS = 2000
 MIN_SEEN = 3
@@ -203,7 +203,8 @@ def accept(docs, min_score=MIN_SCORE):
     filters = learn(docs.filter(~held_out()))
     if not filters.languages:
         return docs
-    names = ("_accept_lang", "_accept_score")
-    judged = predict(docs.withColumn("_accept_text", F.col("text")), filters, names)
+    own = own_prefix(docs)
+    names = (f"{own}lang", f"{own}score")
+    judged = predict(docs.withColumn(f"{own}text", F.col("text")), filters, names)
     kept = judged.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= min_score))
-    return kept.withColumnRenamed("_accept_text", "text").select(*docs.columns)
+    return kept.withColumnRenamed(f"{own}text", "text").select(*docs.columns)

@@ -18,7 +18,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from faultline.llm.base import stage, text_columns
+from faultline.llm.base import own_prefix, stage, text_columns
 
 #: Documents of one host that may share a line.
 MAX_DOCS = 100
@@ -156,19 +156,22 @@ def clean(docs, max_docs=MAX_DOCS, min_left=MIN_LEFT):
     A text that loses no line stays as it is; ``n_chars``, if there, follows the text.
     """
     verdict = judge(docs, max_docs, min_left).filter("kept").select(*DOCUMENT, "_removed")
-    verdict = verdict.dropDuplicates(DOCUMENT).withColumnsRenamed(
-        {name: f"_{name}" for name in DOCUMENT}
+    own = own_prefix(docs)
+    verdict = verdict.dropDuplicates(DOCUMENT).select(
+        *[F.col(name).alias(own + name) for name in DOCUMENT],
+        F.col("_removed").alias(f"{own}removed"),
     )
+    removed = F.col(f"{own}removed")
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_doc_id"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_text_hash"))
+        F.col("doc_id").eqNullSafe(F.col(f"{own}doc_id"))
+        & F.col("source").eqNullSafe(F.col(f"{own}source"))
+        & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(f"{own}text_hash"))
     )
-    changed = F.col("_removed").isNotNull()
+    changed = removed.isNotNull()
     left = F.array_join(
         F.filter(
             F.split("text", "\n"),
-            lambda x: ~F.array_contains(F.col("_removed"), _line_hash(x)),
+            lambda x: ~F.array_contains(removed, _line_hash(x)),
         ),
         "\n",
     )

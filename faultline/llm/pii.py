@@ -28,7 +28,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from faultline.llm.base import drawn, text_columns
+from faultline.llm.base import drawn, own_prefix, text_columns
 
 KINDS = ["email", "ip", "card", "phone"]
 SAMPLE_DOCS = 600
@@ -453,7 +453,8 @@ def redact(docs, tagger):
             [None if t is None else mask(t, base + added) for t, (base, added) in zip(texts, found, strict=True)]
         ]
 
-    out = text_columns(docs, {"_masked": "string"}, masked).withColumnRenamed("_masked", "text")
+    name = f"{own_prefix(docs)}masked"
+    out = text_columns(docs, {name: "string"}, masked).withColumnRenamed(name, "text")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(kind), F.col("n_chars")))

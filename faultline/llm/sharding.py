@@ -8,8 +8,9 @@ where it is but those that must move, taken from shards above the mean, so growi
 a shard moves slots to the new one only.  Records never change their slot.
 
 A record's size is the UTF-8 bytes of its text (null: none) plus one.  Its place in the
-shard is gapless: slots follow each other, records within a slot by id, checksum and
-size.  Null ids have a slot by their text's checksum.  Repeated rows are records of
+shard is gapless: slots follow each other, within a slot its ``PARTS`` parts (by a hash of
+the whole record, so that a slot or id with many records is ordered by many tasks), within a
+part records by id, checksum and size.  Null ids have a slot by their text's checksum.  Repeated rows are records of
 their own, and their order does not matter as they are equal.  An empty table gives an
 empty result and a map of empty slots.  Only doc_id and text are read.
 """
@@ -23,25 +24,36 @@ from faultline.llm.base import stage
 
 SLOTS = 4096
 SHARDS = 8
+#: Parts of a slot that are ordered apart.
+PARTS = 64
 MAP = "version int, virtual_slot int, shard int, bytes long, n_rows long"
 
 
 def records(docs, slots=SLOTS):
-    """doc_id, size, text_crc32 and virtual_slot of every row."""
+    """doc_id, size, text_crc32, virtual_slot and part of every row."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    crc = F.crc32(text)
+    crc, size = F.crc32(text), (F.octet_length(text) + 1).cast("long")
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), crc))
     return docs.select(
         "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
+        size.alias("size"),
         crc.alias("text_crc32"),
         F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.hash("doc_id", crc, size), F.lit(PARTS)).alias("part"),
     )
 
 
-def slot_sizes(rows, slots=SLOTS):
+def part_sizes(rows):
+    """Bytes and rows of every part of every slot."""
+    sizes = rows.groupBy("virtual_slot", "part").agg(
+        F.sum("size").alias("bytes"), F.count("*").alias("n_rows")
+    )
+    return stage(sizes, "slot-parts")
+
+
+def slot_sizes(parts, slots=SLOTS):
     """{slot: (bytes, rows)} of every slot, at most ``slots`` entries."""
-    found = rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    found = parts.groupBy("virtual_slot").agg(F.sum("bytes").alias("b"), F.sum("n_rows").alias("n"))
     sizes = dict.fromkeys(range(slots), (0, 0))
     sizes.update({r["virtual_slot"]: (r["b"], r["n"]) for r in found.collect()})
     return sizes
@@ -88,23 +100,33 @@ def slot_map(spark, owner, sizes, version):
     return stage(spark.createDataFrame(rows, MAP), f"slot-map-v{version}")
 
 
-def place(rows, mapped):
-    """Every record's shard and its gapless place there.  ``mapped`` is one map version."""
-    before = W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)
-    offsets = mapped.select(
-        "virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("_before")
+def place(rows, parts, mapped):
+    """Every record's shard and its gapless place there.
+
+    ``parts`` has the rows of the slots' parts, ``mapped`` is one map version.
+    """
+    # the map has a row for each of the fixed slots, the offsets one for each part
+    owned = parts.join(F.broadcast(mapped.select("virtual_slot", "shard")), "virtual_slot")
+    before = (
+        W.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(W.unboundedPreceding, -1)
+    )
+    offsets = owned.select(
+        "virtual_slot",
+        "part",
+        "shard",
+        F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("_before"),
     )
-    inside = W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    inside = W.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size")
     local = rows.withColumn("_local", F.row_number().over(inside) - 1)
-    # the map has a row for each of the fixed slots
-    return local.join(F.broadcast(offsets), "virtual_slot").withColumn(
+    return local.join(F.broadcast(offsets), ["virtual_slot", "part"]).withColumn(
         "slot", F.col("_before") + F.col("_local")
-    ).drop("_before", "_local")
+    ).drop("_before", "_local", "part")
 
 
 def shard(docs, shards=SHARDS, slots=SLOTS):
     """(records with shard and place, the slot map's first version)."""
     rows = records(docs, slots)
-    sizes = slot_sizes(rows, slots)
+    parts = part_sizes(rows)
+    sizes = slot_sizes(parts, slots)
     mapped = slot_map(docs.sparkSession, balance(sizes, shards), sizes, 1)
-    return place(rows, mapped), mapped
+    return place(rows, parts, mapped), mapped

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from faultline.llm.base import stage, text_columns
+from faultline.llm.base import own_prefix, stage, text_columns
 from faultline.llm.components import roots
 
 SEED = 42
@@ -213,8 +213,9 @@ def deduplicate(docs):
     others and are told apart by their texts.
     """
     behind = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    known = docs.withColumn("_known", F.coalesce(F.col("doc_id").cast("long"), behind))
-    found = classes(known.select(F.col("_known").alias("doc_id"), "text"))
-    chosen = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_known"))
-    kept = known.join(chosen.distinct(), "_known", "left_semi").dropDuplicates(["_known"])
+    name = f"{own_prefix(docs)}known"
+    known = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), behind))
+    found = classes(known.select(F.col(name).alias("doc_id"), "text"))
+    chosen = found.filter("doc_id = component_id").select(F.col("doc_id").alias(name))
+    kept = known.join(chosen.distinct(), name, "left_semi").dropDuplicates([name])
     return kept.select(*docs.columns)

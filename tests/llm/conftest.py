@@ -7,7 +7,8 @@ SYLLABLES = {
     "de": "ein der sch ung keit ver zu auf lich en ge bez".split(),
     "fr": "les ai eau que ment eux tion oi ère pour une éa".split(),
 }
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, _text string"
+CLASHING = "score double, fp long, _text string, _known long, _removed string, _doc_id long, _masked string, n_tokens long, part int"
+DOCS = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
 
 
 def prose(draw, lang, words):
@@ -41,7 +42,7 @@ def make_rows():
     ]
     rows += [[200 + i, text, None if i % 2 else "en", None if i % 3 else "s1"] for i, text in enumerate(odd)]
     rows += [[None, "no id at all", None, None], [None, "no id at all", None, None], [5, rows[5][1], "de", "s1"]]
-    return [(*r, None if r[1] is None else len(r[1]), 0.5, 7, "other") for r in rows]
+    return [(*r, None if r[1] is None else len(r[1]), 0.5, 7, "other", 1, "r", 2, "m", 3, 4) for r in rows]
 
 
 @pytest.fixture(scope="session")

@@ -10,6 +10,7 @@ import pytest
 import sentencepiece
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -379,6 +380,23 @@ def test_shards(docs, rows):
     assert mapped.count() == sharding.SLOTS
 
 
+def test_a_slot_with_many_records_is_ordered_in_parts(spark):
+    docs = spark.range(2000).select(F.lit(7).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    found = sharding.shard(docs)[0].collect()
+    assert sorted(r["slot"] for r in found) == list(range(2000))
+    assert len({(r["shard"], r["virtual_slot"]) for r in found}) == 1
+    assert sharding.records(docs).select("part").distinct().count() > 32
+
+
+def test_extra_columns_pass_or_are_replaced(docs, rows, tagger):
+    counted = token_counts.token_counts(docs.select("doc_id", "text", "n_tokens", "_known"))
+    assert sorted(counted.columns) == sorted(["doc_id", "_known", "n_bytes", "n_tokens", "over_limit"])
+    assert {r["_known"] for r in counted.collect()} == {1}
+    for kept in (line_rules.clean(docs), simhash.deduplicate(docs), language.accept(docs), pii.redact(docs, tagger)):
+        assert kept.columns == docs.columns
+        assert {tuple(r)[5:] for r in kept.collect()} == {rows[0][5:]}
+
+
 def test_growing_moves_slots_to_the_new_shard_only():
     sizes = {s: ((s * 7919) % 1000 + 1, 1) for s in range(4096)}
     owner = sharding.balance(sizes, 8)
