@@ -38,6 +38,12 @@ def check_constraints(rows):
     return rows.withColumns({**flags, "valid": verdict})
 
 
+def off_topic(text, symptoms, codes, terms=tuple(fv.TOPIC_TERMS)):
+    """Whether an input is free text alone that has nothing to do with vehicles."""
+    alone = (F.size(or_empty(symptoms)) == 0) & (F.size(or_empty(codes)) == 0)
+    return is_given(strip(text)) & alone & ~quality.topic_ok(text, terms)
+
+
 def admit_inputs(
     messages, case, position, tokens, budget=fv.TOKENS_PER_CASE, terms=tuple(fv.TOPIC_TERMS)
 ):
@@ -45,16 +51,11 @@ def admit_inputs(
 
     The token budget comes first; the topic rule applies to free text alone.
     """
-    off_topic = (
-        is_given(strip(F.col("text")))
-        & (F.size(or_empty(F.col("symptoms"))) == 0)
-        & (F.size(or_empty(F.col("obdCodes"))) == 0)
-        & ~quality.topic_ok(F.col("text"), terms)
-    )
+    unrelated = off_topic(F.col("text"), F.col("symptoms"), F.col("obdCodes"), terms)
     judged = tokens_before(messages, case, position, tokens)
     return judged.filter(F.col("type") == fv.INPUT).withColumn(
         "reason",
-        F.when(F.col("used_before") >= budget, "token_budget").when(off_topic, "off_topic"),
+        F.when(F.col("used_before") >= budget, "token_budget").when(unrelated, "off_topic"),
     )
 
 

@@ -1,8 +1,10 @@
 """Rolling limits, token budgets, violations and usage counts."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
+from faultline.operators.recency import newest_per_key
 from faultline.operators.running import (
     first_position,
     hour_bucket,
@@ -115,12 +117,33 @@ def violation_totals(violations, key, block_after=fv.BLOCK_AFTER_VIOLATIONS):
     )
 
 
-def daily_count(rows, key, ts, as_of, length=DAY):
-    """Rows per installation in the last day before ``as_of`` (edge excluded)."""
-    recent = (F.col(ts) > as_of - F.expr(f"INTERVAL '{length}'")) & (F.col(ts) <= as_of)
+def daily_count(rows, key, ts, as_of, length=DAY, inclusive=False):
+    """Rows per installation in the last day before ``as_of`` (edge excluded by default)."""
+    edge = as_of - F.expr(f"INTERVAL '{length}'")
+    recent = (F.col(ts) >= edge if inclusive else F.col(ts) > edge) & (F.col(ts) <= as_of)
     return rows.filter(recent).groupBy(key).agg(F.count("*").alias("n"))
 
 
+def within_quota(rows, key, order, used, limit):
+    """Add ``granted``: whether a row is among the first of its key that fit beside the used.
+
+    ``used`` has the key and ``n``.  Only the first ``limit`` rows of a key can fit, and
+    they are cut in two steps, so no task holds a whole key.  ``order`` tells the rows of
+    a key apart; rows without a key are not granted.
+    """
+    first = newest_per_key(rows.select(key, *order), [key], order, limit, order[-1])
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    fits = (
+        first.withColumn("_place", place)
+        .join(used.select(key, F.col("n").alias("_used")), key, "left")
+        .filter(F.col("_place") + F.coalesce("_used", F.lit(0)) <= limit)
+        .select(key, *order, F.lit(True).alias("_fits"))
+    )
+    return rows.join(fits, [key, *order], "left").select(
+        *rows.columns, F.coalesce("_fits", F.lit(False)).alias("granted")
+    )
+
+
 def publish_daily_count(spark, view, key, ts, as_of_sql, name="daily_count"):
     """Publish the count as a SQL function of the installation."""
     spark.sql(

@@ -608,7 +608,64 @@ STATEMENTS = {
         FROM asked q LEFT JOIN blocks b ON b.query_id = q.id""",
 }
 
+_CLOSE = registry.CLOSE_SETTINGS
+CLOSED_FATES = f"""
+    SELECT * FROM (WITH judged AS (
+        SELECT id, installation_id, status, closed_at, power, {CASE_REASON} AS reason
+        FROM (SELECT * REPLACE (CASE WHEN power = '2-HIGH' THEN ' ' ELSE model END AS model),
+                     {TRIMMED.replace('text', 'description')} AS trimmed FROM docs)),
+    used AS (
+        SELECT installation_id, count(*) AS n FROM corpus
+        WHERE created_at > TIMESTAMP '{registry.CORPUS_AS_OF}' - INTERVAL {_CLOSE["length"]}
+          AND created_at <= TIMESTAMP '{registry.CORPUS_AS_OF}' GROUP BY installation_id),
+    fresh AS (
+        SELECT *, row_number() OVER (PARTITION BY installation_id
+                      ORDER BY coalesce(closed_at, TIMESTAMP '2002-01-01'), id) AS place
+        FROM judged WHERE reason IS NULL AND power <> '2-HIGH' AND status <> 'F')
+    SELECT j.id, j.installation_id,
+           CASE WHEN j.reason IS NOT NULL THEN 'rejected' WHEN j.power = '2-HIGH' THEN 'queued'
+                WHEN j.status = 'F' THEN 'duplicate'
+                WHEN f.place + coalesce(u.n, 0) <= {_CLOSE["limit"]} THEN 'inserted' ELSE 'queued' END AS fate,
+           CASE WHEN j.reason IS NOT NULL THEN j.reason WHEN j.power = '2-HIGH' THEN 'constraint'
+                WHEN f.place + coalesce(u.n, 0) > {_CLOSE["limit"]} THEN 'rate_limit' END AS reason
+    FROM judged j LEFT JOIN fresh f ON f.id = j.id LEFT JOIN used u ON u.installation_id = j.installation_id)"""
+
 STATEMENTS |= {
+    "close_flow": CLOSED_FATES,
+    "retry_flow": f"""
+        SELECT id, CASE fate WHEN 'rejected' THEN 'dropped' WHEN 'queued' THEN 'remaining' ELSE 'sent' END AS disposition
+        FROM ({CLOSED_FATES})""",
+    "gate_rounds": f"""
+        SELECT * FROM (WITH judged AS (
+            SELECT id, installation_id, status, CASE WHEN mileage >= {registry.ROUND_BUDGET} THEN 'token_budget'
+                       WHEN NOT {RELEVANT} THEN 'off_topic' END AS own
+            FROM (SELECT *, {TRIMMED.replace('text', 'description')} AS trimmed FROM docs WHERE status <> 'F')),
+        used AS (
+            SELECT installation_id, count(*) AS n FROM usage_log
+            WHERE success AND ts >= TIMESTAMP '{registry.AS_OF}' - INTERVAL 24 HOURS AND ts <= TIMESTAMP '{registry.AS_OF}'
+            GROUP BY installation_id),
+        placed_rounds AS (
+            SELECT id, row_number() OVER (PARTITION BY installation_id ORDER BY id) AS place FROM judged WHERE own IS NULL)
+        SELECT id, reason, CAST(CASE status WHEN 'P' THEN 3 ELSE 4 END
+                                - CASE WHEN reason IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_messages
+        FROM (SELECT j.id, j.status, coalesce(own, CASE WHEN p.place + coalesce(u.n, 0) > {registry.CALL_LIMIT}
+                                                THEN 'rate_limit' END) AS reason
+              FROM judged j LEFT JOIN placed_rounds p ON p.id = j.id
+              LEFT JOIN used u ON u.installation_id = j.installation_id))""",
+    "record_diagnoses": """
+        SELECT id,
+               CASE WHEN done AND status = 'P' THEN coalesce(model, brand, 'Vozidlo') || ' | pump'
+                    ELSE 'case ' || id END AS name,
+               CAST(CASE status WHEN 'P' THEN 3 ELSE 4 END + CASE WHEN done THEN 1 WHEN error IS NOT NULL THEN -1 ELSE 0 END
+                    AS INTEGER) AS n_messages,
+               CAST(mileage AS BIGINT) + CASE power WHEN '1-URGENT' THEN 15 WHEN '4-NOT SPECIFIED' THEN 10 ELSE 0 END AS "tokenCount",
+               error, id || CASE WHEN done THEN '-d' WHEN error IS NOT NULL THEN '-3' ELSE '-4' END AS last_id,
+               CASE WHEN done THEN 'diagnosis' ELSE 'input' END AS last_type,
+               CASE power WHEN '1-URGENT' THEN '{"závady":[{"název":"pump","pravděpodobnost":70}]}'
+                          WHEN '4-NOT SPECIFIED' THEN '{"závady":[{"název":"pump","pravděpodobnost":70}],"doporučené_testy":[]}' END AS last_result
+        FROM (SELECT *, power IN ('1-URGENT', '4-NOT SPECIFIED') AS done,
+                     CASE power WHEN '2-HIGH' THEN 'unreadable' WHEN '3-MEDIUM' THEN 'no_faults' END AS error
+              FROM docs WHERE status <> 'F')""",
     "t1_debounced_last_write": f"""
         SELECT CAST(user_id AS VARCHAR) AS case_id, arg_max(event_type || '-' || event_id, ts) AS data,
                max(ts) AS edited_at, count(*) AS n_edits

@@ -21,7 +21,7 @@ from faultline.operators import (
     scanlog,
     search,
 )
-from faultline.plans import views
+from faultline.plans import jobs, views
 from faultline.session import scratch_path, stage
 from faultline.sources import readers
 from faultline.streaming import jobs as streams
@@ -32,6 +32,7 @@ AS_OF = "2024-01-20 00:00:00"
 CORPUS_AS_OF = "2001-07-15 00:00:00"
 CALL_LIMIT = 5
 TOKEN_BUDGET = 300
+ROUND_BUDGET = 400_000
 TERMS = [*fv.TOPIC_TERMS, "die", "le"]
 
 
@@ -762,6 +763,57 @@ def j2_self_similarity(spark, sf_dir):
     return rows.select("id", (tenths / 10).alias("score"))
 
 
+# --- flows ------------------------------------------------------------------
+
+
+def _blank_models(documents):
+    """A blank model passes the case rules but not the table constraints."""
+    blank = F.when(F.col("vehicle.enginePower") == "2-HIGH", F.lit(" ")).otherwise(F.col("vehicle.model"))
+    return documents.withColumn("vehicle", F.col("vehicle").withField("model", blank))
+
+
+CLOSE_SETTINGS = {"limit": 3, "length": "400 days"}
+
+
+def _close_settings():
+    now = F.lit("2002-01-01").cast("timestamp")
+    return {"now": now, "as_of": at(CORPUS_AS_OF), **CLOSE_SETTINGS}
+
+
+@query
+def close_flow(spark, sf_dir):
+    documents = stage(_blank_models(views.case_documents(spark, sf_dir)), "documents")
+    _, fates, _ = jobs.close_flow(documents, views.case_corpus(spark, sf_dir), **_close_settings())
+    return fates
+
+
+@query
+def retry_flow(spark, sf_dir):
+    documents = stage(_blank_models(views.case_documents(spark, sf_dir)), "documents")
+    queue = documents.select("id", F.to_json(F.struct("*")).alias("data"), F.lit("offline").alias("error"))
+    _, tried, _ = jobs.retry_queue(queue, views.case_corpus(spark, sf_dir), **_close_settings())
+    return tried.select("id", "disposition")
+
+
+@query
+def gate_rounds(spark, sf_dir):
+    calls = views.usage_log(spark, sf_dir).filter("success")
+    rounds = stage(views.open_rounds(spark, sf_dir), "rounds")
+    gated = jobs.gate_rounds(rounds, calls, at(AS_OF), ROUND_BUDGET, CALL_LIMIT, TERMS)
+    return gated.select("id", F.size("messages").alias("n_messages"), "reason")
+
+
+@query
+def record_diagnoses(spark, sf_dir):
+    rounds = stage(views.open_rounds(spark, sf_dir), "rounds")
+    recorded = jobs.record_diagnoses(rounds, views.round_answers(rounds))
+    last = F.element_at("messages", -1)
+    return recorded.select(
+        "id", "name", F.size("messages").alias("n_messages"), "tokenCount", "error",
+        last["id"].alias("last_id"), last["type"].alias("last_type"), last["result"].alias("last_result"),
+    )
+
+
 # --- streams ----------------------------------------------------------------
 
 
@@ -859,10 +911,8 @@ def t5_stream_search(spark, sf_dir):
 @query
 def t6_stream_quality_gate(spark, sf_dir):
     path = scratch_path(spark, "documents")
-    documents = views.case_documents(spark, sf_dir)
-    # A blank model passes the case rules but not the table constraints.
-    blank = F.when(F.col("vehicle.enginePower") == "2-HIGH", F.lit(" ")).otherwise(F.col("vehicle.model"))
-    documents.withColumn("vehicle", F.col("vehicle").withField("model", blank)).write.parquet(path)
+    documents = _blank_models(views.case_documents(spark, sf_dir))
+    documents.write.parquet(path)
     arriving = spark.readStream.schema(documents.schema).parquet(path)
     out = {name: scratch_path(spark, name) for name in ("accepted", "rejected", "queued")}
     writer = streams.quality_gate_writer(arriving, *out.values(), now=F.lit("2002-01-01").cast("timestamp"))

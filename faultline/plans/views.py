@@ -170,6 +170,39 @@ def case_documents(spark, sf_dir):
     )
 
 
+def open_rounds(spark, sf_dir):
+    """Open cases with a newest input of text alone; undiagnosed where the status is P."""
+    documents = case_documents(spark, sf_dir).filter(F.col("status") != fv.STATUS_CLOSED)
+    nothing = F.lit(None).cast("array<string>")
+    newest = F.col("messages")[0]
+    for field, value in [("id", F.concat("id", F.lit("-4"))), ("symptoms", nothing), ("obdCodes", nothing)]:
+        newest = newest.withField(field, value)
+    fresh = F.col("vehicle.mileage") == "abc"
+    kept = F.when(fresh, F.filter("messages", lambda m: m["type"] == fv.INPUT)).otherwise(F.col("messages"))
+    return documents.withColumn("messages", F.concat(kept, F.array(newest)))
+
+
+def round_answers(rounds):
+    """Answers to the rounds by engine power: whole, none at all, without faults, cut, missing."""
+    power = F.col("vehicle.enginePower")
+    fault = F.lit('{"závady":[{"název":"pump","pravděpodobnost":70}')
+    body = (
+        F.when(power == "1-URGENT", F.concat(fault, F.lit("]}")))
+        .when(power == "2-HIGH", "no object at all")
+        .when(power == "3-MEDIUM", '{"závady":[]}')
+        .when(power == "4-NOT SPECIFIED", F.concat(fault, F.lit(',{"název":"cut')))
+    )
+    return rounds.filter(body.isNotNull()).select(
+        F.col("id").alias("case_id"),
+        F.concat("id", F.lit("-d")).alias("diagnosis_id"),
+        F.col("createdAt").alias("answered_at"),
+        F.array(F.struct(body.alias("text"))).alias("content"),
+        F.lit(10).cast("bigint").alias("input_tokens"),
+        F.when(power == "1-URGENT", F.lit(5)).cast("bigint").alias("output_tokens"),
+        F.array("id").alias("match_ids"),
+    )
+
+
 def case_messages(spark, sf_dir):
     """Conversation turns as case messages; tokens are words."""
     trimmed = F.regexp_replace("text", r"^\s+|\s+$", "")

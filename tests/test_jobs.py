@@ -107,3 +107,49 @@ def test_scratch_follows_the_session_setting(spark):
     configured = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark) == configured and scratch_path(spark, "x").startswith(configured)
     assert configured in stage(spark.range(3), "numbers").inputFiles()[0]
+
+
+def test_diagnoses_are_recorded_or_cost_their_input(spark):
+    rounds = stage(views.open_rounds(spark, SMALL), "rounds")
+    recorded = jobs.record_diagnoses(rounds, views.round_answers(rounds).limit(0))
+    assert recorded.drop("error").exceptAll(rounds).isEmpty()
+    answers = views.round_answers(rounds).withColumn("input_tokens", F.lit(None).cast("bigint"))
+    done = jobs.record_diagnoses(rounds, answers).filter("error IS NULL").select("id", "messages")
+    tokens = {r["messages"][-1]["tokensUsed"] for r in done.collect() if r["messages"][-1]["type"] == "diagnosis"}
+    assert tokens == {0, 5}
+
+
+def test_queue_shrinks_to_the_cases_that_may_still_succeed(spark):
+    message = (None, "input", ["s"], ["P0401"], "t", None, None, None, None)
+
+    def case(id, resolution="replaced the pump", model="M", owner="i", closed="2024-01-01"):
+        return (id, "n", "x", None, closed, ("B", model, "1", None), [message], resolution, 0, owner)
+
+    documents = spark.createDataFrame(
+        [case("1"), case("2"), case("3"), case("4", "short"), case("5", model=" "), case("6", closed="soon"),
+         case("7", owner=None), case("8", owner=None)],
+        schemas.CASE_DOCUMENT,
+    )
+    corpus = spark.createDataFrame(
+        [("i", "1", None), ("i", "0", "2024-01-01 23:00:00"), ("i", "9", "2023-12-01 00:00:00")],
+        "installation_id string, local_id string, created_at string",
+    ).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    at = F.lit("2024-01-02").cast("timestamp")
+    rows, fates, queue = jobs.close_flow(documents, corpus, at, at, limit=2)
+    assert {(r["id"], r["fate"], r["reason"]) for r in fates.collect()} == {
+        ("1", "duplicate", None), ("2", "inserted", None), ("3", "queued", "rate_limit"),
+        ("4", "rejected", "too_short"), ("5", "queued", "constraint"),
+        ("6", "queued", "closed_at"), ("7", "inserted", None), ("8", "inserted", None),
+    }
+    assert sorted(r["local_id"] for r in rows.collect()) == ["2", "7", "8"]
+    assert sorted((r["id"], r["error"]) for r in queue.collect()) == [
+        ("3", "rate_limit"), ("5", "constraint"), ("6", "closed_at")
+    ]
+    broken = queue.unionByName(spark.createDataFrame([("x", "{", "e")], queue.schema))
+    later = F.lit("2024-01-03").cast("timestamp")
+    rows, tried, left = jobs.retry_queue(stage(broken, "queue"), corpus, now=later, as_of=later, limit=2)
+    assert [r["local_id"] for r in rows.collect()] == ["3"]
+    assert {(r["id"], r["disposition"]) for r in tried.collect()} == {
+        ("3", "sent"), ("5", "remaining"), ("6", "remaining"), ("x", "dropped")
+    }
+    assert sorted(r["id"] for r in left.collect()) == ["5", "6"]
