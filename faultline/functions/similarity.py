@@ -52,11 +52,11 @@ def word_tenths(query_terms, text):
     return F.least(_found(query_terms, text) * fv.WORD_TENTHS, F.lit(fv.WORD_TENTHS_MAX))
 
 
+def base_tenths(codes, symptoms, text, attributes):
+    """All parts but the words; the lists are lower-cased already."""
+    return attributes + code_tenths(codes, text) + symptom_tenths(symptoms, text)
+
+
 def similarity_tenths(codes, symptoms, terms, text, attributes):
     """Sum of all parts; the lists are lower-cased already."""
-    return (
-        attributes
-        + code_tenths(codes, text)
-        + symptom_tenths(symptoms, text)
-        + word_tenths(terms, text)
-    )
+    return base_tenths(codes, symptoms, text, attributes) + word_tenths(terms, text)

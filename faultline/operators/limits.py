@@ -7,10 +7,10 @@ from faultline import fixed_values as fv
 from faultline.operators.recency import newest_per_key
 from faultline.operators.running import (
     first_position,
-    hour_bucket,
     position_bucket,
     rolling_count,
     running,
+    second_bucket,
 )
 from faultline.operators.skew import join_spreading_hot_keys
 
@@ -102,7 +102,7 @@ def running_violations(violations, key, ts, order, block_after=fv.BLOCK_AFTER_VI
     numbered = running(
         violations,
         [key],
-        hour_bucket(F.col(ts)),
+        second_bucket(violations, ts),
         [ts, *order],
         sums={"violation_count": F.lit(1)},
     )

@@ -1,9 +1,11 @@
-"""Running values per key, computed in two levels.
-
-Rows are cut into buckets along the order, values run inside each (key, bucket)
-and a much smaller table of bucket totals supplies what came before.  No task
-ever holds more than one bucket of a key, so a key with a large share of all
-rows is processed by many tasks.  Rows without a key are one key of their own.
+"""Running values per key, computed in three levels.
+
+Rows are cut into buckets along the order, values run inside each (key, bucket), and
+bucket totals supply what came before.  The totals run in the same way inside groups of
+``GROUP`` buckets, whose own totals run per key.  A task holds one bucket of a key, one
+group of its bucket totals or its group totals, so a key with a large share of all rows
+is processed by many tasks.  Time is cut into seconds: only rows of one key at one
+second are sure to meet in one task.  Rows without a key are one key of their own.
 """
 
 from functools import reduce
@@ -11,15 +13,61 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from faultline.operators.recency import micros
+
 POSITIONS_PER_BUCKET = 4096
+#: Buckets of a key whose totals run together.
+GROUP = 4096
 
 
 def position_bucket(position):
     return F.floor(position / POSITIONS_PER_BUCKET)
 
 
-def hour_bucket(ts):
-    return F.unix_date(ts.cast("date")) * 24 + F.hour(ts)
+def second_bucket(df, ts):
+    return F.floor(micros(df, ts) / 1_000_000)
+
+
+def _same(keys):
+    """Equal keys, null ones included; the other side's begin with ``_k_``."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+
+
+def _carried(totals, keys, folds):
+    """What the earlier buckets of a key give; ``folds`` maps columns to sum or max."""
+
+    def run(within, order):
+        earlier = (
+            Window.partitionBy(*within)
+            .orderBy(order)
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        return [fold(f"_v_{name}").over(earlier) for name, fold in folds.items()]
+
+    grouped = totals.withColumn("_group", F.floor(F.col("_bucket") / GROUP))
+    in_group = [*keys, "_group"]
+    groups = grouped.groupBy(*in_group).agg(
+        *[fold(f"_v_{name}").alias(f"_v_{name}") for name, fold in folds.items()]
+    )
+    before_group = groups.select(
+        *[F.col(k).alias(f"_k_{k}") for k in in_group],
+        *[value.alias(f"_g_{name}") for name, value in zip(folds, run(keys, "_group"))],
+    )
+    in_bucket = grouped.select(
+        *in_group,
+        "_bucket",
+        *[value.alias(f"_b_{name}") for name, value in zip(folds, run(in_group, "_bucket"))],
+    )
+
+    def both(name, fold):
+        parts = [F.col(f"_b_{name}"), F.col(f"_g_{name}")]
+        if fold is F.max:
+            return F.greatest(*parts)
+        return F.coalesce(parts[0], F.lit(0)) + F.coalesce(parts[1], F.lit(0))
+
+    return in_bucket.join(before_group, _same(in_group), "left").select(
+        *keys, "_bucket", *[both(name, fold).alias(f"_c_{name}") for name, fold in folds.items()]
+    )
 
 
 def running(df, keys, bucket, order, sums=None, maxes=None, before=False):
@@ -34,30 +82,21 @@ def running(df, keys, bucket, order, sums=None, maxes=None, before=False):
     )
     per_bucket = [*keys, "_bucket"]
 
-    def fold(name):
-        return (F.sum if name in sums else F.max)(f"_v_{name}")
-
+    folds = {name: F.sum if name in sums else F.max for name in inputs}
     inside = (
         Window.partitionBy(*per_bucket)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
     )
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy("_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = (
-        staged.groupBy(*per_bucket)
-        .agg(*[fold(name).alias(f"_v_{name}") for name in inputs])
-        .select(*per_bucket, *[fold(name).over(earlier).alias(f"_c_{name}") for name in inputs])
+    totals = staged.groupBy(*per_bucket).agg(
+        *[fold(f"_v_{name}").alias(f"_v_{name}") for name, fold in folds.items()]
     )
-    local = staged.select("*", *[fold(name).over(inside).alias(f"_l_{name}") for name in inputs])
-    same = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in per_bucket]
+    carried = _carried(totals, keys, folds)
+    local = staged.select(
+        "*", *[fold(f"_v_{name}").over(inside).alias(f"_l_{name}") for name, fold in folds.items()]
     )
     joined = local.join(
-        carried.withColumnsRenamed({k: f"_k_{k}" for k in per_bucket}), same, "left"
+        carried.withColumnsRenamed({k: f"_k_{k}" for k in per_bucket}), _same(per_bucket), "left"
     )
     zero = F.lit(0)
     results = {
@@ -94,7 +133,7 @@ def rolling_count(df, key, ts, order, length, name, counted=None, inclusive=Fals
     balance = running(
         timeline,
         [key],
-        hour_bucket(F.col("_at")),
+        second_bucket(timeline, "_at"),
         ["_at", "_turn", *order],
         sums={name: F.col("_delta")},
     )

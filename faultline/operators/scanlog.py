@@ -6,7 +6,7 @@ from faultline import fixed_values as fv
 from faultline.functions import scan
 from faultline.functions.once import once
 from faultline.operators.cases import new_pending_codes
-from faultline.operators.running import hour_bucket, running
+from faultline.operators.running import running, second_bucket
 
 
 def parse_responses(scans):
@@ -53,7 +53,7 @@ def chunk_sessions(chunks, port, ts, order, silence=fv.CHUNK_SILENCE):
 
     A response ends when the port stays silent for longer than ``silence``.
     """
-    bucket = hour_bucket(F.col(ts))
+    bucket = second_bucket(chunks, ts)
     with_previous = running(
         chunks, [port], bucket, [ts, *order], maxes={"_previous": F.col(ts)}, before=True
     )

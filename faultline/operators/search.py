@@ -131,8 +131,12 @@ def candidate_cases(queries, corpus, limit=fv.CANDIDATE_LIMIT):
     )
 
 
-def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT):
-    """Every candidate pair with its score in tenths and its ownership."""
+def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT, needed=None):
+    """Every candidate pair with its score in tenths and its ownership.
+
+    ``needed`` maps the ownership column to the tenths a pair must reach: pairs below
+    are left out, and those that no word can lift so far are spared the word test.
+    """
     features = queries.select(
         "query_id",
         F.col("installation_id").alias("asking_installation"),
@@ -157,18 +161,19 @@ def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT):
         sim.case_text(F.col("symptoms"), F.col("obd_codes"), F.col("description")).alias("text"),
     )
     own = F.coalesce(F.col("installation_id") == F.col("asking_installation"), F.lit(False))
-    tenths = sim.similarity_tenths(
-        F.col("q_codes"),
-        F.col("q_symptoms"),
-        F.col("q_words"),
-        F.col("text"),
-        sim.attribute_tenths(
-            F.col("asked_model"), F.col("vehicle_model"), F.col("asked_power"), F.col("engine_power")
-        ),
+    attributes = sim.attribute_tenths(
+        F.col("asked_model"), F.col("vehicle_model"), F.col("asked_power"), F.col("engine_power")
     )
-    return pairs.join(cases, "case_id").select(
-        "query_id", "case_id", "closed_at", once(tenths=tenths, is_own=own)
+    base = sim.base_tenths(F.col("q_codes"), F.col("q_symptoms"), F.col("text"), attributes)
+    based = pairs.join(cases, "case_id").select(
+        "query_id", "case_id", "closed_at", "q_words", "text", once(base=base, is_own=own)
     )
+    least = None if needed is None else needed(F.col("is_own"))
+    if least is not None:
+        based = based.filter(F.col("base") + fv.WORD_TENTHS_MAX >= least)
+    tenths = F.col("base") + sim.word_tenths(F.col("q_words"), F.col("text"))
+    scored = based.select("query_id", "case_id", "closed_at", "is_own", once(tenths=tenths))
+    return scored if least is None else scored.filter(F.col("tenths") >= least)
 
 
 def search(
@@ -180,8 +185,11 @@ def search(
     other_threshold=fv.OTHER_THRESHOLD,
 ):
     """Best hits per query: score, then own cases, then newest, then id."""
-    needed = F.when(F.col("is_own"), own_threshold * 10).otherwise(other_threshold * 10)
-    passing = scored_candidates(queries, corpus, limit).filter(F.col("tenths") >= needed)
+
+    def needed(is_own):
+        return F.when(is_own, own_threshold * 10).otherwise(other_threshold * 10)
+
+    passing = scored_candidates(queries, corpus, limit, needed)
     best = Window.partitionBy("query_id").orderBy(
         F.desc("tenths"), F.desc("is_own"), F.desc_nulls_first("closed_at"), F.asc("case_id")
     )

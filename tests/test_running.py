@@ -60,6 +60,29 @@ def test_running_keeps_every_row_of_a_long_key(table):
     assert got.filter("n <> pos + 1").count() == 0 and got.count() == 9000
 
 
+def test_a_dense_hour_of_one_key_is_cut(spark):
+    frame = spark.range(200_000).selectExpr(
+        "CAST(NULL AS STRING) AS k", "timestamp_micros(id * 17000) AS ts", "id"
+    )
+    got = running.running(
+        frame, ["k"], running.second_bucket(frame, "ts"), ["ts", "id"], sums={"n": F.lit(1)}
+    )
+    largest = frame.groupBy(running.second_bucket(frame, "ts")).count().agg(F.max("count")).first()[0]
+    assert largest < 60 and got.filter("n <> id + 1").count() == 0 and got.count() == 200_000
+
+
+def test_totals_run_across_groups_of_buckets(table, monkeypatch):
+    monkeypatch.setattr(running, "GROUP", 3)
+    rows = [(None if i % 2 else "a", i) for i in range(100)]
+    got = running.running(
+        table(rows, "k string, pos int"), ["k"], F.floor(F.col("pos") / 4), ["pos"],
+        sums={"n": F.lit(1)}, maxes={"last": F.when(F.col("pos") < 30, F.col("pos"))}, before=True,
+    )
+    for r in got.collect():
+        earlier = [pos for k, pos in rows if k == r["k"] and pos < r["pos"]]
+        assert (r["n"], r["last"]) == (len(earlier), max((p for p in earlier if p < 30), default=None))
+
+
 @pytest.mark.parametrize("inclusive", [False, True])
 def test_rolling_count(table, inclusive):
     rows = log_rows(1)
