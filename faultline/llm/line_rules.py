@@ -2,11 +2,15 @@
 
 Every line is normalised (A-Z lowered, blanks collapsed and trimmed) and hashed.  A
 line is counted in each host (column ``source``) over the distinct documents that
-hold it.  A line found in more than ``max_docs`` documents of a host is boilerplate
-there: it is removed from all of them but the one with the smallest doc_id, which
+hold it.  A line found in more than ``max_docs`` documents of a host, and in more than
+``max_share`` of all distinct documents of that host, is boilerplate there: it is removed from all of them but the one with the smallest doc_id, which
 stays as its original.  A document that keeps less than ``min_left`` of the
 characters of its distinct lines is depleted and rejected.
 
+The query's SQL knows a number of documents only (``MAX_DOCS``, no share), so ``judge``
+keeps that.  ``clean``, the pipeline's stage, takes a share with a small minimum, which
+holds for hosts of any size.
+
 Null text counts as empty: no lines, no words.  Lines without a word are neither
 counted nor removed.  A null host is a host of its own.  Repeated rows are one
 document and get the same verdict.  Null ids come last as originals.  Ties cannot
@@ -20,8 +24,11 @@ from pyspark.sql import functions as F
 
 from faultline.llm.base import own_prefix, stage, text_columns
 
-#: Documents of one host that may share a line.
+#: Documents of one host that may share a line: the query's limit, as in its SQL.
 MAX_DOCS = 100
+#: The stage's limits: as many documents, and this share of the host's distinct documents.
+MIN_DOCS = 5
+MAX_SHARE = 0.02
 #: Share of its line characters that a document must keep.
 MIN_LEFT = 0.3
 #: Rules on the whole text.
@@ -91,19 +98,39 @@ def document_lines(docs):
     return _keyed(docs).select(*DOCUMENT, F.inline(_lines("text"))).distinct()
 
 
-def boilerplate(lines, max_docs=MAX_DOCS):
-    """Lines above the limit: host, common_line, n_docs and the document that keeps it."""
-    return (
+def host_sizes(docs, max_docs):
+    """held_host and host_docs: distinct documents of every host where a line can pass the limit."""
+    hosts = _keyed(docs).select(*DOCUMENT).distinct().groupBy(F.col("source").alias("held_host"))
+    return hosts.agg(F.count("*").alias("host_docs")).filter(F.col("host_docs") > max_docs)
+
+
+def boilerplate(lines, max_docs=MAX_DOCS, hosts=None, max_share=0.0):
+    """Lines above the limits: host, common_line, n_docs and the document that keeps it.
+
+    ``hosts`` (see ``host_sizes``) is needed where a share is given.
+    """
+    many = (
         lines.groupBy(F.col("source").alias("host"), F.col("line").alias("common_line"))
         .agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
         .filter(F.col("n_docs") > max_docs)
     )
+    if hosts is None:
+        return many
+    above = F.col("host").eqNullSafe(F.col("held_host")) & (
+        F.col("n_docs") > max_share * F.col("host_docs")
+    )
+    return many.join(hosts, above).select(*many.columns)
 
 
-def losses(docs, max_docs=MAX_DOCS):
+def losses(docs, max_docs=MAX_DOCS, max_share=0.0):
     """For each document that loses lines: their hashes and characters."""
     lines = stage(document_lines(docs), "document-lines")
-    common = stage(boilerplate(lines, max_docs), "boilerplate-lines")
+    hosts = None
+    if max_share:
+        hosts = stage(host_sizes(docs, max_docs), "host-sizes")
+        if hosts.count() <= BROADCAST_ROWS:
+            hosts = F.broadcast(hosts)
+    common = stage(boilerplate(lines, max_docs, hosts, max_share), "boilerplate-lines")
     if common.count() <= BROADCAST_ROWS:
         common = F.broadcast(common)
     here = F.col("source").eqNullSafe(F.col("host")) & (F.col("line") == F.col("common_line"))
@@ -127,7 +154,7 @@ def _depleted(min_left):
     return F.coalesce(left < min_left * F.col("line_chars"), F.lit(False))
 
 
-def judge(docs, max_docs=MAX_DOCS, min_left=MIN_LEFT):
+def judge(docs, max_docs=MAX_DOCS, min_left=MIN_LEFT, max_share=0.0):
     """The counts, the verdict and the removed lines of every row of ``docs``."""
     keyed = _keyed(docs)
     chars = F.aggregate(_lines("text"), F.lit(0).cast("long"), lambda a, x: a + x["chars"])
@@ -137,7 +164,7 @@ def judge(docs, max_docs=MAX_DOCS, min_left=MIN_LEFT):
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")
     )
-    return _with_losses(counted, losses(docs, max_docs)).select(
+    return _with_losses(counted, losses(docs, max_docs, max_share)).select(
         "doc_id",
         "source",
         "text_hash",
@@ -150,12 +177,12 @@ def judge(docs, max_docs=MAX_DOCS, min_left=MIN_LEFT):
     )
 
 
-def clean(docs, max_docs=MAX_DOCS, min_left=MIN_LEFT):
+def clean(docs, max_docs=MIN_DOCS, min_left=MIN_LEFT, max_share=MAX_SHARE):
     """The documents that stay, without their boilerplate lines; same columns.
 
     A text that loses no line stays as it is; ``n_chars``, if there, follows the text.
     """
-    verdict = judge(docs, max_docs, min_left).filter("kept").select(*DOCUMENT, "_removed")
+    verdict = judge(docs, max_docs, min_left, max_share).filter("kept").select(*DOCUMENT, "_removed")
     own = own_prefix(docs)
     verdict = verdict.dropDuplicates(DOCUMENT).select(
         *[F.col(name).alias(own + name) for name in DOCUMENT],

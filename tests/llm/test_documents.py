@@ -1,6 +1,7 @@
 """Operators on documents against plain restatements, over every kind of odd row."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -93,6 +94,22 @@ def test_cleaned_documents(docs, rows):
     assert line_rules.clean(docs, 10).columns == docs.columns
 
 
+def test_stage_removes_lines_by_share_of_any_host(spark):
+    """Production limits: a host of 40, one of 1,000 and a null host, each below 100 copies."""
+    draw, rows = random.Random(8), []
+    for host, n, shared, rare in (("small", 40, 8, 5), ("large", 1000, 60, 15), (None, 60, 30, 4)):
+        for i in range(n):
+            text = "\n".join(" ".join(str(draw.random()) for _ in range(10)) for _ in range(7))
+            text += f"\nShared  line of {host}" * (i < shared) + f"\nrare line of {host}" * (i < rare)
+            rows.append((len(rows), text, host))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    left = [r["text"] for r in line_rules.clean(docs).collect()]
+    assert len(left) == len(rows)
+    for host, n_rare in (("small", 5), ("large", 15), (None, 4)):
+        assert sum(f"Shared  line of {host}" in text for text in left) == 1
+        assert sum(f"rare line of {host}" in text for text in left) == n_rare
+
+
 # --- 2: SimHash ---------------------------------------------------------------------
 
 
