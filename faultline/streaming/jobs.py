@@ -12,6 +12,9 @@ from faultline.streaming.sinks import read_before, write_batch
 
 EDIT_DELAY = "1 minute"
 INGEST_DELAY = "24 hours"
+#: Spark's mark on the event time of a plan, and an event time that is never late.
+WATERMARK = "spark.watermarkDelayMs"
+NEVER_LATE = "2260-01-01 00:00:00"
 
 
 def debounced_last_write(edits, case, ts, data, silence=fv.EDIT_SILENCE, delay=EDIT_DELAY):
@@ -49,7 +52,10 @@ def rate_limit(attempts, key, ts, order, limit, length=limits.DAY, inclusive=Fal
     The state never holds more than ``limit`` times and is dropped once the
     watermark has passed the last of them by ``length``.  A row that is late by up
     to ``length`` is judged against the state at arrival and takes its place among the
-    times; an older one is dropped by Spark, as any row behind the watermark.
+    times.  An older one, for which the state may be gone, is denied and counts for
+    nothing, as is one without a time.  Every row gets a verdict: Spark would drop rows
+    behind the watermark, so the fold's event time is a column that is never late,
+    while the query's watermark is still taken from ``ts``.
     """
     window = length_micros(length)
     columns = [key, ts, *order]
@@ -61,8 +67,14 @@ def rate_limit(attempts, key, ts, order, limit, length=limits.DAY, inclusive=Fal
             return
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["_at", *order])
-        verdicts = [judge(held, int(at), limit, window, inclusive) for at in rows["_at"]]
-        state.update((held,))
+        mark = state.getCurrentWatermarkMs() * 1000
+        verdicts = [
+            not (pd.isna(at) or 0 < mark and at < mark)
+            and judge(held, int(at), limit, window, inclusive)
+            for at in rows["_at"]
+        ]
+        if held or state.exists:
+            state.update((held,))
         if held:
             expiry = int(held[-1] + window) // 1000 + 1
             state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
@@ -71,6 +83,10 @@ def rate_limit(attempts, key, ts, order, limit, length=limits.DAY, inclusive=Fal
     return (
         attempts.select(*columns, F.unix_micros(ts).alias("_at"))
         .withWatermark(ts, length)
+        .select(
+            *[F.col(c).alias(c, metadata={}) for c in (*columns, "_at")],
+            F.lit(NEVER_LATE).cast("timestamp").alias("_never_late", metadata={WATERMARK: window // 1000}),
+        )
         .groupBy(key)
         .applyInPandasWithState(
             fold, schema, "admitted array<bigint>", "append", GroupStateTimeout.EventTimeTimeout

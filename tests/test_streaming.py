@@ -51,6 +51,23 @@ def test_rate_limit_equals_batch(spark, in_files, tmp_path):
     assert judged.exceptAll(twin).count() == 0 and judged.filter("NOT admitted").count() > 0
 
 
+def test_rate_limit_judges_rows_behind_the_watermark(spark, table, in_files, tmp_path):
+    hour = datetime.timedelta(hours=1)
+    rows = [(i, f"k{i % 3}", DAY0 + i * hour) for i in range(200)]
+    # arrive in the last of four files: far behind, just behind, within the window, without a time
+    rows += [(200 + i, key, at) for i, (key, at) in enumerate([
+        ("k0", DAY0), ("new", DAY0 + hour), ("k1", DAY0 + 124 * hour), ("new", DAY0 + 140 * hour), ("k2", None), (None, DAY0),
+    ])]
+    attempts = table([(*r, r[0]) for r in rows], "event_id long, installation_id string, ts timestamp, n long")
+    stream = in_files(attempts, "n")
+    judged = appended(spark, jobs.rate_limit(stream, "installation_id", "ts", ["event_id"], 3), tmp_path).collect()
+    assert sorted(r["event_id"] for r in judged) == list(range(206))
+    verdict = {r["event_id"]: r["admitted"] for r in judged}
+    assert [verdict[i] for i in range(200, 206)] == [False, False, False, True, False, False]
+    twin = admission.admit(attempts.filter("event_id < 200"), "installation_id", "ts", ["event_id"], 3, limits.DAY)
+    assert {r["event_id"]: r["admitted"] for r in twin.collect()} == {i: verdict[i] for i in range(200)}
+
+
 def test_chunks_equal_batch_once_closed(spark, in_files, tmp_path):
     chunks = instants(views.chunks(spark, SMALL))
     stream = in_files(chunks, "ts")
