@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
+from faultline.llm import near_copies
 from faultline.llm.base import own_prefix, stage, text_columns
 from faultline.llm.components import roots
 
@@ -207,15 +208,19 @@ def classes(docs):
 
 
 def deduplicate(docs):
-    """One document of each class, the one with the smallest id; same columns.
+    """One document of each class of ``near_copies``, the one with the smallest id; same columns.
 
-    Of repeated rows with that id one stays.  Rows without an id come behind all
-    others and are told apart by their texts.
+    The query's settings (three words, three bits) do not bind this stage.  Of repeated
+    rows of that document one stays; rows that share an id but not the text are different
+    documents.  Rows without an id come behind all others and are told apart by their texts.
     """
+    own = own_prefix(docs)
+    key = [f"{own}known", f"{own}text"]
     behind = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    name = f"{own_prefix(docs)}known"
-    known = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), behind))
-    found = classes(known.select(F.col(name).alias("doc_id"), "text"))
-    chosen = found.filter("doc_id = component_id").select(F.col("doc_id").alias(name))
-    kept = known.join(chosen.distinct(), name, "left_semi").dropDuplicates([name])
+    known = docs.withColumns(
+        {key[0]: F.coalesce(F.col("doc_id").cast("long"), behind), key[1]: F.xxhash64("text")}
+    )
+    found = near_copies.classes(known.select(*key, "text"), "class")
+    chosen = found.groupBy("class").agg(F.min(F.struct(*key)).alias("kept")).select("kept.*")
+    kept = known.join(chosen.distinct(), key, "left_semi").dropDuplicates(key)
     return kept.select(*docs.columns)

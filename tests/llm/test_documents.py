@@ -188,6 +188,33 @@ def test_one_of_each_class_stays(docs, rows):
     assert ids == Counter(set(class_of.values()))
 
 
+def test_stage_finds_near_copies_by_exact_similarity(spark):
+    """Against all pairs: single words changed in texts of 60 to 300 words, chains, a large group."""
+    draw, texts = random.Random(6), []
+    for n in (60, 100, 200, 300) * 5 + (80,):
+        words = [f"w{draw.randrange(5000)}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for at in range(60 if n == 80 else 6):
+            if n == 80 or at == 3:
+                words = texts[-1 - at % 2].split()
+            for _ in range(draw.randint(1, max(1, n // 40))):
+                words[draw.randrange(n)] = f"x{draw.random()}"
+            texts.append(" ".join(words))
+
+    def grams(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    sets, group = [grams(t) for t in texts], list(range(len(texts)))
+    near = [(i, j) for j in group for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in group:
+        for i, j in near:
+            group[i] = group[j] = min(group[i], group[j])
+    assert 20 < len(set(group)) < len(texts) - 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == set(group)
+
+
 # --- 3: language --------------------------------------------------------------------
 
 
