@@ -1,6 +1,6 @@
 """Nearest neighbours by inner product with a forest of random-projection trees.
 
-Trees are fitted on about ``SAMPLE`` vectors (at most twice that) drawn by the hash of the id: a node's hyperplane lies
+Trees are fitted on about ``SAMPLE`` vectors (at most twice that) drawn by the hash of id and vector: a node's hyperplane lies
 between two random members, at the median projection.  Every vector is indexed under
 its leaf in each tree.  A query walks all trees through one priority queue ordered by its
 margin to the hyperplanes and takes leaves until its effort is spent.  Leaf candidates
@@ -20,8 +20,9 @@ leaf are themselves split by ``CHUNK``.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, neither as queries nor as candidates; nor do rows without an
-id.  A vec_id that repeats is dealt with as that many candidates of which the best
-counts once.  Ties go to the smaller vec_id.  Empty tables give empty results.  Only
+id.  Repeated rows count once.  A vec_id with several vectors is dealt with as that many
+candidates of which the best counts: bounds and cuts are taken over distinct ids, never
+over rows.  As a query it asks with the least of its vectors.  Ties go to the smaller vec_id.  Empty tables give empty results.  Only
 vec_id and embedding are read.
 """
 
@@ -135,15 +136,22 @@ class Forest:
             heapq.heappush(queue, (max(cost, abs(margin)), far))
 
 
-def calibrate(forest, sample, k=NEIGHBOURS, recall=RECALL, trials=TRIALS):
+def best_of_ids(scores, ids):
+    """The place of the best score of each distinct id, best first, ties to the smaller id."""
+    order = np.lexsort((ids, -scores))
+    return order[np.sort(np.unique(ids[order], return_index=True)[1])]
+
+
+def calibrate(forest, sample, k=NEIGHBOURS, recall=RECALL, trials=TRIALS, ids=None):
     """Leaves a query must take to find ``recall`` of its neighbours in the sample."""
-    if len(sample) <= k + 1:
+    ids = np.arange(len(sample)) if ids is None else ids
+    if len(np.unique(ids)) <= k + 1:
         return len(forest.offsets)
     at = np.arange(0, len(sample), max(1, len(sample) // trials))
     queries, leaves = sample[at], forest.leaves(sample)
     scores = queries @ sample.T
-    scores[np.arange(len(at)), at] = -np.inf
-    truth = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    others = [np.flatnonzero(ids != ids[i]) for i in at]
+    truth = [o[best_of_ids(row[o], ids[o])[:k]] for o, row in zip(others, scores, strict=True)]
     needed = []
     for best, order in zip(truth, forest.probes(queries), strict=True):
         turn = {leaf: n + 1 for n, leaf in enumerate(order)}
@@ -155,11 +163,11 @@ def fit(rows, sample=SAMPLE, k=NEIGHBOURS):
     """(forest, effort, sample matrix, sample ids) for the usable vectors."""
     squares = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
     longest = rows.agg(F.sqrt(F.max(squares))).first()[0] or 0.0
-    taken = drawn(rows, sample, "vec_id").sort("vec_id").collect()
+    taken = drawn(rows, sample, "vec_id", "v").sort("vec_id", "v").collect()
     ids = np.array([row["vec_id"] for row in taken], np.int64)
     matrix = np.array([row["v"] for row in taken], float).reshape(len(taken), -1 if taken else 1)
     forest = Forest(matrix, longest)
-    return forest, calibrate(forest, matrix, k), matrix, ids
+    return forest, calibrate(forest, matrix, k, ids=ids), matrix, ids
 
 
 def _matrix(column):
@@ -202,9 +210,10 @@ def _search(shared, k):
                     taken[leaf] = True
                     if len(found) >= effort:
                         near = np.flatnonzero(taken[members].any(axis=1) & (ids != own[at]))
-                        if len(near) >= k:
+                        if len(np.unique(ids[near])) >= k:
                             break
                 scores = exact(queries[at : at + 1], sample[near])[0]
+                scores = scores[best_of_ids(scores, ids[near])]
                 floor = np.partition(scores, -k)[-k] if len(scores) >= k else -np.inf
                 n = len(found)
                 yield pa.RecordBatch.from_arrays(
@@ -232,10 +241,12 @@ def _score(k):
             rough = vectors @ queries[at]
             near = np.flatnonzero((rough >= floors[at] - 1e-9 * max(1.0, abs(floors[at]))) & (ids != own[at]))
             if len(near) > 4 * k:
-                least = np.partition(rough[near], -k)[-k]
-                near = near[rough[near] >= least - 1e-9 * max(1.0, abs(least))]
+                firsts = best_of_ids(rough[near], ids[near])[:k]
+                if len(firsts) == k:
+                    least = rough[near][firsts[-1]]
+                    near = near[rough[near] >= least - 1e-9 * max(1.0, abs(least))]
             scores = exact(queries[at : at + 1], vectors[near])[0]
-            best = np.lexsort((ids[near], -scores))[:k]
+            best = best_of_ids(scores, ids[near])[:k]
             out[0].append(np.full(len(best), own[at]))
             out[1].append(ids[near][best])
             out[2].append(scores[best])
@@ -252,11 +263,11 @@ def search(vectors, queries, k=NEIGHBOURS):
     ``vectors`` has vec_id and v (see ``usable``), ``queries`` some of its rows.
     """
     spark = vectors.sparkSession
-    vectors = stage(vectors, "vectors")
+    vectors = stage(vectors.select("vec_id", "v").distinct(), "vectors")
     model = fit(vectors, k=k)
     shared = spark.sparkContext.broadcast(model)
     index = stage(vectors.mapInArrow(_index(shared), "leaf long, vec_id long, v array<double>"), "forest-index")
-    asked = queries.select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
+    asked = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     probes = stage(
         asked.mapInArrow(_search(shared, k), "leaf long, query_id long, floor double, v array<double>"),
         "forest-probes",
@@ -268,7 +279,7 @@ def search(vectors, queries, k=NEIGHBOURS):
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = (
         index.join(plan, "leaf")
-        .withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks")).cast("int"))
         .select("leaf", "chunk", copies("blocks").alias("block"), "vec_id", "v")
     )
     right = (

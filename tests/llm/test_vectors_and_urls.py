@@ -66,6 +66,32 @@ def test_forest_recall(spark, chunk, monkeypatch):
     assert hits >= 0.9 * 10 * len(wanted)
 
 
+@pytest.mark.parametrize("chunk", [4096, 64])
+def test_repeats_cost_no_neighbours(spark, chunk, monkeypatch):
+    """Every row five times, and one vec_id with a third of the vectors, all near each other."""
+    monkeypatch.setattr(ann, "CHUNK", chunk)
+    x = vectors(800, 3).astype(np.float32).astype(float)
+    hot = x[20] * 1.5 + 0.01 * np.random.default_rng(4).normal(size=(400, 16)).astype(np.float32)
+    ids = np.r_[np.arange(800), np.full(400, 7)]
+    matrix = np.vstack([x, hot]).astype(np.float32).astype(float)
+    rows = [(int(i), v.tolist(), 1, 0.5) for i, v in zip(ids, matrix, strict=True)]
+    good = ann.usable(spark.createDataFrame(rows * 5, VECTORS))
+    asked = range(0, 800, 20)
+    found = {q: {} for q in asked}
+    for r in ann.search(good, good.filter(F.col("vec_id") % 20 == 0), k=10).collect():
+        found[r["query_id"]][r["vec_id"]] = r["score"]
+    hits = 0
+    for q in asked:
+        scores = {}
+        for i, score in zip(ids.tolist(), (matrix * x[q]).sum(1).tolist(), strict=True):
+            scores[i] = max(score, scores.get(i, score))
+        del scores[q]
+        assert len(found[q]) == 10
+        assert all(scores[i] == score for i, score in found[q].items() if i != 7)
+        hits += len(set(found[q]) & set(sorted(scores, key=lambda i: (-scores[i], i))[:10]))
+    assert hits >= 0.9 * 10 * len(asked)
+
+
 def test_few_and_no_vectors(spark):
     few = ann.usable(spark.createDataFrame([(i, [float(i + 1), 1.0], 0, 0.0) for i in range(4)], VECTORS))
     rows = ann.search(few, few.filter("vec_id = 0")).collect()
