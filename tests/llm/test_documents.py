@@ -215,6 +215,16 @@ def test_stage_finds_near_copies_by_exact_similarity(spark):
     assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == set(group)
 
 
+def test_stage_tells_equal_ids_apart_by_text(spark):
+    draw = random.Random(9)
+    one, two, three = (" ".join(f"w{draw.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, one), (5, one + " more"), (5, two), (5, two), (7, three), (7, three + " more"), (7, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in simhash.deduplicate(docs).collect()]
+    assert len(kept) == 3 and {(1, one), (5, two)} <= set(kept)
+    assert {t for i, t in kept if i == 7} <= {three, three + " more"}
+
+
 # --- 3: language --------------------------------------------------------------------
 
 
