@@ -3,18 +3,21 @@
 from pyspark.sql import functions as F
 
 from faultline.llm import (
+    alignment,
     ann,
     bpe,
     language,
+    line_dedup,
     line_rules,
     packing,
     pii,
     sharding,
     simhash,
+    spelling,
     token_counts,
     url_filter,
 )
-from faultline.llm.base import read
+from faultline.llm.base import read, stage
 
 URL_RULES = [
     ("block", "net", "/"),
@@ -86,6 +89,25 @@ def op10_distinct_word_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(read(spark, sf_dir, "documents")))
 
 
+def op11_permuterm_variants(spark, sf_dir):
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_anchor_alignment(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = stage(alignment.align(docs), "alignments")
+    counts = stage(alignment.link_counts(aligned), "link-counts")
+    return alignment.score(aligned, counts)
+
+
+def op13_bloom_line_dedup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return line_dedup.deduplicate(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,6 +121,9 @@ QUERIES = {
         op8_projection_forest,
         op9_bloom_cascade,
         op10_distinct_word_bpe,
+        op11_permuterm_variants,
+        op12_anchor_alignment,
+        op13_bloom_line_dedup,
     )
 }
 
@@ -164,4 +189,23 @@ ORACLE_SQL = {
             FROM p LEFT JOIN r ON (host = h OR host LIKE '%.' || h) AND starts_with(path, r.p))
         SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WHERE n = 1
     """,
+    "op13_bloom_line_dedup": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        raw AS (
+            SELECT r, doc_id, i, lines[i] AS line,
+                trim(translate(lines[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+            FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+                  FROM (SELECT r, doc_id, string_split(text, chr(10)) AS lines FROM d))),
+        many AS (
+            SELECT key, max(doc_id) AS keeper FROM (SELECT DISTINCT key, doc_id FROM raw WHERE length(key) >= 40)
+            GROUP BY key HAVING count(*) >= 5),
+        marked AS (
+            SELECT raw.*, many.key IS NOT NULL AND raw.doc_id IS DISTINCT FROM keeper AS gone
+            FROM raw LEFT JOIN many ON raw.key = many.key)
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY r
+    """,
 }
