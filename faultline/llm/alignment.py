@@ -4,9 +4,10 @@ A text is tokenised whole by both vocabularies: A (byte-level BPE) encodes the t
 a blank, B (pieces with byte fallback) the text, to which it adds the blank itself.  A token that
 begins with a blank opens a word; where such tokens of both sides begin at the same
 byte, the ends before them are shared, which is verified on the byte offsets.  These
-anchors cut both sequences into windows of ids, about a word each.  How the ids of a
-window group is found once for each pair of id tuples and kept in a bounded cache in the worker; long
-windows (texts without blanks) are grouped directly.
+anchors cut both sequences into windows of ids, about a word each.  A window with one token
+on either side is one group.  How the ids of any other group is found once for each pair of id
+tuples and kept in a bounded cache in the worker; long windows (texts without blanks) are
+grouped directly.
 
 ``align`` gives the ids of both sides and the sizes of their groups: a group ends where
 both sides end.  A link is an A and a B token that end together, so the last tokens of
@@ -32,14 +33,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm import vocab
-from faultline.llm.base import Memo, blank_cut, small_batches
-from faultline.llm.token_counts import words
+from faultline.llm.base import Memo, small_batches
 
 A_RANKS = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json
 B_MODEL = "piece_bpe_32k.model"
 BLANK_MARK = "▁"
 #: Ids of a window, both sides together, up to which its grouping is kept.
 MEMO_IDS = 64
+#: Entries of each cache.
+MEMO_ENTRIES = 200_000
+#: Stands between the two id tuples of a window; no id is negative.
+BETWEEN = array("i", [-1]).tobytes()
 #: Ids of a vocabulary, at most.
 MOST_IDS = 1 << 16
 #: Pairs a task holds before it merges them.
@@ -70,61 +74,57 @@ def _ids(found):
 class Side:
     """One vocabulary: the ids of texts, the bytes of tokens, and which begin with a blank."""
 
-    def __init__(self, table, head, word, split):
-        self.table, self.head, self.split = table, head, split
-        self.words = Memo(word)
+    def __init__(self, table, encode):
+        self.encode = encode
         self.sizes = np.array([len(t) for t in table], np.int64)
         self.size_of = self.sizes.tolist().__getitem__
         self.marked = np.array([t[:1] == b" " for t in table])
+        self.bytes = np.frombuffer(b"".join(table), np.uint8)
+        self.starts = self.sizes.cumsum() - self.sizes
 
     def ids(self, text, data):
-        """The ids of a text, as bytes, or None if their bytes are not ``data``."""
-        first, rest = self.split(text)
-        found = self.head(first) + b"".join(map(self.words.__getitem__, rest))
-        back = b"".join(map(self.table.__getitem__, np.frombuffer(found, "<i4").tolist()))
-        return found if back == data else None
+        """The ids of a text and where each ends, or None if their bytes are not ``data``."""
+        ids = np.array(self.encode(text), "<i4")
+        sizes = self.sizes[ids]
+        ends = sizes.cumsum()
+        if not len(ids) or ends[-1] != len(data):
+            return None
+        at = np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(len(data))
+        return (ids, ends) if np.array_equal(self.bytes[at], data) else None
 
 
 @lru_cache(2)
 def a_side(file):
     coder = vocab.ranked(file)
-    return Side(
-        vocab.token_bytes(file),
-        lambda first: _ids(coder.encode_ordinary(first)),
-        lambda word: _ids(coder.encode_ordinary(f" {word}")),
-        lambda text: blank_cut(f" {text}"),
-    )
+    return Side(vocab.token_bytes(file), lambda text: coder.encode_ordinary(f" {text}"))
 
 
 @lru_cache(2)
 def b_side(file):
-    model = _pieces(file)
-    blank = _ids([model.piece_to_id(BLANK_MARK)])
-    return Side(
-        piece_bytes(file),
-        lambda first: first,
-        lambda word: _ids(model.encode(word)) if word else blank,
-        lambda text: (b"", words(text)),
-    )
+    return Side(piece_bytes(file), _pieces(file).encode)
 
 
 def shared(a_ends, b_ends):
-    """Indices, on both sides, of ends that both have."""
-    _, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-    return at_a, at_b
+    """Indices, on both sides, of ends that both have; ends ascend."""
+    if not len(b_ends):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(b_ends, a_ends), len(b_ends) - 1)
+    same = b_ends[at] == a_ends
+    return np.flatnonzero(same), at[same]
 
 
 class Aligner:
     def __init__(self, a_file, b_file):
         self.a, self.b = a_side(a_file), b_side(b_file)
-        self.groups = Memo(self._group)
+        self.groups = Memo(self._group, MEMO_ENTRIES)
+        self.patterns = {}
 
     def _group(self, window):
         """Group sizes of a window of ids, for both sides, as bytes."""
-        a_ends, b_ends = (
-            list(accumulate(map(side.size_of, memoryview(ids).cast("i"))))
-            for side, ids in zip((self.a, self.b), window, strict=True)
-        )
+        ids = memoryview(window).cast("i")
+        cut = ids.tolist().index(-1)
+        a_ends = list(accumulate(map(self.a.size_of, ids[:cut])))
+        b_ends = list(accumulate(map(self.b.size_of, ids[cut + 1 :])))
         sizes, at_b, a_from, b_from = ([], []), 0, 0, 0
         for at_a, end in enumerate(a_ends, 1):
             while b_ends[at_b] < end:
@@ -134,36 +134,44 @@ class Aligner:
                 sizes[0].append(at_a - a_from)
                 sizes[1].append(at_b - b_from)
                 a_from, b_from = at_a, at_b
-        return _ids(sizes[0]), _ids(sizes[1])
+        found = _ids(sizes[0]), _ids(sizes[1])
+        # few patterns serve most windows
+        return self.patterns.setdefault(found, found) if len(window) <= 64 else found
 
-    def windows(self, a_ids, b_ids):
-        """Begins of the windows on both sides, in bytes of the id strings, and the last ends."""
-        a, b = np.frombuffer(a_ids, "<i4"), np.frombuffer(b_ids, "<i4")
+    def windows(self, a, b):
+        """Begins of the windows among the ids of both sides (each with their ends), and the last ends."""
         begins = []
-        for side, ids in ((self.a, a), (self.b, b)):
-            ends = side.sizes[ids].cumsum()
-            at = np.flatnonzero(side.marked[ids[1:]]) + 1
-            begins.append((ends[at - 1], at))
+        for side, (ids, ends) in ((self.a, a), (self.b, b)):
+            at = np.flatnonzero(side.marked[ids[1:]])
+            begins.append((ends[at], at + 1))
         one, two = shared(begins[0][0], begins[1][0])
-        return (
-            (4 * np.r_[0, begins[0][1][one], len(a)]).tolist(),
-            (4 * np.r_[0, begins[1][1][two], len(b)]).tolist(),
-        )
+        return np.r_[0, begins[0][1][one], len(a[0])], np.r_[0, begins[1][1][two], len(b[0])]
 
     def align(self, text):
         """a_ids, b_ids, a_sizes and b_sizes of a text, as bytes of 32-bit integers."""
-        data = f" {text}".encode() if text else b""
-        a_ids = text and self.a.ids(text, data)
-        b_ids = a_ids and self.b.ids(text, data)
-        if not b_ids:
+        data = np.frombuffer(f" {text}".encode() if text else b"", np.uint8)
+        a = self.a.ids(text, data) if text else None
+        b = self.b.ids(text, data) if a else None
+        if not b:
             return b"", b"", b"", b""
-        a_at, b_at = self.windows(a_ids, b_ids)
-        found = []
-        for a0, a1, b0, b1 in zip(a_at, a_at[1:], b_at, b_at[1:], strict=False):
-            window = a_ids[a0:a1], b_ids[b0:b1]
-            short = a1 - a0 + b1 - b0 <= 4 * MEMO_IDS
-            found.append(self.groups[window] if short else self._group(window))
-        return a_ids, b_ids, b"".join(g[0] for g in found), b"".join(g[1] for g in found)
+        a_at, b_at = self.windows(a, b)
+        a_ids, b_ids = a[0].tobytes(), b[0].tobytes()
+        a_n, b_n = np.diff(a_at), np.diff(b_at)
+        mixed = np.flatnonzero((a_n > 1) & (b_n > 1))
+        if not len(mixed):
+            return a_ids, b_ids, a_n.astype("<i4").tobytes(), b_n.astype("<i4").tobytes()
+        a_sizes, b_sizes = [], []
+        plain = 0
+        a_one, b_one = a_n.astype("<i4").tobytes(), b_n.astype("<i4").tobytes()
+        short = (a_n + b_n)[mixed] <= MEMO_IDS
+        places = (mixed, 4 * a_at[mixed], 4 * a_at[mixed + 1], 4 * b_at[mixed], 4 * b_at[mixed + 1], short)
+        for at, a0, a1, b0, b1, kept in zip(*(p.tolist() for p in places), strict=True):
+            window = a_ids[a0:a1] + BETWEEN + b_ids[b0:b1]
+            one, two = self.groups[window] if kept else self._group(window)
+            a_sizes += a_one[plain : 4 * at], one
+            b_sizes += b_one[plain : 4 * at], two
+            plain = 4 * at + 4
+        return a_ids, b_ids, b"".join(a_sizes) + a_one[plain:], b"".join(b_sizes) + b_one[plain:]
 
 
 @lru_cache(2)

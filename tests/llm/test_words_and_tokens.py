@@ -15,7 +15,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from faultline.llm import alignment, line_dedup, queries, spelling
+from faultline.llm import alignment, line_dedup, queries, spelling, vocab
 from faultline.llm.base import stage
 
 BLANKS = " \t\n\r\x0b\x0c"
@@ -235,16 +235,18 @@ def test_groups_are_whole(docs):
 
 def test_windows_end_at_words_and_are_kept():
     made = alignment.Aligner(public_tokenizers.path(alignment.A_RANKS), public_tokenizers.path(alignment.B_MODEL))
-    a_ids, b_ids, *_ = made.align("one two three one two three one")
-    a_at, b_at = made.windows(a_ids, b_ids)
+    text = "one two unbreachable one unbreachable three one"
+    made.align(text)
+    data = np.frombuffer(f" {text}".encode(), np.uint8)
+    a_at, b_at = made.windows(made.a.ids(text, data), made.b.ids(text, data))
     assert len(a_at) == len(b_at) == 8
-    assert len(made.groups) == 3
+    assert len(made.groups) == 1
 
 
 def test_linked_pairs_are_bounded_by_the_vocabularies(docs):
     aligned = stage(alignment.align(docs), "test-alignments")
-    a = alignment.a_side(public_tokenizers.path(alignment.A_RANKS)).table
-    b = alignment.b_side(public_tokenizers.path(alignment.B_MODEL)).table
+    a = vocab.token_bytes(public_tokenizers.path(alignment.A_RANKS))
+    b = alignment.piece_bytes(public_tokenizers.path(alignment.B_MODEL))
     for row in alignment.link_counts(aligned).collect():
         one, two = a[row["a_id"]], b[row["b_id"]]
         assert one.endswith(two) or two.endswith(one)
@@ -254,7 +256,7 @@ def test_ranks_are_the_ids_of_the_json_file():
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         known = json.load(file)["model"]["vocab"]
     letters = byte_letters()
-    table = alignment.a_side(public_tokenizers.path(alignment.A_RANKS)).table
+    table = vocab.token_bytes(public_tokenizers.path(alignment.A_RANKS))
     ranked = {token: i for token, i in known.items() if i < len(table)}
     assert len(ranked) == len(table)
     assert all(table[i] == bytes(letters[c] for c in token) for token, i in ranked.items())
