@@ -44,13 +44,6 @@ def shared_dir(spark):
     return configured
 
 
-def ensure_checkpoint_dir(spark):
-    """Point reliable checkpoints at the shared folder unless already set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(shared_dir(spark), "checkpoints"))
-
-
 def scratch_path(spark, name):
     """A fresh path inside the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
@@ -65,3 +58,43 @@ def stage(df, name):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark, path):
+    """Delete a table's folder in whatever store holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scope:
+    """Staged tables that live until their last reader has written.
+
+    ``drop`` deletes tables at once; leaving the scope, also by an error, deletes those
+    that are left but not the ones it was told to ``keep``.
+    """
+
+    def __init__(self):
+        self._tables = []
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.drop(*[table for table, _ in self._tables])
+
+    def stage(self, df, name):
+        path = scratch_path(df.sparkSession, name)
+        df.write.parquet(path)
+        table = df.sparkSession.read.schema(df.schema).parquet(path)
+        self._tables.append((table, path))
+        return table
+
+    def drop(self, *tables):
+        for table, path in self._tables:
+            if any(table is given for given in tables):
+                remove(table.sparkSession, path)
+        self.keep(*tables)
+
+    def keep(self, *tables):
+        """Leave tables to the caller, who still reads them."""
+        self._tables = [(t, p) for t, p in self._tables if not any(t is given for given in tables)]
