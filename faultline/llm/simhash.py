@@ -210,9 +210,11 @@ def classes(docs):
 def deduplicate(docs):
     """One document of each class of ``near_copies``, the one with the smallest id; same columns.
 
-    The query's settings (three words, three bits) do not bind this stage.  Of repeated
-    rows of that document one stays; rows that share an id but not the text are different
-    documents.  Rows without an id come behind all others and are told apart by their texts.
+    The query's settings (three words, three bits) do not bind this stage, and no radius of
+    fingerprints finds all pairs at the stage's similarity, so classes come from exact
+    sets.  Of repeated rows of that document one stays; rows that share an id but not the
+    text are different documents.  Rows without an id come behind all others and are
+    told apart by their texts.
     """
     own = own_prefix(docs)
     key = [f"{own}known", f"{own}text"]
@@ -220,7 +222,14 @@ def deduplicate(docs):
     known = docs.withColumns(
         {key[0]: F.coalesce(F.col("doc_id").cast("long"), behind), key[1]: F.xxhash64("text")}
     )
-    found = near_copies.classes(known.select(*key, "text"), "class")
+    found = near_copies.classes(known.select(*key, "text"), "class", key)
     chosen = found.groupBy("class").agg(F.min(F.struct(*key)).alias("kept")).select("kept.*")
-    kept = known.join(chosen.distinct(), key, "left_semi").dropDuplicates(key)
-    return kept.select(*docs.columns)
+    rows = found.groupBy(*key).agg(F.count("*").alias("n")).join(
+        chosen.withColumn("stays", F.lit(True)), key, "left"
+    )
+    # all rows but those that stay once as they are
+    other = stage(rows.filter("stays IS NULL OR n > 1"), "near-others")
+    single = known.join(near_copies.broadcast_if_few(other.select(*key)), key, "left_anti")
+    repeated = near_copies.broadcast_if_few(other.filter("stays").select(*key))
+    once = known.join(repeated, key, "left_semi").dropDuplicates(key)
+    return single.unionByName(once).select(*docs.columns)

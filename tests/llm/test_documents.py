@@ -1,6 +1,7 @@
 """Operators on documents against plain restatements, over every kind of odd row."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -16,8 +17,9 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import public_tokenizers
-from faultline.llm import bpe, language, line_rules, packing, pii, sharding, simhash, token_counts, vocab
+from faultline.llm import bpe, language, line_rules, near_copies, packing, pii, sharding, simhash, token_counts, vocab
 from faultline.llm.base import stage
+from faultline.session import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -180,12 +182,89 @@ def test_links_keep_every_connection(spark, bucket):
     assert max(map(len, plain.values())) > 5
 
 
+def plain_grams(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_near_classes(rows):
+    """{(id, text): smallest (id, text) reachable} over all pairs at 0.8 or more; null ids come last."""
+    known = sorted({(r[0], r[1]) for r in rows}, key=lambda k: (k[0] is None, k[0] or 0, k[1] or ""))
+    sets, group = [plain_grams(text or "") for _, text in known], list(range(len(known)))
+    near = [
+        (i, j)
+        for j in range(len(known))
+        for i in range(j)
+        if sets[i] == sets[j] or sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    ]
+    for _ in known:
+        before = list(group)
+        for i, j in near:
+            group[i] = group[j] = min(group[i], group[j])
+        if group == before:
+            break
+    return {known[i]: known[group[i]] for i in range(len(known))}
+
+
 def test_one_of_each_class_stays(docs, rows):
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
-    class_of = plain_classes({(r[0], r[1]): plain_print(r[1] or "") for r in rows})
-    ids = Counter(r["doc_id"] for r in kept.collect())
-    assert ids == Counter(set(class_of.values()))
+    class_of = plain_near_classes(rows)
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(set(class_of.values()))
+
+
+def template_pages(n, words, own):
+    """Pages of one template whose words are to a share ``own`` their own, in one run."""
+    draw = random.Random(n)
+    template = [f"t{i}" for i in range(words)]
+    pages = []
+    for i in range(n):
+        page, size = list(template), int(own * words)
+        at = draw.randrange(words - size)
+        page[at : at + size] = [f"p{i}x{j}" for j in range(size)]
+        pages.append((i, " ".join(page)))
+    return pages
+
+
+@pytest.mark.parametrize("own", [0.25, 0.15])
+def test_template_pages_are_hardly_compared(spark, monkeypatch, own):
+    """2,000 pages at a mean Jaccard near 0.6 and 0.74: fewer than 20 pairs a page are verified."""
+    tried = []
+    real = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, sets: tried.append(pairs.count()) or real(pairs, sets))
+    docs = spark.createDataFrame(template_pages(2000, 200, own), "doc_id long, text string").repartition(8)
+    assert simhash.deduplicate(docs).count() == 2000
+    assert sum(tried) < 20 * 2000
+
+
+def test_prefix_lengths_leave_no_pair_out():
+    for n in range(1, 200):
+        for m in range(n, 5 * n // 4 + 1):
+            least = -(-4 * (n + m) // 9)
+            assert n - least < near_copies.index_length(n) and m - least < near_copies.probe_length(m)
+
+
+def test_a_full_sketch_loses_no_pair(spark, monkeypatch):
+    draw, texts = random.Random(8), []
+    for _ in range(60):
+        words = [f"w{draw.randrange(3000)}" for _ in range(120)]
+        texts += [" ".join(words), " ".join(words[:-4] + ["x"] * 4), " ".join(words[20:]), " ".join(words)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = set(plain_near_classes(rows).values())
+    monkeypatch.setattr(near_copies.occurrences, "__defaults__", (near_copies.SEGMENTS * 8,))
+    monkeypatch.setattr(near_copies.classes, "__defaults__", (near_copies.SEGMENTS * 8,))
+    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", 0)
+    assert {(r["doc_id"], r["text"]) for r in simhash.deduplicate(docs).collect()} == expected
+
+
+def test_near_copies_leave_no_tables_behind(spark, docs):
+    def staged():
+        return {f for f in os.listdir(shared_dir(spark)) if f.startswith("near-")}
+
+    before = staged()
+    simhash.deduplicate(docs).count()
+    assert {f.rsplit("-", 1)[0] for f in staged() - before} == {"near-classes", "near-others"}
 
 
 def test_stage_finds_near_copies_by_exact_similarity(spark):
