@@ -670,6 +670,8 @@ STATEMENTS |= {
         SELECT CAST(user_id AS VARCHAR) AS case_id, arg_max(event_type || '-' || event_id, ts) AS data,
                max(ts) AS edited_at, count(*) AS n_edits
         FROM ({SESSIONS}) GROUP BY user_id, response_start {CLOSED}""",
+    "s3_stored_insert": STATEMENTS["s3_insert_if_absent"],
+    "s4_stored_upsert": STATEMENTS["s4_upsert_last"],
     "t2_idempotent_ingest": STATEMENTS["s3_insert_if_absent"],
     "t2_without_recent_repeats": "SELECT DISTINCT l_orderkey AS installation_id, l_linenumber AS local_id FROM lineitem",
     "t3_stream_rate_limit": "SELECT event_id, installation_id, admitted FROM walk",

@@ -1,6 +1,7 @@
 """One runnable query per operator, over the whole benchmark tables."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from faultline import fixed_values as fv
 from faultline.functions import quality, scan
@@ -24,6 +25,7 @@ from faultline.operators import (
 from faultline.plans import jobs, views
 from faultline.session import scratch_path, stage
 from faultline.sources import readers
+from faultline.sources.keyed_store import KeyedStore
 from faultline.streaming import jobs as streams
 from faultline.streaming.sinks import run_available
 
@@ -36,6 +38,10 @@ ROUND_BUDGET = 400_000
 TERMS = [*fv.TOPIC_TERMS, "die", "le"]
 
 
+CASE_KEYS = StructType().add("installation_id", "string").add("local_id", "string")
+QUEUE = StructType().add("id", "string").add("data", "string").add("error", "string")
+
+
 def query(function):
     QUERIES[function.__name__] = function
     return function
@@ -89,6 +95,25 @@ def s4_upsert_last(spark, sf_dir):
     return merges.upsert_last(target, later, order)
 
 
+def _stored(spark, sf_dir, merge):
+    """The order lines merged into a keyed store, slice by slice."""
+    slices = version_slices(spark, sf_dir)
+    store = KeyedStore(spark, scratch_path(spark, "stored"), slices[0].schema, merges.KEY)
+    for version, rows in enumerate(slices, 1):
+        merge(store, rows, [*views.VERSION_ORDER], version)
+    return store.read()
+
+
+@query
+def s3_stored_insert(spark, sf_dir):
+    return _stored(spark, sf_dir, KeyedStore.insert)
+
+
+@query
+def s4_stored_upsert(spark, sf_dir):
+    return _stored(spark, sf_dir, KeyedStore.upsert)
+
+
 @query
 def s5_update_by_json_key(spark, sf_dir):
     log = views.usage_log(spark, sf_dir)
@@ -836,6 +861,38 @@ def appended(spark, rows, name):
     return spark.read.schema(rows.schema).parquet(path)
 
 
+#: Slices in which a table is replayed, and the files of each.
+SLICES = 4
+SLICE_FILES = 8
+
+
+def replayed(spark, slices, name):
+    """Tables replayed one after the other, each as one micro-batch."""
+    path = scratch_path(spark, name)
+    for rows in slices:
+        rows.repartition(SLICE_FILES).write.mode("append").parquet(path)
+    return (
+        spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(path)
+    )
+
+
+def time_slices(rows, ts, slices=SLICES):
+    """Rows cut along a time into as many tables, earliest first; missing times come first."""
+    edges = rows.select(F.unix_micros(F.col(ts).cast("timestamp")).alias("at")).approxQuantile(
+        "at", [i / slices for i in range(1, slices)], 0.01
+    )
+    place = sum(
+        F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) > edge, F.lit(False)).cast("int")
+        for edge in edges
+    )
+    return [rows.filter(place == i) for i in range(slices)]
+
+
+def version_slices(spark, sf_dir):
+    """Both loads of the order lines, each in two halves by ship date."""
+    return [half for load in _versions(spark, sf_dir) for half in time_slices(load, "l_shipdate", 2)]
+
+
 def batches(spark, writer, path, schema):
     """Run a per-batch writer to its end and read what it wrote."""
     run_available(writer, f"{path}-checkpoint")
@@ -857,10 +914,11 @@ def t1_debounced_last_write(spark, sf_dir):
 
 @query
 def t2_idempotent_ingest(spark, sf_dir):
-    rows = views.as_versions(stream_of(spark, sf_dir, "lineitem"))
+    rows = replayed(spark, version_slices(spark, sf_dir), "versions")
     path = scratch_path(spark, "corpus")
     writer = streams.ingest_writer(rows, path, ["l_linestatus", *views.VERSION_ORDER])
-    return batches(spark, writer, path, rows.schema)
+    run_available(writer, f"{path}-checkpoint")
+    return streams.corpus_store(spark, path, rows.schema).read()
 
 
 @query
@@ -910,20 +968,22 @@ def t5_stream_search(spark, sf_dir):
 
 @query
 def t6_stream_quality_gate(spark, sf_dir):
-    path = scratch_path(spark, "documents")
     documents = _blank_models(views.case_documents(spark, sf_dir))
-    documents.write.parquet(path)
-    arriving = spark.readStream.schema(documents.schema).parquet(path)
+    arriving = replayed(spark, time_slices(documents, "closedAt"), "documents")
     out = {name: scratch_path(spark, name) for name in ("accepted", "rejected", "queued")}
     writer = streams.quality_gate_writer(arriving, *out.values(), now=F.lit("2002-01-01").cast("timestamp"))
     run_available(writer, f"{out['accepted']}-checkpoint")
+    accepted = streams.corpus_store(spark, out["accepted"], CASE_KEYS).read()
+    queued = streams.corpus_store(spark, out["queued"], QUEUE, ["id"]).read()
+    rejected = spark.read.schema("id string, reason string").parquet(out["rejected"])
+    none = F.lit(None).cast("string").alias("reason")
     parts = [
-        spark.read.schema(f"{key} string, reason string").parquet(out[name]).select(
-            F.col(key).alias("id"), F.lit(name).alias("fate"), "reason"
-        )
-        for name, key in [("accepted", "local_id"), ("rejected", "id"), ("queued", "id")]
+        (accepted.select(F.col("local_id").alias("id"), none), "accepted"),
+        (rejected, "rejected"),
+        (queued.select("id", none), "queued"),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    tables = [part.select("id", F.lit(fate).alias("fate"), "reason") for part, fate in parts]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
 
 
 @query

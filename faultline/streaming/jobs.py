@@ -8,6 +8,8 @@ from pyspark.sql.types import StructType
 from faultline import fixed_values as fv
 from faultline.operators import cases, gates, limits, merges, search
 from faultline.operators.admission import judge, length_micros
+from faultline.session import Scope
+from faultline.sources.keyed_store import KeyedStore
 from faultline.streaming.sinks import read_before, write_batch
 
 EDIT_DELAY = "1 minute"
@@ -104,13 +106,20 @@ def without_recent_repeats(rows, ts, keys=merges.KEY, delay=INGEST_DELAY):
     return unique.unionByName(keyed.filter(~complete))
 
 
+def corpus_store(spark, path, schema, keys=merges.KEY):
+    """The table that the writers below share; micro-batch n writes its version n + 1."""
+    return KeyedStore(spark, path, schema, keys)
+
+
 def ingest_writer(rows, path, order, keys=merges.KEY):
-    """Insert rows whose key the corpus does not hold yet, first one wins."""
+    """Insert rows whose key the corpus does not hold yet, first one wins.
+
+    A batch reads and writes the buckets of its own keys only.
+    """
     schema = rows.schema
 
     def insert(batch, batch_id):
-        held = read_before(batch.sparkSession, path, schema, batch_id)
-        write_batch(merges.rows_to_insert(held, batch, order, keys), path, batch_id)
+        corpus_store(batch.sparkSession, path, schema, keys).insert(batch, order, batch_id + 1)
 
     return rows.writeStream.foreachBatch(insert)
 
@@ -130,32 +139,29 @@ def quality_gate_writer(documents, corpus_path, rejected_path, queue_path, now=N
     """Closed cases to corpus, rejects or queue.
 
     A case failing its own rules can never succeed and is rejected; one that the
-    table constraints turn away failed while being written and is queued, whole (as
-    JSON in ``data``) and with its ``error``, once for each id.
+    table constraints turn away, or whose closing time cannot be read, failed while being
+    written and is queued, whole (as JSON in ``data``) and with its ``error``, once for
+    each id.  Corpus and queue are keyed stores, of which a batch touches its own buckets only.
     """
 
     def gate(batch, batch_id):
-        judged = gates.judge_cases(batch).persist()
-        rows = cases.case_to_row(judged.filter(F.col("reason").isNull()), now=now)
-        checked = gates.check_constraints(rows)
-        held = read_before(batch.sparkSession, corpus_path, rows.schema, batch_id)
-        fresh = merges.rows_to_insert(
-            held, checked.filter("valid").select(*rows.columns), ["closed_at", "resolution"]
-        )
-        write_batch(fresh, corpus_path, batch_id)
-        write_batch(
-            judged.filter(F.col("reason").isNotNull()).select("id", "reason"),
-            rejected_path,
-            batch_id,
-        )
-        failed = checked.filter("NOT valid").select(F.col("local_id").alias("id")).distinct()
-        whole = batch.select("id", F.to_json(F.struct(*batch.columns)).alias("data"))
-        named = failed.withColumnRenamed("id", "failed_id")
-        entries = whole.join(named, F.col("id").eqNullSafe(F.col("failed_id")), "left_semi")
-        entries = entries.withColumn("error", F.lit("constraint"))
-        queued = read_before(batch.sparkSession, queue_path, entries.schema, batch_id)
-        write_batch(merges.rows_to_insert(queued, entries, ["data"], ["id"]), queue_path, batch_id)
-        judged.unpersist()
+        spark, version = batch.sparkSession, batch_id + 1
+        with Scope() as scope:
+            judged = scope.stage(gates.judge_cases(batch), "gate-judged")
+            rows = cases.case_to_row(judged.filter(F.col("reason").isNull()), now=now)
+            error = F.when(~F.col("valid"), "constraint").when(F.col("closed_at").isNull(), "closed_at")
+            checked = scope.stage(gates.check_constraints(rows).withColumn("error", error), "gate-checked")
+            corpus = corpus_store(spark, corpus_path, rows.schema)
+            corpus.insert(checked.filter("error IS NULL"), ["closed_at", "resolution"], version)
+            write_batch(
+                judged.filter(F.col("reason").isNotNull()).select("id", "reason"), rejected_path, batch_id
+            )
+            failed = checked.filter("error IS NOT NULL").groupBy(F.col("local_id").alias("failed_id"))
+            whole = judged.select("id", F.to_json(F.struct(*batch.columns)).alias("data"))
+            entries = whole.join(
+                failed.agg(F.min("error").alias("error")), F.col("id").eqNullSafe(F.col("failed_id"))
+            ).drop("failed_id")
+            corpus_store(spark, queue_path, entries.schema, ["id"]).insert(entries, ["data"], version)
 
     return documents.writeStream.foreachBatch(gate)
 

@@ -5,6 +5,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from faultline import schemas
 from faultline.operators import admission, limits, merges, scanlog, search
@@ -103,8 +104,8 @@ def test_ingest_is_idempotent_across_batches(spark, table, in_files, tmp_path):
     stream = in_files(table(rows, KEYED), "n")
     path = str(tmp_path / "corpus")
     run_available(jobs.ingest_writer(stream, path, ["n"]), str(tmp_path / "checkpoint"))
-    got = sorted(r["n"] for r in spark.read.parquet(path).collect())
-    assert got == [0, 1, 2, 3, 4, 5, 6, 100, 101, 102]
+    held = jobs.corpus_store(spark, path, stream.schema).read()
+    assert sorted(r["n"] for r in held.collect()) == [0, 1, 2, 3, 4, 5, 6, 100, 101, 102]
 
 
 def test_repeats_close_together_are_dropped(spark, table, in_files, tmp_path):
@@ -156,24 +157,27 @@ def test_search_per_batch_equals_one_search(spark, tmp_path):
 
 
 def test_quality_gate_across_batches(spark, table, tmp_path):
-    def document(id, model="M", resolution="replaced pump", owner="i"):
+    def document(id, model="M", resolution="replaced pump", owner="i", closed="2024-01-01"):
         message = (None, "input", ["s"], ["P0401"], "t", None, None, None, None)
-        return (id, "n", "x", None, "2024-01-01", ("B", model, "1", None), [message], resolution, 0, owner)
+        return (id, "n", "x", None, closed, ("B", model, "1", None), [message], resolution, 0, owner)
 
     path = str(tmp_path / "documents")
     batches = [
         [document("1"), document("2", resolution="short"), document("3", model=" ")],
         [document("1", resolution="another pump text"), document("4"), document("4"), document("3", model=" ")],
+        [document("5", closed="soon"), document("4", resolution="a late repeat of it")],
     ]
     for batch in batches:
         table(batch, schemas.CASE_DOCUMENT).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(schemas.CASE_DOCUMENT).option("maxFilesPerTrigger", 1).parquet(path)
     out = [str(tmp_path / name) for name in ("accepted", "rejected", "queued")]
     run_available(jobs.quality_gate_writer(stream, *out), str(tmp_path / "checkpoint"))
-    accepted = spark.read.parquet(out[0])
+    keys = StructType.fromDDL("installation_id string, local_id string, closed_at timestamp")
+    accepted = jobs.corpus_store(spark, out[0], keys).read()
     assert sorted(r["local_id"] for r in accepted.collect()) == ["1", "4"]
-    assert accepted.select(*merges.KEY).distinct().count() == 2
+    assert accepted.select(*merges.KEY).distinct().count() == 2 and not accepted.filter("closed_at IS NULL").count()
     assert [tuple(r)[:2] for r in spark.read.parquet(out[1]).collect()] == [("2", "too_short")]
-    (queued,) = spark.read.parquet(out[2]).collect()
-    assert (queued["id"], queued["error"]) == ("3", "constraint")
-    assert json.loads(queued["data"])["resolution"] == "replaced pump"
+    entry = StructType.fromDDL("id string, data string, error string")
+    queued = {r["id"]: r for r in jobs.corpus_store(spark, out[2], entry, ["id"]).read().collect()}
+    assert {i: r["error"] for i, r in queued.items()} == {"3": "constraint", "5": "closed_at"}
+    assert json.loads(queued["3"]["data"])["resolution"] == "replaced pump"
