@@ -97,11 +97,25 @@ def corpus_keys(corpus, id_col="id"):
     ).select("key.*", "recency", "case_id")
 
 
+def cut_lists(members, limit=fv.CANDIDATE_LIMIT):
+    """Newest ``limit`` case ids per key, as one short array per key."""
+    newest = newest_per_key(members, POSTING_KEY, ["recency", "case_id"], limit, "case_id")
+    return newest.groupBy(*POSTING_KEY).agg(
+        F.collect_list(F.struct("recency", "case_id")).alias("posting")
+    )
+
+
+def merge_lists(lists, limit=fv.CANDIDATE_LIMIT):
+    """One list per key out of several cut ones: the newest of a union are among their newest."""
+    together = F.sort_array(F.array_distinct(F.flatten(F.collect_list("posting"))))
+    return lists.groupBy(*POSTING_KEY).agg(F.slice(together, 1, limit).alias("posting"))
+
+
 def posting_lists(corpus, query_keys_df, limit=fv.CANDIDATE_LIMIT):
-    """Newest ``limit`` case ids per key, as one short array per key.
+    """The cut lists that some query reads.
 
-    Only lists that some query reads are built.  Few distinct query keys are broadcast
-    to the corpus; of many (counted) only the shapes are, of which there are six.
+    Few distinct query keys are broadcast to the corpus; of many (counted) only the
+    shapes are, of which there are six.
     """
     wanted = query_keys_df.select(*POSTING_KEY).distinct()
     if wanted.limit(MAX_PRUNING_KEYS + 1).count() <= MAX_PRUNING_KEYS:
@@ -109,16 +123,16 @@ def posting_lists(corpus, query_keys_df, limit=fv.CANDIDATE_LIMIT):
     else:
         shapes = wanted.select("shape").distinct()
         members = corpus_keys(corpus).join(F.broadcast(shapes), "shape", "left_semi")
-    newest = newest_per_key(members, POSTING_KEY, ["recency", "case_id"], limit, "case_id")
-    return newest.groupBy(*POSTING_KEY).agg(
-        F.collect_list(F.struct("recency", "case_id")).alias("posting")
-    )
+    return cut_lists(members, limit)
+
 
+def candidate_cases(queries, corpus, limit=fv.CANDIDATE_LIMIT, index=None):
+    """(query_id, case_id) candidates; ``queries`` as given by ``query_columns``.
 
-def candidate_cases(queries, corpus, limit=fv.CANDIDATE_LIMIT):
-    """(query_id, case_id) candidates; ``queries`` as given by ``query_columns``."""
+    With an index (``postings.PostingIndex``) the lists are looked up instead of built.
+    """
     keys = query_keys(queries)
-    postings = posting_lists(corpus, keys, limit)
+    postings = posting_lists(corpus, keys, limit) if index is None else index.lists(keys)
     merged = F.sort_array(F.flatten(F.collect_list("posting")))
     return (
         join_spreading_hot_keys(keys, postings, POSTING_KEY, "query_id")
@@ -131,7 +145,7 @@ def candidate_cases(queries, corpus, limit=fv.CANDIDATE_LIMIT):
     )
 
 
-def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT, needed=None):
+def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT, needed=None, index=None):
     """Every candidate pair with its score in tenths and its ownership.
 
     ``needed`` maps the ownership column to the tenths a pair must reach: pairs below
@@ -147,7 +161,7 @@ def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT, needed=None):
         sim.query_words(F.col("text")).alias("q_words"),
     )
     pairs = (
-        candidate_cases(queries, corpus, limit)
+        candidate_cases(queries, corpus, limit, index)
         .join(features, "query_id")
         .withColumn("case_id", F.explode("case_ids"))
         .drop("case_ids")
@@ -183,13 +197,14 @@ def search(
     limit=fv.CANDIDATE_LIMIT,
     own_threshold=fv.OWN_THRESHOLD,
     other_threshold=fv.OTHER_THRESHOLD,
+    index=None,
 ):
     """Best hits per query: score, then own cases, then newest, then id."""
 
     def needed(is_own):
         return F.when(is_own, own_threshold * 10).otherwise(other_threshold * 10)
 
-    passing = scored_candidates(queries, corpus, limit, needed)
+    passing = scored_candidates(queries, corpus, limit, needed, index)
     best = Window.partitionBy("query_id").orderBy(
         F.desc("tenths"), F.desc("is_own"), F.desc_nulls_first("closed_at"), F.asc("case_id")
     )

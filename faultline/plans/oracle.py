@@ -680,6 +680,7 @@ STATEMENTS |= {
         SELECT CAST(user_id AS VARCHAR) AS port, string_agg(event_type, '' ORDER BY ts, event_id) AS raw,
                response_start, count(*) AS n_chunks
         FROM ({SESSIONS}) GROUP BY user_id, response_start {CLOSED}""",
+    "j3_indexed_search": STATEMENTS["j3_search_top5"],
     "t5_stream_search": STATEMENTS["j3_search_top5"],
     "t6_stream_quality_gate": GATED,
     "t7_stream_violations": STATEMENTS["s9_violation_alerts"],

@@ -22,6 +22,7 @@ from faultline.operators import (
     scanlog,
     search,
 )
+from faultline.operators.postings import PostingIndex
 from faultline.plans import jobs, views
 from faultline.session import scratch_path, stage
 from faultline.sources import readers
@@ -413,6 +414,16 @@ def j3_search_top5(spark, sf_dir):
     return search.search(*_search_inputs(spark, sf_dir))
 
 
+@query
+def j3_indexed_search(spark, sf_dir):
+    """The search over an index that four parts of the corpus were added to."""
+    queries, corpus = _search_inputs(spark, sf_dir)
+    index = PostingIndex(spark, scratch_path(spark, "index"), most_runs=2)
+    for version, rows in enumerate(time_slices(corpus, "closed_at"), 1):
+        index.add(rows, version)
+    return search.search(queries, corpus, index=index)
+
+
 @query
 def j4_evidence_join(spark, sf_dir):
     diagnoses = views.case_rows(spark, sf_dir).select(
@@ -954,13 +965,15 @@ def t4_stream_chunk_assembly(spark, sf_dir):
 
 @query
 def t5_stream_search(spark, sf_dir):
-    path = scratch_path(spark, "cases")
-    views.case_rows(spark, sf_dir).write.parquet(path)
-    rows = spark.read.parquet(path)
-    arriving = spark.readStream.schema(rows.schema).parquet(path)
-    hits_path = scratch_path(spark, "hits")
-    writer = streams.search_writer(
-        views.as_queries(arriving), lambda session: views.closed(session.read.parquet(path)), hits_path
+    """Closed cases arrive in two batches, then the open ones in two more."""
+    rows = stage(views.case_rows(spark, sf_dir), "cases")
+    closed = time_slices(views.closed(rows), "closed_at", 2)
+    others = rows.filter("status <> 'F'")
+    waiting = [others.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == i) for i in range(2)]
+    arriving = replayed(spark, [*closed, *waiting], "cases")
+    corpus_path, index_path, hits_path = (scratch_path(spark, name) for name in ("corpus", "index", "hits"))
+    writer = streams.indexed_search_writer(
+        arriving, views.as_queries, views.closed, corpus_path, index_path, hits_path
     )
     schema = "query_id string, hit_rank int, case_id string, score double, is_own boolean"
     return batches(spark, writer, hits_path, schema)

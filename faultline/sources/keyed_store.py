@@ -131,6 +131,27 @@ class KeyedStore:
 
         self._merge(rows, order, version, "last", combine)
 
+    def append(self, rows, version, merge):
+        """Add rows beside those held under their keys; ``merge`` makes one row a key of full buckets."""
+        folders = self.folders(version)
+        with Scope() as scope:
+            incoming = scope.stage(self._bucketed(rows), "store-incoming")
+            touched = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]
+            full = [b for b in touched if len(folders.get(b, [])) >= self.most_folders]
+            if full:
+                held = incoming.filter(F.col("bucket").isin(full)).drop("bucket")
+                merged = merge(held.unionByName(self._read(self.paths(folders, full))))
+                incoming = incoming.filter(~F.col("bucket").isin(full)).unionByName(self._bucketed(merged))
+            self._write(incoming, version, folders, full)
+
+    def lookup(self, wanted, broadcast_rows=200_000):
+        """The rows under the keys of ``wanted``, from the buckets of these keys."""
+        keys = wanted.select(*self.keys).distinct()
+        touched = [r["b"] for r in keys.select(self._bucket().alias("b")).distinct().collect()]
+        held = self._read(self.paths(self.folders(), touched))
+        few = keys.limit(broadcast_rows + 1).count() <= broadcast_rows
+        return held.join(F.broadcast(keys) if few else keys, self.keys, "left_semi")
+
     def vacuum(self, keep):
         """Delete manifests below ``keep`` and the folders that only they name.
 

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 from faultline import fixed_values as fv
 from faultline.operators import cases, gates, limits, merges, search
 from faultline.operators.admission import judge, length_micros
+from faultline.operators.postings import PostingIndex
 from faultline.session import Scope
 from faultline.sources.keyed_store import KeyedStore
 from faultline.streaming.sinks import read_before, write_batch
@@ -135,6 +136,26 @@ def search_writer(queries, corpus_of, path):
     return queries.writeStream.foreachBatch(find)
 
 
+def indexed_search_writer(rows, queries_of, closed_of, corpus_path, index_path, path):
+    """Add the closed cases of each batch to corpus and index, then search its open ones.
+
+    A batch indexes its own cases and reads the lists of its own queries; nothing is
+    built from the whole corpus.  ``rows`` are case rows with an ``id``.
+    """
+
+    def advance(batch, batch_id):
+        spark, version = batch.sparkSession, batch_id + 1
+        corpus = corpus_store(spark, corpus_path, rows.schema, ["id"])
+        index = PostingIndex(spark, index_path)
+        corpus.insert(closed_of(batch), ["closed_at"], version)
+        # what the corpus took from the batch
+        index.add(corpus.added(version).drop("bucket"), version)
+        hits = search.search(queries_of(batch), corpus.read(), index=index)
+        write_batch(hits, path, batch_id)
+
+    return rows.writeStream.foreachBatch(advance)
+
+
 def quality_gate_writer(documents, corpus_path, rejected_path, queue_path, now=None):
     """Closed cases to corpus, rejects or queue.
 
