@@ -1001,7 +1001,8 @@ def t6_stream_quality_gate(spark, sf_dir):
 
 @query
 def t7_stream_violations(spark, sf_dir):
-    violations = views.as_violations(views.as_usage(stream_of(spark, sf_dir, "events")))
+    log = views.as_violations(views.usage_log(spark, sf_dir))
+    violations = replayed(spark, time_slices(log, "created_at"), "violations-log")
     path = scratch_path(spark, "violations")
     writer = streams.violations_writer(violations, path, f"{path}-totals", views.SENDER)
     schema = "event_id bigint, violation_count bigint, blocked boolean, subject string, body string"

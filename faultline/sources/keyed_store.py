@@ -144,11 +144,11 @@ class KeyedStore:
                 incoming = incoming.filter(~F.col("bucket").isin(full)).unionByName(self._bucketed(merged))
             self._write(incoming, version, folders, full)
 
-    def lookup(self, wanted, broadcast_rows=200_000):
-        """The rows under the keys of ``wanted``, from the buckets of these keys."""
+    def lookup(self, wanted, before=None, broadcast_rows=200_000):
+        """The rows under the keys of ``wanted``, from the buckets of these keys, as of a version."""
         keys = wanted.select(*self.keys).distinct()
         touched = [r["b"] for r in keys.select(self._bucket().alias("b")).distinct().collect()]
-        held = self._read(self.paths(self.folders(), touched))
+        held = self._read(self.paths(self.folders(before), touched))
         few = keys.limit(broadcast_rows + 1).count() <= broadcast_rows
         return held.join(F.broadcast(keys) if few else keys, self.keys, "left_semi")
 

@@ -11,7 +11,7 @@ from faultline.operators.admission import judge, length_micros
 from faultline.operators.postings import PostingIndex
 from faultline.session import Scope
 from faultline.sources.keyed_store import KeyedStore
-from faultline.streaming.sinks import read_before, write_batch
+from faultline.streaming.sinks import write_batch
 
 EDIT_DELAY = "1 minute"
 INGEST_DELAY = "24 hours"
@@ -190,24 +190,32 @@ def quality_gate_writer(documents, corpus_path, rejected_path, queue_path, now=N
 def violations_writer(violations, path, totals_path, sender, key="installation_id"):
     """Number violations across batches and add their alert texts.
 
-    Each batch leaves the totals so far in its own folder for the next one.
+    A batch adds what it counts, one row an installation, to a keyed store and looks up
+    the counts before it, from the buckets of its own installations; installations it does
+    not meet are neither read nor written.  Rows without an installation are one.
     """
+    named = StructType().add("name", "string").add("added", "long")
+
+    def summed(rows):
+        return rows.groupBy("name").agg(F.sum("added").alias("added"))
 
     def number(batch, batch_id):
-        spark = batch.sparkSession
-        totals_schema = StructType([violations.schema[key]]).add("before", "long")
-        # The newest snapshot is enough; every snapshot holds all installations.
-        totals = read_before(spark, f"{totals_path}/of={batch_id - 1}", totals_schema, batch_id)
-        numbered = (
-            limits.running_violations(batch, key, "created_at", ["event_id"])
-            .join(totals, key, "left")
-            .withColumn("violation_count", F.col("violation_count") + F.coalesce("before", F.lit(0)))
-            .withColumn("blocked", F.col("violation_count") >= fv.BLOCK_AFTER_VIOLATIONS)
-            .drop("before")
-        )
-        write_batch(limits.alerts(numbered, sender), path, batch_id)
-        added = batch.groupBy(key).agg(F.count("*").alias("before"))
-        after = totals.unionByName(added).groupBy(key).agg(F.sum("before").alias("before"))
-        write_batch(after, f"{totals_path}/of={batch_id}", batch_id)
+        spark, version = batch.sparkSession, batch_id + 1
+        totals = KeyedStore(spark, totals_path, named, ["name"])
+        # a name for every key, the missing one included
+        name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("missing"))
+        with Scope() as scope:
+            numbered = limits.running_violations(batch, key, "created_at", ["event_id"])
+            numbered = scope.stage(numbered.withColumn("name", name), "violations-numbered")
+            added = numbered.groupBy("name").agg(F.count("*").alias("added"))
+            before = summed(totals.lookup(added, before=version)).withColumnRenamed("added", "before")
+            numbered = (
+                numbered.join(before, "name", "left")
+                .withColumn("violation_count", F.col("violation_count") + F.coalesce("before", F.lit(0)))
+                .withColumn("blocked", F.col("violation_count") >= fv.BLOCK_AFTER_VIOLATIONS)
+                .drop("before", "name")
+            )
+            write_batch(limits.alerts(numbered, sender), path, batch_id)
+            totals.append(added, version, summed)
 
     return violations.writeStream.foreachBatch(number)

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from faultline import schemas
 from faultline.operators import admission, limits, merges, scanlog, search
 from faultline.plans import views
+from faultline.sources.keyed_store import KeyedStore
 from faultline.streaming import jobs
 from faultline.streaming.sinks import read_before, run_available, write_batch
 
@@ -181,3 +182,23 @@ def test_quality_gate_across_batches(spark, table, tmp_path):
     queued = {r["id"]: r for r in jobs.corpus_store(spark, out[2], entry, ["id"]).read().collect()}
     assert {i: r["error"] for i, r in queued.items()} == {"3": "constraint", "5": "closed_at"}
     assert json.loads(queued["3"]["data"])["resolution"] == "replaced pump"
+
+
+def test_totals_written_follow_the_batch(spark, table, tmp_path):
+    """Twenty batches of one installation each, of thirty known ones, the missing one among them."""
+    schema, path = "event_id long, installation_id string, reason string, created_at timestamp", str(tmp_path / "in")
+    owners = [None if i == 7 else f"i{i}" for i in range(30)]
+    logs = [[(i, owner, "r", DAY0) for i, owner in enumerate(owners)]]
+    logs += [[(100 * b + j, owners[b % 9], "r", DAY0 + datetime.timedelta(hours=b)) for j in range(3)] for b in range(1, 20)]
+    for rows in logs:
+        table(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out, totals = str(tmp_path / "numbered"), str(tmp_path / "totals")
+    run_available(jobs.violations_writer(stream, out, totals, "corpus"), str(tmp_path / "checkpoint"))
+    named = StructType().add("name", "string").add("added", "long")
+    store = KeyedStore(spark, totals, named, ["name"])
+    assert [store.added(v).count() for v in (1, 2, 10, 20)] == [30, 1, 1, 1]
+    whole = table([row for rows in logs for row in rows], schema)
+    twin = limits.running_violations(whole, "installation_id", "created_at", ["event_id"]).select("event_id", "violation_count")
+    got = spark.read.parquet(out).select("event_id", "violation_count")
+    assert got.count() == twin.count() == 30 + 19 * 3 and got.exceptAll(twin).count() == 0
