@@ -1,6 +1,7 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
-Records are hashed by their id into ``SLOTS`` slots, once and for all.  The bytes of each
+Records are hashed by id, checksum and size into ``SLOTS`` slots, once and for all, so the
+different texts of one id, or of rows without an id, lie in many slots.  The bytes of each
 slot are summed, and a map from slots to shards makes the shards' sizes near equal:
 the largest slot goes to the smallest shard.  The map, one row a slot and version, is a
 table in the shared folder.  Rebalancing edits it: the next version keeps every slot
@@ -10,8 +11,8 @@ a shard moves slots to the new one only.  Records never change their slot.
 A record's size is the UTF-8 bytes of its text (null: none) plus one.  Its place in the
 shard is gapless: slots follow each other, within a slot its ``PARTS`` parts (by a hash of
 the whole record, so that a slot or id with many records is ordered by many tasks), within a
-part records by id, checksum and size.  Null ids have a slot by their text's checksum.  Repeated rows are records of
-their own, and their order does not matter as they are equal.  An empty table gives an
+part records by id, checksum and size.  Ids may be of any type.  Repeated rows are records of
+their own in one slot, which no map can split, and their order does not matter as they are equal.  An empty table gives an
 empty result and a map of empty slots.  Only doc_id and text are read.
 """
 
@@ -33,7 +34,7 @@ def records(docs, slots=SLOTS):
     """doc_id, size, text_crc32, virtual_slot and part of every row."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     crc, size = F.crc32(text), (F.octet_length(text) + 1).cast("long")
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), crc))
+    key = F.xxhash64("doc_id", crc, size)
     return docs.select(
         "doc_id",
         size.alias("size"),

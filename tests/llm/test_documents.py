@@ -513,12 +513,35 @@ def test_shards(docs, rows):
     assert mapped.count() == sharding.SLOTS
 
 
-def test_a_slot_with_many_records_is_ordered_in_parts(spark):
-    docs = spark.range(2000).select(F.lit(7).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
-    found = sharding.shard(docs)[0].collect()
-    assert sorted(r["slot"] for r in found) == list(range(2000))
-    assert len({(r["shard"], r["virtual_slot"]) for r in found}) == 1
-    assert sharding.records(docs).select("part").distinct().count() > 32
+@pytest.mark.parametrize("hot", ["7L", "NULL"])
+def test_shards_stay_near_equal_under_a_hot_id(spark, hot):
+    """A third of the rows under one id, or without one, with different texts."""
+    ids = f"IF(id % 3 = 0, {hot}, id) AS doc_id"
+    docs = spark.range(30_000).selectExpr(ids, "repeat(concat(id, ' '), 1 + id % 50) AS text")
+    found = sharding.shard(docs)[0]
+    sizes = found.groupBy("shard").agg(F.sum("size").alias("b"), F.max("size").alias("most"), F.max("slot").alias("last"), F.count("*").alias("n")).collect()
+    assert len(sizes) == 8 and all(r["last"] == r["n"] - 1 for r in sizes)
+    mean = sum(r["b"] for r in sizes) / 8
+    assert max(abs(r["b"] - mean) for r in sizes) <= 0.01 * mean + max(r["most"] for r in sizes)
+
+
+def test_growing_moves_records_to_the_new_shard_only(spark):
+    docs = spark.range(9000).selectExpr("IF(id % 3 = 0, 7, id) AS doc_id", "repeat(concat(id, ' '), 1 + id % 50) AS text")
+    rows = sharding.records(docs)
+    parts = sharding.part_sizes(rows)
+    sizes = sharding.slot_sizes(parts)
+    owner = sharding.balance(sizes)
+    edited = sharding.rebalance(owner, sizes, 9)
+    assert all(edited[s] in (owner[s], 8) for s in owner) and 8 in edited.values()
+    versions = [sharding.slot_map(spark, o, sizes, v) for v, o in enumerate((owner, edited), 1)]
+    before, after = (sharding.place(rows, parts, m).select("doc_id", "text_crc32", "shard") for m in versions)
+    moved = before.withColumnRenamed("shard", "old").join(after, ["doc_id", "text_crc32"])
+    assert moved.filter("shard <> old AND shard <> 8").count() == 0 and moved.filter("shard = 8").count() > 500
+
+
+def test_slots_of_other_ids(spark):
+    docs = spark.createDataFrame([("a", "x"), ("b", None), (None, "x"), ("a", "x")], "doc_id string, text string")
+    assert sorted(r["size"] for r in sharding.shard(docs)[0].collect()) == [1, 2, 2, 2]
 
 
 def test_extra_columns_pass_or_are_replaced(docs, rows, tagger):
