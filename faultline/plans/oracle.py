@@ -310,6 +310,14 @@ GATED = f"""
 
 STATEMENTS = {
     "s1_read_cases": "SELECT CAST(event_id AS VARCHAR) AS row_id, event_type AS row_status, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    "s1_quarantined_cases": """
+        SELECT CAST(event_id AS VARCHAR) AS row_id,
+               CASE WHEN event_type NOT IN ('error', 'view', 'signup') THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k,
+               CASE WHEN event_type = 'signup' THEN 'missing' WHEN event_type = 'view' THEN 'not_an_object'
+                    WHEN event_type = 'error' THEN 'unreadable' END AS reason,
+               CASE WHEN event_type = 'view' THEN '[' || props || ']'
+                    WHEN event_type = 'error' THEN substring(props, 1, length(props) - 1) END AS raw
+        FROM events""",
     "s2_read_corpus": "SELECT id, installation_id, brand AS vehicle_brand, model AS vehicle_model, mileage, closed_at, array_to_string(symptoms, '|') AS symptoms, array_to_string(codes, '|') AS codes FROM corpus",
     "s3_insert_if_absent": one_version("ASC"),
     "s4_upsert_last": one_version("DESC"),
@@ -534,6 +542,10 @@ STATEMENTS = {
           FROM scans)
         GROUP BY ALL""",
     "d4_is_adapter": "SELECT o_orderkey, o_orderstatus IN ('F', 'O') AS is_adapter FROM orders",
+    "d4_adapter_in_texts": """
+        SELECT 'pages' AS origin, CAST(page_id AS BIGINT) AS item_id, regexp_matches(url, '(?i)ELM ?327|OBDII') AS is_adapter FROM pages
+        UNION ALL
+        SELECT 'documents', CAST(doc_id AS BIGINT), regexp_matches(text, '(?i)ELM ?327|OBDII') FROM documents""",
     "d5_read_codes": f"""
         SELECT scan_id, CASE WHEN reads THEN {joined(code('customer'), code('price'))} ELSE '' END AS stored,
                CASE WHEN error IS NOT NULL OR status = 'P' THEN ''

@@ -67,6 +67,23 @@ def s1_read_cases(spark, sf_dir):
     )
 
 
+@query
+def s1_quarantined_cases(spark, sf_dir):
+    """Sessions: errors lack their last character, views are arrays, signups have no document."""
+    raw = (
+        F.when(F.col("status") == "error", F.expr("substring(data, 1, length(data) - 1)"))
+        .when(F.col("status") == "view", F.concat(F.lit("["), "data", F.lit("]")))
+        .when(F.col("status") != "signup", F.col("data"))
+    )
+    sessions = views.session_rows(spark, sf_dir).withColumn("data", raw)
+    readable, quarantined = readers.split_sessions(sessions, "k bigint")
+    nothing = F.lit(None).cast("string")
+    kept = readable.select(F.col("_rowId").alias("row_id"), "k", nothing.alias("reason"), nothing.alias("raw"))
+    return kept.unionByName(
+        quarantined.select(F.col("id").alias("row_id"), F.lit(None).cast("bigint").alias("k"), "reason", "raw")
+    )
+
+
 @query
 def s2_read_corpus(spark, sf_dir):
     return views.case_corpus(spark, sf_dir).select(
@@ -686,6 +703,20 @@ def d4_is_adapter(spark, sf_dir):
     )
 
 
+@query
+def d4_adapter_in_texts(spark, sf_dir):
+    """The greeting test over every whole url and document."""
+    texts = [("pages", "page_id", "url"), ("documents", "doc_id", "text")]
+    parts = [
+        views.table(spark, sf_dir, name).select(
+            F.lit(name).alias("origin"), F.col(key).cast("bigint").alias("item_id"),
+            scan.is_adapter(F.col(text)).alias("is_adapter"),
+        )
+        for name, key, text in texts
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def d5_read_codes(spark, sf_dir):
     return scanlog.read_codes(views.order_scans(spark, sf_dir)).select(
