@@ -8,7 +8,7 @@ header or a model ``label`` with its ``powers``.
 from pyspark.sql import functions as F
 
 from faultline.functions.text import or_empty
-from faultline.operators.running import position_bucket, running
+from faultline.operators.running import running
 from faultline.operators.skew import join_spreading_hot_keys
 
 #: Entries of a catalog, some 100 bytes each, that are broadcast; a longer one is spread.
@@ -103,7 +103,6 @@ def carry_group_header(items):
     carried = running(
         active.filter(F.col("position").isNotNull()),
         ["brand"],
-        position_bucket(F.col("position")),
         ["position"],
         maxes={"last_header": header},
     )

@@ -5,13 +5,7 @@ from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
 from faultline.operators.recency import newest_per_key
-from faultline.operators.running import (
-    first_position,
-    position_bucket,
-    rolling_count,
-    running,
-    second_bucket,
-)
+from faultline.operators.running import first_position, rolling_count, running
 from faultline.operators.skew import join_spreading_hot_keys
 
 DAY = "24 hours"
@@ -44,7 +38,6 @@ def input_rounds(messages, case, position, kind):
     return running(
         messages,
         [case],
-        position_bucket(F.col(position)),
         [position],
         sums={"round_no": (kind == fv.INPUT).cast("int")},
     )
@@ -55,7 +48,6 @@ def token_budget(messages, case, position, tokens, budget=fv.TOKENS_PER_CASE):
     used = running(
         messages,
         [case],
-        position_bucket(F.col(position)),
         [position],
         sums={"used": F.coalesce(tokens, F.lit(0))},
     )
@@ -81,7 +73,6 @@ def tokens_before(messages, case, position, tokens):
     return running(
         messages,
         [case],
-        position_bucket(F.col(position)),
         [position],
         sums={"used_before": F.coalesce(tokens, F.lit(0))},
         before=True,
@@ -102,7 +93,6 @@ def running_violations(violations, key, ts, order, block_after=fv.BLOCK_AFTER_VI
     numbered = running(
         violations,
         [key],
-        second_bucket(violations, ts),
         [ts, *order],
         sums={"violation_count": F.lit(1)},
     )

@@ -1,11 +1,12 @@
-"""Running values per key, computed in three levels.
-
-Rows are cut into buckets along the order, values run inside each (key, bucket), and
-bucket totals supply what came before.  The totals run in the same way inside groups of
-``GROUP`` buckets, whose own totals run per key.  A task holds one bucket of a key, one
-group of its bucket totals or its group totals, so a key with a large share of all rows
-is processed by many tasks.  Time is cut into seconds: only rows of one key at one
-second are sure to meet in one task.  Rows without a key are one key of their own.
+"""Running values per key by a prefix scan over ranges of the order.
+
+A key's rows run in one window unless the key is hot: unless it holds more than one in
+``MAX_HOT`` of all rows.  A hot key is cut into ranges of the whole order, so also among
+rows of one time, at bounds from a hash sample of its places; values run inside each range
+and the totals of the ranges before are added.  Only hot keys have bounds and totals, about
+``2 * MAX_HOT`` of them at any size, so both are broadcast and the input is shuffled once,
+by key and range.  Only rows equal in every order column are sure to meet in one task.
+Rows without a key are one key of their own.
 """
 
 from functools import reduce
@@ -13,19 +14,13 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from faultline.operators.recency import micros
-
-POSITIONS_PER_BUCKET = 4096
-#: Buckets of a key whose totals run together.
-GROUP = 4096
-
-
-def position_bucket(position):
-    return F.floor(position / POSITIONS_PER_BUCKET)
-
-
-def second_bucket(df, ts):
-    return F.floor(micros(df, ts) / 1_000_000)
+#: A key is hot if it holds more than one in so many rows, and at least ``MIN_HOT_ROWS``.
+MAX_HOT = 10_000
+MIN_HOT_ROWS = 200_000
+#: Places sampled for each range of a hot key.
+PER_RANGE = 32
+#: Bounds in one run: a row meets the first bound of each run, then those of its run.
+RUN = 64
 
 
 def _same(keys):
@@ -33,81 +28,130 @@ def _same(keys):
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
 
 
-def _carried(totals, keys, folds):
-    """What the earlier buckets of a key give; ``folds`` maps columns to sum or max."""
+def _beside(df, keys):
+    """A side of a bounded number of rows, to be met with ``_same``."""
+    return F.broadcast(df.withColumnsRenamed({k: f"_k_{k}" for k in keys}))
 
-    def run(within, order):
-        earlier = (
-            Window.partitionBy(*within)
-            .orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        return [fold(f"_v_{name}").over(earlier) for name, fold in folds.items()]
 
-    grouped = totals.withColumn("_group", F.floor(F.col("_bucket") / GROUP))
-    in_group = [*keys, "_group"]
-    groups = grouped.groupBy(*in_group).agg(
-        *[fold(f"_v_{name}").alias(f"_v_{name}") for name, fold in folds.items()]
+def _hot(df, keys):
+    """The rows a range should hold, and the hot keys (None without any)."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
+    share = max((total or 0) / MAX_HOT, MIN_HOT_ROWS)
+    if (largest or 0) <= share:
+        return share, None
+    return share, counts.filter(F.col("_rows") > share).select(*keys)
+
+
+def _runs(df, keys, order, share, hot):
+    """The bounds of each hot key, ascending, in runs."""
+    places = df.select(*keys, F.struct(*order).alias("_place")).join(
+        _beside(hot, keys), _same(keys), "left_semi"
     )
-    before_group = groups.select(
-        *[F.col(k).alias(f"_k_{k}") for k in in_group],
-        *[value.alias(f"_g_{name}") for name, value in zip(folds, run(keys, "_group"))],
+    low = (min(PER_RANGE / share, 1.0) * 2.0 - 1.0) * float(1 << 63)
+    drawn = places.filter(F.xxhash64(*keys, "_place").cast("double") < low)
+    bounds = F.filter(
+        F.sort_array(F.collect_set("_place")), lambda _, i: i % PER_RANGE == PER_RANGE - 1
     )
-    in_bucket = grouped.select(
-        *in_group,
-        "_bucket",
-        *[value.alias(f"_b_{name}") for name, value in zip(folds, run(in_group, "_bucket"))],
+    starts = F.sequence(F.lit(1), F.size("_bounds"), F.lit(RUN))
+    return (
+        drawn.groupBy(*keys)
+        .agg(bounds.alias("_bounds"))
+        .filter(F.size("_bounds") > 0)
+        .select(*keys, F.transform(starts, lambda i: F.slice("_bounds", i, RUN)).alias("_runs"))
     )
 
-    def both(name, fold):
-        parts = [F.col(f"_b_{name}"), F.col(f"_g_{name}")]
-        if fold is F.max:
-            return F.greatest(*parts)
-        return F.coalesce(parts[0], F.lit(0)) + F.coalesce(parts[1], F.lit(0))
 
-    return in_bucket.join(before_group, _same(in_group), "left").select(
-        *keys, "_bucket", *[both(name, fold).alias(f"_c_{name}") for name, fold in folds.items()]
+def in_ranges(df, keys, order):
+    """The rows of ``df`` ready for running values over ``keys`` and ``order``."""
+    share, hot = _hot(df, keys)
+    if hot is None:
+        return Ranged(df.withColumn("_range", F.lit(None).cast("int")), keys, order, False)
+    runs = _runs(df, keys, order, share, hot)
+    place = F.struct(*order)
+
+    def upto(bounds):
+        return F.size(F.filter(bounds, lambda bound: bound <= place))
+
+    in_run = F.transform(
+        F.array(upto(F.transform("_runs", lambda run: run[0]))),
+        lambda n: F.when(n == 0, 0).otherwise(
+            (n - 1) * RUN + upto(F.element_at("_runs", F.greatest(n, F.lit(1))))
+        ),
+    )[0]
+    placed = df.join(_beside(runs, keys), _same(keys), "left").select(
+        *df.columns, F.when(F.col("_runs").isNotNull(), in_run).alias("_range")
     )
+    return Ranged(placed, keys, order, True)
 
 
-def running(df, keys, bucket, order, sums=None, maxes=None, before=False):
-    """Add running sums and running maxima (named expressions) to ``df``.
+class Ranged:
+    """Rows whose column ``_range`` numbers the ranges of a hot key and is null for others.
 
-    ``before=True`` leaves the current row out.  Sums start at 0, maxima at null.
+    All running values added to one object run in the same shuffle and sort.
     """
-    sums, maxes = sums or {}, maxes or {}
-    inputs = {**sums, **maxes}
-    staged = df.withColumns(
-        {"_bucket": bucket, **{f"_v_{name}": value for name, value in inputs.items()}}
-    )
-    per_bucket = [*keys, "_bucket"]
 
-    folds = {name: F.sum if name in sums else F.max for name in inputs}
-    inside = (
-        Window.partitionBy(*per_bucket)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
-    )
-    totals = staged.groupBy(*per_bucket).agg(
-        *[fold(f"_v_{name}").alias(f"_v_{name}") for name, fold in folds.items()]
-    )
-    carried = _carried(totals, keys, folds)
-    local = staged.select(
-        "*", *[fold(f"_v_{name}").over(inside).alias(f"_l_{name}") for name, fold in folds.items()]
-    )
-    joined = local.join(
-        carried.withColumnsRenamed({k: f"_k_{k}" for k in per_bucket}), _same(per_bucket), "left"
-    )
-    zero = F.lit(0)
-    results = {
-        name: F.coalesce(F.col(f"_l_{name}"), zero) + F.coalesce(F.col(f"_c_{name}"), zero)
-        if name in sums
-        else F.greatest(f"_l_{name}", f"_c_{name}")
-        for name in inputs
-    }
-    return joined.select(
-        *df.columns, *[value.alias(name) for name, value in results.items()]
-    )
+    def __init__(self, rows, keys, order, cut):
+        self.rows, self.keys, self.order, self.cut = rows, keys, order, cut
+
+    def _carried(self, staged, folds):
+        """What the earlier ranges of a hot key give."""
+        per_range = [*self.keys, "_range"]
+        totals = staged.filter(F.col("_range").isNotNull()).groupBy(*per_range).agg(
+            *[fold(f"_v_{name}").alias(f"_v_{name}") for name, fold in folds.items()]
+        )
+        earlier = (
+            Window.partitionBy(*self.keys)
+            .orderBy("_range")
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        return totals.select(
+            *per_range,
+            *[fold(f"_v_{name}").over(earlier).alias(f"_c_{name}") for name, fold in folds.items()],
+        )
+
+    def add(self, sums=None, maxes=None, before=False):
+        """Add running sums and running maxima (named expressions).
+
+        ``before=True`` leaves the current row out.  Sums start at 0, maxima at null.
+        """
+        sums, maxes = sums or {}, maxes or {}
+        folds = {**dict.fromkeys(sums, F.sum), **dict.fromkeys(maxes, F.max)}
+        per_range = [*self.keys, "_range"]
+        staged = self.rows.withColumns(
+            {f"_v_{name}": value for name, value in {**sums, **maxes}.items()}
+        )
+        inside = (
+            Window.partitionBy(*per_range)
+            .orderBy(*self.order)
+            .rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
+        )
+        local = staged.select(
+            *self.rows.columns,
+            *[fold(f"_v_{name}").over(inside).alias(f"_l_{name}") for name, fold in folds.items()],
+        )
+        results = {
+            name: F.coalesce(F.col(f"_l_{name}"), F.lit(0)) if name in sums else F.col(f"_l_{name}")
+            for name in folds
+        }
+        if self.cut:
+            carried = _beside(self._carried(staged, folds), per_range)
+            local = local.join(carried, _same(per_range), "left")
+            for name in sums:
+                results[name] += F.coalesce(F.col(f"_c_{name}"), F.lit(0))
+            for name in maxes:
+                results[name] = F.greatest(results[name], F.col(f"_c_{name}"))
+        return Ranged(
+            local.select(*self.rows.columns, *[v.alias(n) for n, v in results.items()]),
+            self.keys,
+            self.order,
+            self.cut,
+        )
+
+
+def running(df, keys, order, sums=None, maxes=None, before=False):
+    """Running values of one kind; see ``Ranged.add``."""
+    return in_ranges(df, keys, order).add(sums, maxes, before).rows.drop("_range")
 
 
 def rolling_count(df, key, ts, order, length, name, counted=None, inclusive=False):
@@ -119,24 +163,19 @@ def rolling_count(df, key, ts, order, length, name, counted=None, inclusive=Fals
     exactly ``length`` old.  ``order`` breaks ties between equal times.
     """
     counts = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
-    leaves = 2 if inclusive else 0
-    entries = df.withColumns(
-        {"_at": F.col(ts), "_turn": F.lit(1), "_delta": counts.cast("int")}
-    )
-    exits = df.filter(counts).select(
-        key,
+    entry = F.struct(F.col(ts).alias("_at"), F.lit(1).alias("_turn"), counts.cast("int").alias("_delta"))
+    leave = F.struct(
         (F.col(ts) + F.expr(f"INTERVAL '{length}'")).alias("_at"),
-        F.lit(leaves).alias("_turn"),
+        F.lit(2 if inclusive else 0).alias("_turn"),
         F.lit(-1).alias("_delta"),
     )
-    timeline = entries.unionByName(exits, allowMissingColumns=True)
-    balance = running(
-        timeline,
-        [key],
-        second_bucket(timeline, "_at"),
-        ["_at", "_turn", *order],
-        sums={name: F.col("_delta")},
+    moves = F.when(counts, F.array(entry, leave)).otherwise(F.array(entry))
+    # an exit carries its key and order only
+    rest = [c for c in df.columns if c not in (key, *order)]
+    timeline = df.select("*", F.inline(moves)).withColumns(
+        {c: F.when(F.col("_turn") == 1, F.col(c)) for c in rest}
     )
+    balance = running(timeline, [key], ["_at", "_turn", *order], sums={name: F.col("_delta")})
     return balance.filter(F.col("_turn") == 1).select(
         *df.columns, (F.col(name) - F.col("_delta")).alias(name)
     )

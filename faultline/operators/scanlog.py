@@ -6,7 +6,7 @@ from faultline import fixed_values as fv
 from faultline.functions import scan
 from faultline.functions.once import once
 from faultline.operators.cases import new_pending_codes
-from faultline.operators.running import running, second_bucket
+from faultline.operators.running import in_ranges
 
 
 def parse_responses(scans):
@@ -53,20 +53,13 @@ def chunk_sessions(chunks, port, ts, order, silence=fv.CHUNK_SILENCE):
 
     A response ends when the port stays silent for longer than ``silence``.
     """
-    bucket = second_bucket(chunks, ts)
-    with_previous = running(
-        chunks, [port], bucket, [ts, *order], maxes={"_previous": F.col(ts)}, before=True
-    )
+    chunks = in_ranges(chunks, [port], [ts, *order])
+    with_previous = chunks.add(maxes={"_previous": F.col(ts)}, before=True)
     quiet = F.col("_previous").isNull() | (
         F.col(ts) > F.col("_previous") + F.expr(f"INTERVAL '{silence}'")
     )
-    return running(
-        with_previous,
-        [port],
-        bucket,
-        [ts, *order],
-        maxes={"response_start": F.when(quiet, F.col(ts))},
-    ).drop("_previous")
+    started = with_previous.add(maxes={"response_start": F.when(quiet, F.col(ts))})
+    return started.rows.drop("_previous", "_range")
 
 
 def command_cap(mode):

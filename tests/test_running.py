@@ -29,16 +29,30 @@ def log_rows(seed, n=600, keys=3, hours=120, step_minutes=30):
     ]
 
 
-def test_running_across_buckets(table):
+@pytest.fixture
+def cut(monkeypatch):
+    """Every key of more than a few rows is cut into ranges of about that many."""
+
+    def into(rows):
+        monkeypatch.setattr(running, "MIN_HOT_ROWS", rows)
+        monkeypatch.setattr(running, "PER_RANGE", 2)
+        monkeypatch.setattr(running, "RUN", 3)
+
+    return into
+
+
+@pytest.mark.parametrize("ranges", [None, 4, 16])
+def test_running_across_ranges(table, cut, ranges):
+    if ranges:
+        cut(ranges)
     rows = [("a" if i % 3 else "b", i, (i * 7) % 5) for i in range(200)]
     frame = table(rows, "k string, pos int, v int")
     got = running.running(
-        frame, ["k"], F.floor(F.col("pos") / 16), ["pos"],
+        frame, ["k"], ["pos"],
         sums={"total": F.col("v")}, maxes={"top": F.when(F.col("v") > 2, F.col("pos"))},
     )
     before = running.running(
-        frame, ["k"], F.floor(F.col("pos") / 16), ["pos"],
-        sums={"total": F.col("v")}, maxes={"top": F.col("v")}, before=True,
+        frame, ["k"], ["pos"], sums={"total": F.col("v")}, maxes={"top": F.col("v")}, before=True
     )
     seen = {r["pos"]: (r["total"], r["top"]) for r in got.collect()}
     seen_before = {r["pos"]: (r["total"], r["top"]) for r in before.collect()}
@@ -50,41 +64,65 @@ def test_running_across_buckets(table):
         if v > 2:
             top[k] = pos
         assert seen[pos] == (total[k], top.get(k))
+    assert len(seen) == len(seen_before) == 200
 
 
 def test_running_keeps_every_row_of_a_long_key(table):
     frame = table([("a", i) for i in range(9000)], "k string, pos int")
-    got = running.running(
-        frame, ["k"], running.position_bucket(F.col("pos")), ["pos"], sums={"n": F.lit(1)}
-    )
+    got = running.running(frame, ["k"], ["pos"], sums={"n": F.lit(1)})
     assert got.filter("n <> pos + 1").count() == 0 and got.count() == 9000
 
 
-def test_a_dense_hour_of_one_key_is_cut(spark):
-    frame = spark.range(200_000).selectExpr(
-        "CAST(NULL AS STRING) AS k", "timestamp_micros(id * 17000) AS ts", "id"
-    )
-    got = running.running(
-        frame, ["k"], running.second_bucket(frame, "ts"), ["ts", "id"], sums={"n": F.lit(1)}
+def test_a_second_of_one_key_is_cut(spark):
+    """A million rows of one key, all of one time, spread over ranges near the size asked for."""
+    frame = spark.range(1_000_000).selectExpr(
+        "CAST(NULL AS STRING) AS k", "TIMESTAMP '2024-01-01 00:00:00' AS ts", "id"
     )
-    largest = frame.groupBy(running.second_bucket(frame, "ts")).count().agg(F.max("count")).first()[0]
-    assert largest < 60 and got.filter("n <> id + 1").count() == 0 and got.count() == 200_000
+    ranged = running.in_ranges(frame, ["k"], ["ts", "id"])
+    sizes = [r["count"] for r in ranged.rows.groupBy("_range").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 2 * running.MIN_HOT_ROWS and sum(sizes) == 1_000_000
+    got = ranged.add(sums={"n": F.lit(1)}).rows
+    assert got.filter("n <> id + 1").count() == 0 and got.count() == 1_000_000
 
 
-def test_totals_run_across_groups_of_buckets(table, monkeypatch):
-    monkeypatch.setattr(running, "GROUP", 3)
-    rows = [(None if i % 2 else "a", i) for i in range(100)]
+def test_totals_run_across_ranges_of_several_keys(table, cut):
+    cut(3)
+    rows = [(None if i % 2 else "a", i) for i in range(100)] + [("few", 1), ("few", 2)]
     got = running.running(
-        table(rows, "k string, pos int"), ["k"], F.floor(F.col("pos") / 4), ["pos"],
+        table(rows, "k string, pos int"), ["k"], ["pos"],
         sums={"n": F.lit(1)}, maxes={"last": F.when(F.col("pos") < 30, F.col("pos"))}, before=True,
-    )
-    for r in got.collect():
+    ).collect()
+    for r in got:
         earlier = [pos for k, pos in rows if k == r["k"] and pos < r["pos"]]
         assert (r["n"], r["last"]) == (len(earlier), max((p for p in earlier if p < 30), default=None))
+    assert len(got) == 102
+
+
+def test_places_without_a_time_come_first(table, cut):
+    cut(4)
+    rows = [("a", None if i % 3 == 0 else i, i) for i in range(60)]
+    got = running.running(table(rows, "k string, t int, id int"), ["k"], ["t", "id"], sums={"n": F.lit(1)})
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+    assert {r["id"]: r["n"] for r in got.collect()} == {row[2]: i + 1 for i, row in enumerate(ordered)}
+
+
+def test_values_of_one_object_share_a_shuffle(table):
+    ranged = running.in_ranges(table([("a", i) for i in range(9)], "k string, pos int"), ["k"], ["pos"])
+    both = ranged.add(maxes={"last": F.col("pos")}, before=True).add(sums={"gaps": F.col("pos") - F.col("last")}).rows
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_an_empty_table_has_no_running_values(table):
+    frame = table([], "k string, pos int")
+    assert running.running(frame, ["k"], ["pos"], sums={"n": F.lit(1)}).collect() == []
 
 
 @pytest.mark.parametrize("inclusive", [False, True])
-def test_rolling_count(table, inclusive):
+@pytest.mark.parametrize("ranges", [None, 20])
+def test_rolling_count(table, cut, inclusive, ranges):
+    if ranges:
+        cut(ranges)
     rows = log_rows(1)
     got = running.rolling_count(
         table(rows, LOG), "k", "ts", ["id"], "24 hours", "n", F.col("ok"), inclusive
