@@ -2,10 +2,12 @@
 
 Pre-tokens are the words between blanks; a piece of the vocabulary never holds a blank
 behind another character, so the tokens of a text are those of its words, each with
-the blanks before it.  Tier one is a broadcast table of the token counts of frequent
-words, at most ``TABLE_WORDS`` entries, counted in about ``SAMPLE_DOCS`` documents (twice that
-at most) drawn by the hash of the id.  Tier two is a bounded cache in each Python worker, whose misses
-are encoded.  No pre-token is shuffled, and neither tier can change a count.
+the blanks before it.  Tier one is a broadcast table of the token counts of the most frequent
+words of all documents, at most ``TABLE_WORDS`` of at most ``WORD_CHARS`` code points.  Each
+task counts the words of its own texts in a summary of bounded size (Misra and Gries:
+counts fall short by at most the task's words over ``TABLE_WORDS``), and only the
+summaries meet in a shuffle.  Tier two is a bounded cache in each Python worker, whose
+misses are encoded.  No pre-token is shuffled, and neither tier can change a count.
 
 Null text is empty and has no tokens.  The character U+2581, which the vocabulary uses
 for a blank, counts as one, as in the library.  Repeated rows repeat; an empty table
@@ -16,15 +18,20 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import pyarrow as pa
 import sentencepiece
+from pyspark.sql import functions as F
 
 from faultline.llm import vocab
-from faultline.llm.base import Memo, drawn, text_columns
+from faultline.llm.base import Memo, small_batches, text_columns
 
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
-SAMPLE_DOCS = 1000
 TABLE_WORDS = 50_000
+#: Code points of a word in the table; longer ones are left to the second tier.
+WORD_CHARS = 64
+#: Rows in one batch of a summary.
+SUMMARY_ROWS = 10_000
 
 #: A run of blanks and the word behind it.
 RUN = re.compile(r" +[^ ]*")
@@ -64,23 +71,41 @@ def count_tokens(text, table, cache):
     return sum(table[w] if w in table else cache[w] for w in words(text))
 
 
-def _sample_words(texts):
-    seen = Counter(word for text in texts for word in words(text or ""))
-    rows = seen.most_common(TABLE_WORDS)
-    # one row a batch: the other rows of the batch carry nothing
-    empty = [[]] * (len(texts) - 1)
-    return [[[w for w, _ in rows], *empty], [[n for _, n in rows], *empty]] if texts else [[], []]
+def cut_summary(seen, size):
+    """A summary of counts reduced to its ``size`` largest, all less by the largest left out."""
+    if len(seen) <= size:
+        return seen
+    ranked = sorted(seen.values(), reverse=True)
+    return Counter({word: n - ranked[size] for word, n in seen.items() if n > ranked[size]})
 
 
-def frequent_words(docs, file, sample_docs=SAMPLE_DOCS, size=TABLE_WORDS):
-    """Token counts of the most frequent words of a bounded sample."""
+def _summaries(size):
+    def run(batches):
+        seen = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(word for word in words(text or "") if len(word) <= WORD_CHARS)
+                if len(seen) > 2 * size:
+                    seen = cut_summary(seen, size)
+        found = list(cut_summary(seen, size).items())
+        for at in range(0, len(found), SUMMARY_ROWS):
+            part = found[at : at + SUMMARY_ROWS]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())],
+                names=["word", "n"],
+            )
+
+    return run
+
+
+def frequent_words(docs, file, size=TABLE_WORDS):
+    """Token counts of the most frequent words of all documents (ties: first in code-point order)."""
     library = _library(file)
-    sample = drawn(docs.select("doc_id", "text"), sample_docs, "doc_id")
-    seen = Counter()
-    parts = text_columns(sample, {"word": "array<string>", "n": "array<long>"}, _sample_words)
-    for row in parts.select("word", "n").toLocalIterator():
-        seen.update(dict(zip(row["word"], row["n"], strict=True)))
-    return {word: word_tokens(library, word) for word, _ in seen.most_common(size)}
+    small_batches(docs.sparkSession)
+    parts = docs.select("text").mapInArrow(_summaries(size), "word string, n long")
+    counted = parts.groupBy("word").agg(F.sum("n").alias("n"))
+    most = counted.orderBy(F.desc("n"), "word").limit(size)
+    return {row["word"]: word_tokens(library, row["word"]) for row in most.collect()}
 
 
 def token_counts(docs, model=None, limit=LIMIT):

@@ -488,6 +488,36 @@ def test_patterns_place_every_length():
 # --- 6: token counts ----------------------------------------------------------------
 
 
+def plain_words(texts):
+    return Counter(w for t in texts for w in token_counts.words(t or "") if len(w) <= token_counts.WORD_CHARS)
+
+
+def test_the_table_counts_words_of_all_documents(spark):
+    texts = [f"common{i % 7} rare{i} common{i % 3}" for i in range(400)] + [None, "", "x" * 5000, "common0 " * 300]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    counted = plain_words(texts)
+    library = sentencepiece.SentencePieceProcessor(model_file=file)
+    every = token_counts.frequent_words(docs, file)
+    assert every == {w: len(library.encode(w)) if w else 1 for w in counted}
+    assert set(token_counts.frequent_words(docs, file, size=7)) == {f"common{i}" for i in range(7)}
+    assert token_counts.frequent_words(docs.limit(0), file) == {}
+
+
+def test_a_summary_keeps_what_is_frequent():
+    draw = random.Random(3)
+    stream = [f"f{draw.randrange(10)}" if draw.random() < 0.5 else f"r{i}" for i in range(20_000)]
+    seen, size = Counter(), 40
+    for word in stream:
+        seen[word] += 1
+        if len(seen) > 2 * size:
+            seen = token_counts.cut_summary(seen, size)
+    true = Counter(stream)
+    assert len(seen) <= 2 * size
+    for i in range(10):
+        assert true[f"f{i}"] - len(stream) / size <= seen[f"f{i}"] <= true[f"f{i}"]
+
+
 def test_token_counts(docs, rows):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     found = bag(token_counts.token_counts(docs.select("doc_id", "text"), limit=100))
