@@ -10,9 +10,11 @@ over the complete key universe of the corpus, the cascade answers every candidat
 of the corpus exactly, without a join.  The longest listed candidate decides (of equal
 length the one with the longer host).  Urls without a rule get the list's default.
 
-The filters are as large as the list, not the corpus: ``BITS_PER_KEY`` bits for each listed
-key, and for each false positive, of which there are about one in a hundred.  Lists of over
-``MAX_KEYS`` keys are refused, as a filter must fit into every task.
+A filter has ``BITS_PER_KEY`` bits for each listed key or each false positive, of which there
+are about ``FALSE_RATE`` of the corpus keys.  It must fit into every task, so where a list or the false
+positives exceed about ``MAX_KEYS``, keys are dealt by hash into blocks, each with cascades of its
+own.  The urls then pass the blocks one after the other, each pass a written table that holds a
+url's best rule so far; one block, the usual case, needs none.
 
 Null urls and urls without ``://`` have empty host and path and no rule.  Repeated urls are
 judged alike; an empty table gives an empty result and a cascade of one level.  Only
@@ -27,6 +29,8 @@ BITS_PER_KEY = 10
 HASHES = 4
 MAX_LEVELS = 60
 MAX_KEYS = 5_000_000
+#: Share of keys that a filter of these bits and hashes takes wrongly, rounded up.
+FALSE_RATE = 0.015
 ALLOW, BLOCK = "allow", "block"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,8 +80,6 @@ def _places(key, level, bits):
 def bloom(keys, level):
     """(bits, words) of a Bloom filter over the column ``key``; words as decimal text."""
     n = keys.count()
-    if n > MAX_KEYS:
-        raise ValueError(f"{n} keys: a filter of more than {MAX_KEYS} does not fit into a task")
     bits = max(64, -(-n * BITS_PER_KEY // 64) * 64)
     place = keys.select(F.explode(F.array(*_places(F.col("key"), level, bits))).alias("at"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
@@ -121,20 +123,17 @@ def member(key, levels):
     return answer
 
 
-def judge(pages, rules, default=ALLOW):
-    """page_id, host, path, rule and verdict of every row.
+def block_count(listed, universe):
+    """Blocks of keys whose filters stay near ``MAX_KEYS``, for counts of listed and corpus keys."""
+    return max(1, -(-max(listed, int(universe * FALSE_RATE)) // MAX_KEYS))
 
-    ``rules`` has host, path and action (block or allow); a rule is written host + path.
-    """
-    rules = rules.withColumn("key", F.concat("host", "path"))
-    found = shapes(rules)
-    urls = parts(pages)
-    universe = urls.select(F.explode(candidates(found)).alias("key")).distinct()
-    universe = stage(universe, "url-keys")
-    cascades = {
-        action: cascade(rules.filter(F.col("action") == action), universe, f"urls-{action}")
-        for action in (BLOCK, ALLOW)
-    }
+
+def _block(key, blocks):
+    return F.pmod(F.xxhash64(key, F.lit("block")), F.lit(blocks))
+
+
+def _best(found, cascades, block, blocks):
+    """The longest listed candidate of a url in a block: struct, or null."""
 
     def hit(key):
         action = F.when(member(key, cascades[BLOCK]), F.lit(BLOCK)).when(
@@ -147,8 +146,41 @@ def judge(pages, rules, default=ALLOW):
             action.alias("action"),
         )
 
-    hits = F.filter(F.transform(candidates(found), hit), lambda x: x["action"].isNotNull())
-    best = urls.withColumn("best", F.array_max(hits))
+    keys = candidates(found)
+    if blocks > 1:
+        keys = F.filter(keys, lambda key: _block(key, blocks) == block)
+    return F.array_max(F.filter(F.transform(keys, hit), lambda x: x["action"].isNotNull()))
+
+
+def judge(pages, rules, default=ALLOW):
+    """page_id, host, path, rule and verdict of every row.
+
+    ``rules`` has host, path and action (block or allow); a rule is written host + path.
+    """
+    rules = rules.withColumn("key", F.concat("host", "path"))
+    found = shapes(rules)
+    urls = parts(pages)
+    universe = urls.select(F.explode(candidates(found)).alias("key")).distinct()
+    universe = stage(universe, "url-keys")
+    blocks = block_count(rules.count(), universe.count())
+    best = urls
+    for block in range(blocks):
+        own = _block(F.col("key"), blocks) == block
+        cascades = {
+            action: cascade(
+                rules.filter((F.col("action") == action) & own),
+                universe.filter(own),
+                f"urls-{action}",
+            )
+            for action in (BLOCK, ALLOW)
+        }
+        here = _best(found, cascades, block, blocks)
+        if block:
+            best = best.withColumn("best", F.greatest("best", here))
+        else:
+            best = urls.withColumn("best", here)
+        if block + 1 < blocks:
+            best = stage(best, "urls-best")
     return best.select(
         "page_id",
         "host",

@@ -147,8 +147,27 @@ def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     assert {r["key"] for r in found} == listed
 
 
-def test_cascade_refuses_lists_too_long_for_a_task(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "MAX_KEYS", 3)
-    keys = spark.createDataFrame([(str(i),) for i in range(4)], "key string")
-    with pytest.raises(ValueError, match="does not fit"):
-        url_filter.cascade(keys, keys, "test")
+def test_long_lists_are_judged_in_blocks(spark, monkeypatch):
+    """Lists beyond the size of a filter, and more false positives than that, stay exact."""
+    draw = random.Random(5)
+    hosts = [f"h{i}.example{i % 9}.net" for i in range(900)]
+    rules = [(draw.choice(["allow", "block"]), h, "/" + "a" * draw.randint(0, 2)) for h in draw.sample(hosts, 200)]
+    rules += [("block", "example3.net", "/"), ("allow", "net", "/aa"), ("block", "h1.example1.net", "/aaa")]
+    rules = list({(h, p): (a, h, p) for a, h, p in rules}.values())
+    urls = [f"http://{draw.choice(hosts)}/{'a' * draw.randint(0, 3)}" for _ in range(1500)] + ["", "x", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(rules, "action string, host string, path string")
+    monkeypatch.setattr(url_filter, "MAX_KEYS", 70)
+    assert url_filter.block_count(len(rules), 0) == 3 and url_filter.block_count(4, 70 * 200) == 3
+    wanted = {}
+    for i, url in enumerate(urls):
+        host, _, path = (url or "").partition("://")[2].partition("/")
+        fits = [
+            (len(h + p), len(h), h + p, a)
+            for a, h, p in rules
+            if host and (host == h or host.endswith(f".{h}")) and ("/" + path).startswith(p)
+        ]
+        wanted[i] = max(fits)[2:] if fits else (None, "allow")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, table).collect()}
+    assert found == wanted
+    assert len({v for v in wanted.values()}) > 20
