@@ -24,12 +24,16 @@ from pyspark.sql import functions as F
 
 from faultline.llm import vocab
 from faultline.llm.base import Memo, small_batches, text_columns
+from faultline.session import Scope
 
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
 TABLE_WORDS = 50_000
 #: Code points of a word in the table; longer ones are left to the second tier.
 WORD_CHARS = 64
+#: Levels of the counts in each doubling, and how many words are sorted for one in the table.
+LEVELS = 8
+LISTED = 4
 #: Rows in one batch of a summary.
 SUMMARY_ROWS = 10_000
 
@@ -98,14 +102,35 @@ def _summaries(size):
     return run
 
 
+def _least_count(counted, size):
+    """The count from which on there are at most ``LISTED`` times ``size`` words."""
+    level = F.floor(F.log2("n") * LEVELS).cast("int").alias("level")
+    levels = counted.groupBy(level).agg(F.count("*").alias("words"), F.min("n").alias("n"))
+    total, least = 0, None
+    for row in sorted(levels.collect(), key=lambda row: -row["level"]):
+        total += row["words"]
+        if total > LISTED * size:
+            break
+        least = row["n"]
+    return least
+
+
 def frequent_words(docs, file, size=TABLE_WORDS):
-    """Token counts of the most frequent words of all documents (ties: first in code-point order)."""
+    """Token counts of the most frequent words of all documents (ties: first in code-point order).
+
+    Words are cut by levels of their counts first, so at most ``LISTED`` times ``size`` of them
+    are sorted and reach the driver; a level too large for that is left to the second tier.
+    """
     library = _library(file)
     small_batches(docs.sparkSession)
     parts = docs.select("text").mapInArrow(_summaries(size), "word string, n long")
-    counted = parts.groupBy("word").agg(F.sum("n").alias("n"))
-    most = counted.orderBy(F.desc("n"), "word").limit(size)
-    return {row["word"]: word_tokens(library, row["word"]) for row in most.collect()}
+    with Scope() as scope:
+        counted = scope.stage(parts.groupBy("word").agg(F.sum("n").alias("n")), "frequent-words")
+        least = _least_count(counted, size)
+        if least is None:
+            return {}
+        most = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size).collect()
+    return {row["word"]: word_tokens(library, row["word"]) for row in most}
 
 
 def token_counts(docs, model=None, limit=LIMIT):
