@@ -5,12 +5,13 @@ a blank, B (pieces with byte fallback) the text, to which it adds the blank itse
 begins with a blank opens a word; where such tokens of both sides begin at the same
 byte, the ends before them are shared, which is verified on the byte offsets.  These
 anchors cut both sequences into windows of ids, about a word each.  A window with one token
-on either side is one group.  How the ids of any other group is found once for each pair of id
-tuples and kept in a bounded cache in the worker; long windows (texts without blanks) are
-grouped directly.
+on either side is one group.  How the ids of any other fall into groups is found once for each
+pair of id tuples and kept in a bounded cache in the worker; the windows of a text that the
+cache lacks are grouped together, and long ones (texts without blanks) are not kept.
 
 ``align`` gives the ids of both sides and the sizes of their groups: a group ends where
-both sides end.  A link is an A and a B token that end together, so the last tokens of
+both sides end.  ``packed`` gives the same as bytes, a mark instead of sizes for each id that
+ends a group, which is much cheaper to write and read.  A link is an A and a B token that end together, so the last tokens of
 each group.  ``link_counts`` counts the corpus's links.  The bytes of one linked token
 are a suffix of the other's, so the table of linked id pairs is bounded by the vocabularies, whatever
 the corpus: each token has no more suffixes than bytes.  That is why it may be collected and broadcast.
@@ -24,7 +25,6 @@ result.  Other columns pass unchanged, but made columns replace those of their n
 import hashlib
 from array import array
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,23 +33,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm import vocab
-from faultline.llm.base import Memo, small_batches
+from faultline.llm.base import small_batches
 
 A_RANKS = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json
 B_MODEL = "piece_bpe_32k.model"
 BLANK_MARK = "▁"
 #: Ids of a window, both sides together, up to which its grouping is kept.
 MEMO_IDS = 64
-#: Entries of each cache.
+#: Entries of the cache of windows.
 MEMO_ENTRIES = 200_000
-#: Stands between the two id tuples of a window; no id is negative.
-BETWEEN = array("i", [-1]).tobytes()
 #: Ids of a vocabulary, at most.
 MOST_IDS = 1 << 16
 #: Pairs a task holds before it merges them.
 HELD_PAIRS = 2_000_000
 #: Columns of an alignment.
 PARTS = ["a_ids", "b_ids", "a_sizes", "b_sizes"]
+#: Columns of a packed alignment: ids of 16 bits, and a byte for each id, 1 where it ends a group.
+PACKED = ["a_ids", "b_ids", "a_lasts", "b_lasts"]
 
 
 @lru_cache(2)
@@ -67,8 +67,19 @@ def piece_bytes(file):
     ]
 
 
-def _ids(found):
-    return array("i", found).tobytes()
+class Strings:
+    """Byte strings in one array."""
+
+    def __init__(self, table):
+        self.sizes = np.array([len(t) for t in table], np.int32)
+        self.bytes = np.frombuffer(b"".join(table), np.uint8)
+        self.starts = self.sizes.cumsum(dtype=np.int32) - self.sizes
+
+    def joined(self, ids):
+        """The strings of ``ids``, one after the other."""
+        sizes = self.sizes[ids]
+        ends = sizes.cumsum()
+        return self.bytes[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1])]
 
 
 class Side:
@@ -76,21 +87,16 @@ class Side:
 
     def __init__(self, table, encode):
         self.encode = encode
-        self.sizes = np.array([len(t) for t in table], np.int64)
-        self.size_of = self.sizes.tolist().__getitem__
+        self.strings = Strings(table)
         self.marked = np.array([t[:1] == b" " for t in table])
-        self.bytes = np.frombuffer(b"".join(table), np.uint8)
-        self.starts = self.sizes.cumsum() - self.sizes
 
     def ids(self, text, data):
         """The ids of a text and where each ends, or None if their bytes are not ``data``."""
-        ids = np.array(self.encode(text), "<i4")
-        sizes = self.sizes[ids]
-        ends = sizes.cumsum()
+        ids = np.frombuffer(array("i", self.encode(text)), np.int32)
+        ends = self.strings.sizes[ids].cumsum(dtype=np.int64)
         if not len(ids) or ends[-1] != len(data):
             return None
-        at = np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(len(data))
-        return (ids, ends) if np.array_equal(self.bytes[at], data) else None
+        return (ids, ends) if np.array_equal(self.strings.joined(ids), data) else None
 
 
 @lru_cache(2)
@@ -113,31 +119,17 @@ def shared(a_ends, b_ends):
     return np.flatnonzero(same), at[same]
 
 
+def _ranges(starts, sizes):
+    """All indices of ranges, one after the other."""
+    return np.repeat(starts - sizes.cumsum() + sizes, sizes) + np.arange(sizes.sum())
+
+
 class Aligner:
     def __init__(self, a_file, b_file):
         self.a, self.b = a_side(a_file), b_side(b_file)
-        self.groups = Memo(self._group, MEMO_ENTRIES)
+        self.groups = {}
         self.patterns = {}
 
-    def _group(self, window):
-        """Group sizes of a window of ids, for both sides, as bytes."""
-        ids = memoryview(window).cast("i")
-        cut = ids.tolist().index(-1)
-        a_ends = list(accumulate(map(self.a.size_of, ids[:cut])))
-        b_ends = list(accumulate(map(self.b.size_of, ids[cut + 1 :])))
-        sizes, at_b, a_from, b_from = ([], []), 0, 0, 0
-        for at_a, end in enumerate(a_ends, 1):
-            while b_ends[at_b] < end:
-                at_b += 1
-            if b_ends[at_b] == end:
-                at_b += 1
-                sizes[0].append(at_a - a_from)
-                sizes[1].append(at_b - b_from)
-                a_from, b_from = at_a, at_b
-        found = _ids(sizes[0]), _ids(sizes[1])
-        # few patterns serve most windows
-        return self.patterns.setdefault(found, found) if len(window) <= 64 else found
-
     def windows(self, a, b):
         """Begins of the windows among the ids of both sides (each with their ends), and the last ends."""
         begins = []
@@ -147,31 +139,74 @@ class Aligner:
         one, two = shared(begins[0][0], begins[1][0])
         return np.r_[0, begins[0][1][one], len(a[0])], np.r_[0, begins[1][1][two], len(b[0])]
 
-    def align(self, text):
-        """a_ids, b_ids, a_sizes and b_sizes of a text, as bytes of 32-bit integers."""
+    def keys(self, a_ids, b_ids, a_at, b_at, a_n, b_n):
+        """The id tuples of windows as byte strings; -1, which is no id, stands between the two of a window."""
+        sizes = a_n + b_n + 1
+        ends = sizes.cumsum()
+        tuples = np.full(ends[-1], -1, "<i4")
+        tuples[_ranges(ends - sizes, a_n)] = a_ids[_ranges(a_at, a_n)]
+        tuples[_ranges(ends - b_n, b_n)] = b_ids[_ranges(b_at, b_n)]
+        whole = tuples.tobytes()
+        return [whole[i:j] for i, j in zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist(), strict=True)]
+
+    def group(self, a_ends, b_ends, a_at, b_at, a_n, b_n):
+        """Marks of the last ids of the groups of windows, for both sides, as bytes."""
+        one, two = shared(a_ends[_ranges(a_at, a_n)], b_ends[_ranges(b_at, b_n)])
+        marks = []
+        for at, n in ((one, a_n), (two, b_n)):
+            lasts = np.zeros(n.sum(), np.uint8)
+            lasts[at] = 1
+            whole, to = lasts.tobytes(), n.cumsum()
+            marks.append([whole[i:j] for i, j in zip((to - n).tolist(), to.tolist(), strict=True)])
+        return list(zip(*marks, strict=True))
+
+    def grouped(self, a, b, windows):
+        """``group`` of windows (their begins and lengths on both sides), by the cache where it knows them."""
+        keys = self.keys(a[0], b[0], *windows)
+        found = list(map(self.groups.get, keys))
+        fresh = [i for i, known in enumerate(found) if known is None]
+        if fresh:
+            made = self.group(a[1], b[1], *(part[fresh] for part in windows))
+            if len(self.groups) + len(fresh) > MEMO_ENTRIES:
+                self.groups.clear()
+                self.patterns.clear()
+            for i, marks in zip(fresh, made, strict=True):
+                if len(keys[i]) <= 4 * MEMO_IDS:
+                    # few patterns serve most windows
+                    marks = self.groups[keys[i]] = self.patterns.setdefault(marks, marks)
+                found[i] = marks
+        return found
+
+    def pack(self, text):
+        """The columns ``PACKED`` of a text."""
         data = np.frombuffer(f" {text}".encode() if text else b"", np.uint8)
         a = self.a.ids(text, data) if text else None
         b = self.b.ids(text, data) if a else None
         if not b:
             return b"", b"", b"", b""
-        a_at, b_at = self.windows(a, b)
-        a_ids, b_ids = a[0].tobytes(), b[0].tobytes()
-        a_n, b_n = np.diff(a_at), np.diff(b_at)
-        mixed = np.flatnonzero((a_n > 1) & (b_n > 1))
-        if not len(mixed):
-            return a_ids, b_ids, a_n.astype("<i4").tobytes(), b_n.astype("<i4").tobytes()
-        a_sizes, b_sizes = [], []
-        plain = 0
-        a_one, b_one = a_n.astype("<i4").tobytes(), b_n.astype("<i4").tobytes()
-        short = (a_n + b_n)[mixed] <= MEMO_IDS
-        places = (mixed, 4 * a_at[mixed], 4 * a_at[mixed + 1], 4 * b_at[mixed], 4 * b_at[mixed + 1], short)
-        for at, a0, a1, b0, b1, kept in zip(*(p.tolist() for p in places), strict=True):
-            window = a_ids[a0:a1] + BETWEEN + b_ids[b0:b1]
-            one, two = self.groups[window] if kept else self._group(window)
-            a_sizes += a_one[plain : 4 * at], one
-            b_sizes += b_one[plain : 4 * at], two
-            plain = 4 * at + 4
-        return a_ids, b_ids, b"".join(a_sizes) + a_one[plain:], b"".join(b_sizes) + b_one[plain:]
+        ends = self.windows(a, b)
+        begins, sizes = [at[:-1] for at in ends], [np.diff(at) for at in ends]
+        lasts = [np.zeros(len(side[0]), np.uint8) for side in (a, b)]
+        for marks, at in zip(lasts, ends, strict=True):
+            marks[at[1:] - 1] = 1
+        mixed = np.flatnonzero((sizes[0] > 1) & (sizes[1] > 1))
+        if len(mixed):
+            windows = [part[mixed] for part in (*begins, *sizes)]
+            found = zip(*self.grouped(a, b, windows), strict=True)
+            for marks, at, n, made in zip(lasts, windows[:2], windows[2:], found, strict=True):
+                marks[_ranges(at, n)] = np.frombuffer(b"".join(made), np.uint8)
+        return *(side[0].astype("<u2").tobytes() for side in (a, b)), *(marks.tobytes() for marks in lasts)
+
+    def align(self, text):
+        """a_ids, b_ids, a_sizes and b_sizes of a text, as bytes of 32-bit integers."""
+        packed = self.pack(text)
+        ids = (np.frombuffer(part, "<u2").astype("<i4").tobytes() for part in packed[:2])
+        return *ids, *(_sizes(np.frombuffer(part, np.uint8)).astype("<i4").tobytes() for part in packed[2:])
+
+
+def _sizes(lasts):
+    """Sizes of the groups whose last ids are marked."""
+    return np.diff(np.flatnonzero(lasts), prepend=-1)
 
 
 @lru_cache(2)
@@ -186,39 +221,83 @@ def _lists(rows):
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def align(docs, a_ranks=None, b_model=None):
-    """The other columns of ``docs`` with the columns ``PARTS`` instead of text."""
+def _made(docs, names, kind, made, column, a_ranks, b_model):
+    """The other columns of ``docs`` with the columns ``names`` instead of text."""
     files = a_ranks or vocab.path(A_RANKS), b_model or vocab.path(B_MODEL)
     small_batches(docs.sparkSession)
-    rest = [name for name in docs.columns if name not in ("text", *PARTS)]
+    rest = [name for name in docs.columns if name not in ("text", *PARTS, *PACKED)]
 
     def run(batches):
         aligner = _aligner(*files)
         for batch in batches:
-            rows = [aligner.align(text) for text in batch.column("text").to_pylist()]
-            columns = list(zip(*rows, strict=True)) or [()] * len(PARTS)
-            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), *map(_lists, columns)], names=[*rest, *PARTS])
+            rows = [made(aligner, text) for text in batch.column("text").to_pylist()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), *map(column, columns)], names=[*rest, *names])
 
     shape = T.StructType([docs.schema[name] for name in rest])
-    for name in PARTS:
-        shape = shape.add(name, T.ArrayType(T.IntegerType()))
+    for name in names:
+        shape = shape.add(name, kind)
     return docs.select(*rest, "text").mapInArrow(run, shape)
 
 
-def _flat(batch, name):
-    """All values of a list column, and how many each row has."""
-    column = batch.column(name)
-    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+def align(docs, a_ranks=None, b_model=None):
+    """The other columns of ``docs`` with the columns ``PARTS`` instead of text."""
+    return _made(docs, PARTS, T.ArrayType(T.IntegerType()), Aligner.align, _lists, a_ranks, b_model)
 
 
-def links(batch):
-    """A ids and B ids of all links of a batch of alignments, and the links of each row."""
-    a, _ = _flat(batch, "a_ids")
-    b, _ = _flat(batch, "b_ids")
-    a_sizes, n = _flat(batch, "a_sizes")
-    b_sizes, _ = _flat(batch, "b_sizes")
-    # the sizes of a row add up to its ids, so one running sum serves all rows
-    return a[a_sizes.cumsum(dtype=np.int64) - 1], b[b_sizes.cumsum(dtype=np.int64) - 1], n
+def _binary(rows):
+    return pa.array(rows, pa.binary())
+
+
+def packed(docs, a_ranks=None, b_model=None):
+    """``align`` with the columns ``PACKED``."""
+    return _made(docs, PACKED, T.BinaryType(), Aligner.pack, _binary, a_ranks, b_model)
+
+
+def _names(aligned):
+    return PACKED if PACKED[-1] in aligned.columns else PARTS
+
+
+def _flat(batch, name, kind):
+    """All values of a column of lists, or of bytes of ``kind``, and how many each row has."""
+    column = batch.column(name)
+    if pa.types.is_binary(column.type):
+        rows = column.to_pylist()
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(b"".join(rows), kind), np.array([len(r) // size for r in rows], np.int64)
+    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy()).astype(np.int64)
+
+
+class Rows:
+    """A batch of alignments: for both sides all ids, whether each ends a group, and each row's number of ids."""
+
+    def __init__(self, batch):
+        parts = PACKED if PACKED[-1] in batch.schema.names else PARTS
+        self.ids, self.lasts, self.n = [], [], []
+        for name, marks in zip(parts[:2], parts[2:], strict=True):
+            ids, n = _flat(batch, name, "<u2")
+            lasts, _ = _flat(batch, marks, np.uint8)
+            if parts is PARTS:
+                # the sizes of a row add up to its ids, so one running sum serves all rows
+                at, lasts = lasts.cumsum(dtype=np.int64) - 1, np.zeros(len(ids), np.uint8)
+                lasts[at] = 1
+            self.ids.append(ids)
+            self.lasts.append(lasts.view(bool))
+            self.n.append(n)
+
+    def links(self):
+        """A ids and B ids of all links."""
+        return [ids[lasts] for ids, lasts in zip(self.ids, self.lasts, strict=True)]
+
+    def groups(self):
+        """How many groups each row has."""
+        ends = np.r_[0, self.n[0].cumsum()]
+        return np.diff(np.r_[0, self.lasts[0].cumsum(dtype=np.int64)][ends])
+
+    def each(self):
+        """a, b, a_lasts and b_lasts of every row."""
+        columns = [np.split(part, n.cumsum()[:-1]) for parts in (self.ids, self.lasts) for part, n in zip(parts, self.n, strict=True)]
+        return zip(*columns, strict=True)
 
 
 def _pairs(a, b):
@@ -234,7 +313,7 @@ def _sum_pairs(batches):
 
     held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
     for batch in batches:
-        held.append(np.unique(_pairs(*links(batch)[:2]), return_counts=True))
+        held.append(np.unique(_pairs(*Rows(batch).links()), return_counts=True))
         size += len(held[-1][0])
         if size > HELD_PAIRS:
             held, size = [merged(held)], 0
@@ -244,27 +323,22 @@ def _sum_pairs(batches):
 def link_counts(aligned):
     """a_id, b_id, n and best of every linked id pair; a pair is best if no other A id meets its B id more often."""
     small_batches(aligned.sparkSession)
-    sums = aligned.select(*PARTS).mapInArrow(_sum_pairs, "pair long, n long")
+    sums = aligned.select(*_names(aligned)).mapInArrow(_sum_pairs, "pair long, n long")
     sums = sums.groupBy("pair").agg(F.sum("n").alias("n"))
     named = sums.select(F.shiftright("pair", 32).cast("int").alias("a_id"), (F.col("pair") % (1 << 32)).cast("int").alias("b_id"), "n")
     highest = named.groupBy("b_id").agg(F.max("n").alias("_n"))
     return named.join(highest, "b_id").select("a_id", "b_id", "n", (F.col("n") == F.col("_n")).alias("best"))
 
 
-def _order(a, b, a_sizes, b_sizes, marked):
-    """Ids of one row in the order of its groups, each with its mark, as one string."""
-    n = len(a) + len(b)
-    if not n:
-        return b""
-    a_last, b_last = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    a_last[a_sizes.cumsum() - 1] = 1
-    b_last[b_sizes.cumsum() - 1] = 1
-    codes = np.zeros(n, np.int64)
-    b_before = np.repeat(b_sizes.cumsum() - b_sizes, a_sizes)
-    a_upto = np.repeat(a_sizes.cumsum(), b_sizes)
-    codes[np.arange(len(a)) + b_before] = 2 * a + a_last
-    codes[np.arange(len(b)) + a_upto] = 2 * MOST_IDS + 2 * b + b_last
-    return b"".join(map(marked.__getitem__, codes.tolist()))[:-1]
+def _order(a, b, a_lasts, b_lasts, marked):
+    """Ids of one row in the order of its groups, each with its mark, as one string without the last mark."""
+    a_ends, b_ends = np.flatnonzero(a_lasts) + 1, np.flatnonzero(b_lasts) + 1
+    codes = np.empty(len(a) + len(b), np.int64)
+    b_before = np.repeat(np.r_[0, b_ends[:-1]], np.diff(a_ends, prepend=0))
+    a_upto = np.repeat(a_ends, np.diff(b_ends, prepend=0))
+    codes[np.arange(len(a)) + b_before] = 2 * a.astype(np.int64) + a_lasts
+    codes[np.arange(len(b)) + a_upto] = 2 * MOST_IDS + 2 * b.astype(np.int64) + b_lasts
+    return marked.joined(codes)[:-1]
 
 
 def score(aligned, counts):
@@ -280,33 +354,30 @@ def score(aligned, counts):
     known = spark.sparkContext.broadcast(
         (pair[by_pair], table.column("n").to_numpy()[by_pair], table.column("best").to_numpy()[by_pair])
     )
-    rest = [name for name in aligned.columns if name not in (*PARTS, *SCORES)]
+    rest = [name for name in aligned.columns if name not in (*PARTS, *PACKED, *SCORES)]
 
     def run(batches):
         pairs, n, best = known.value
-        marked = [f"{i}{mark}".encode() for marks in (",|", ",;") for i in range(MOST_IDS) for mark in marks]
+        marked = Strings([f"{i}{mark}".encode() for marks in (",|", ",;") for i in range(MOST_IDS) for mark in marks])
         for batch in batches:
-            a, b, held = links(batch)
-            at = np.searchsorted(pairs, _pairs(a, b))
-            row = np.repeat(np.arange(len(held)), held)
-            sums = np.zeros((2, len(held)), np.int64)
-            np.add.at(sums[0], row, best[at])
-            np.add.at(sums[1], row, n[at])
-            parts = [batch.column(name) for name in PARTS]
-            digests = []
-            for i in range(batch.num_rows):
-                lists = [p[i].values.to_numpy().astype(np.int64) for p in parts]
-                text = _order(*lists, marked)
-                digests.append(hashlib.sha256(text).hexdigest() if text else "")
-            tokens = [np.diff(p.offsets.to_numpy()).astype(np.int64) for p in parts[:3]]
-            columns = [*tokens, held.astype(np.int64), *sums]
+            rows = Rows(batch)
+            at = np.searchsorted(pairs, _pairs(*rows.links()))
+            held = rows.groups()
+            to = held.cumsum()
+            sums = []
+            for values in (best, n):
+                upto = np.r_[0, values[at].cumsum(dtype=np.int64)]
+                sums.append(upto[to] - upto[to - held])
+            digests = [hashlib.sha256(_order(*row, marked)).hexdigest() if len(row[0]) else "" for row in rows.each()]
+            tokens = [*rows.n, held]
+            columns = [*tokens, held, *sums]
             arrays = [*map(batch.column, rest), *map(pa.array, columns), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*rest, *SCORES])
 
     shape = T.StructType([aligned.schema[name] for name in rest])
     for name in SCORES:
         shape = shape.add(name, "string" if name == "groups_sha256" else "long")
-    return aligned.select(*rest, *PARTS).mapInArrow(run, shape)
+    return aligned.select(*rest, *_names(aligned)).mapInArrow(run, shape)
 
 
 SCORES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]

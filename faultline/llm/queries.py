@@ -95,7 +95,7 @@ def op11_permuterm_variants(spark, sf_dir):
 
 def op12_anchor_alignment(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    aligned = stage(alignment.align(docs), "alignments")
+    aligned = stage(alignment.packed(docs), "alignments")
     counts = stage(alignment.link_counts(aligned), "link-counts")
     return alignment.score(aligned, counts)
 
