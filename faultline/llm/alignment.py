@@ -7,7 +7,7 @@ byte, the ends before them are shared, which is verified on the byte offsets.  T
 anchors cut both sequences into windows of ids, about a word each.  A window with one token
 on either side is one group.  How the ids of any other fall into groups is found once for each
 pair of id tuples and kept in a bounded cache in the worker; the windows of a text that the
-cache lacks are grouped together, and long ones (texts without blanks) are not kept.
+cache lacks are grouped together, and so are those of over ``MEMO_IDS`` ids, which are not kept.
 
 ``align`` gives the ids of both sides and the sizes of their groups: a group ends where
 both sides end.  ``packed`` gives the same as bytes, a mark instead of sizes for each id that
@@ -38,8 +38,8 @@ from faultline.llm.base import small_batches
 A_RANKS = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json
 B_MODEL = "piece_bpe_32k.model"
 BLANK_MARK = "▁"
-#: Ids of a window, both sides together, up to which its grouping is kept.
-MEMO_IDS = 64
+#: Ids of a window, both sides together, up to which its grouping is kept; longer ones hardly repeat.
+MEMO_IDS = 8
 #: Entries of the cache of windows.
 MEMO_ENTRIES = 200_000
 #: Ids of a vocabulary, at most.
@@ -83,10 +83,14 @@ class Strings:
 
 
 class Side:
-    """One vocabulary: the ids of texts, the bytes of tokens, and which begin with a blank."""
+    """One vocabulary: the ids of texts, the bytes of tokens, and which begin with a blank.
 
-    def __init__(self, table, encode):
-        self.encode = encode
+    Tokens of a ``whole`` side are parts of the text in order, so those of the text's
+    length are the text; of any other side the bytes are compared.
+    """
+
+    def __init__(self, table, encode, whole=False):
+        self.encode, self.whole = encode, whole
         self.strings = Strings(table)
         self.marked = np.array([t[:1] == b" " for t in table])
 
@@ -96,13 +100,13 @@ class Side:
         ends = self.strings.sizes[ids].cumsum(dtype=np.int64)
         if not len(ids) or ends[-1] != len(data):
             return None
-        return (ids, ends) if np.array_equal(self.strings.joined(ids), data) else None
+        return (ids, ends) if self.whole or np.array_equal(self.strings.joined(ids), data) else None
 
 
 @lru_cache(2)
 def a_side(file):
     coder = vocab.ranked(file)
-    return Side(vocab.token_bytes(file), lambda text: coder.encode_ordinary(f" {text}"))
+    return Side(vocab.token_bytes(file), lambda text: coder.encode_ordinary(f" {text}"), whole=True)
 
 
 @lru_cache(2)
@@ -149,19 +153,26 @@ class Aligner:
         whole = tuples.tobytes()
         return [whole[i:j] for i, j in zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist(), strict=True)]
 
+    def marks(self, a_ends, b_ends, a_at, b_at, a_n, b_n):
+        """Marks of the last ids of the groups of windows, for both sides, one window after the other."""
+        found = shared(a_ends[_ranges(a_at, a_n)], b_ends[_ranges(b_at, b_n)])
+        lasts = [np.zeros(n.sum(), np.uint8) for n in (a_n, b_n)]
+        for marks, at in zip(lasts, found, strict=True):
+            marks[at] = 1
+        return lasts
+
     def group(self, a_ends, b_ends, a_at, b_at, a_n, b_n):
-        """Marks of the last ids of the groups of windows, for both sides, as bytes."""
-        one, two = shared(a_ends[_ranges(a_at, a_n)], b_ends[_ranges(b_at, b_n)])
-        marks = []
-        for at, n in ((one, a_n), (two, b_n)):
-            lasts = np.zeros(n.sum(), np.uint8)
-            lasts[at] = 1
-            whole, to = lasts.tobytes(), n.cumsum()
-            marks.append([whole[i:j] for i, j in zip((to - n).tolist(), to.tolist(), strict=True)])
-        return list(zip(*marks, strict=True))
+        """``marks`` of each window, as bytes."""
+        parts = []
+        for marks, n in zip(self.marks(a_ends, b_ends, a_at, b_at, a_n, b_n), (a_n, b_n), strict=True):
+            whole, to = marks.tobytes(), n.cumsum()
+            parts.append([whole[i:j] for i, j in zip((to - n).tolist(), to.tolist(), strict=True)])
+        return list(zip(*parts, strict=True))
 
     def grouped(self, a, b, windows):
         """``group`` of windows (their begins and lengths on both sides), by the cache where it knows them."""
+        if not len(windows[0]):
+            return []
         keys = self.keys(a[0], b[0], *windows)
         found = list(map(self.groups.get, keys))
         fresh = [i for i, known in enumerate(found) if known is None]
@@ -171,10 +182,8 @@ class Aligner:
                 self.groups.clear()
                 self.patterns.clear()
             for i, marks in zip(fresh, made, strict=True):
-                if len(keys[i]) <= 4 * MEMO_IDS:
-                    # few patterns serve most windows
-                    marks = self.groups[keys[i]] = self.patterns.setdefault(marks, marks)
-                found[i] = marks
+                # few patterns serve most windows
+                found[i] = self.groups[keys[i]] = self.patterns.setdefault(marks, marks)
         return found
 
     def pack(self, text):
@@ -189,12 +198,14 @@ class Aligner:
         lasts = [np.zeros(len(side[0]), np.uint8) for side in (a, b)]
         for marks, at in zip(lasts, ends, strict=True):
             marks[at[1:] - 1] = 1
-        mixed = np.flatnonzero((sizes[0] > 1) & (sizes[1] > 1))
-        if len(mixed):
-            windows = [part[mixed] for part in (*begins, *sizes)]
-            found = zip(*self.grouped(a, b, windows), strict=True)
-            for marks, at, n, made in zip(lasts, windows[:2], windows[2:], found, strict=True):
-                marks[_ranges(at, n)] = np.frombuffer(b"".join(made), np.uint8)
+        mixed = (sizes[0] > 1) & (sizes[1] > 1)
+        short = sizes[0] + sizes[1] <= MEMO_IDS
+        kept, long = ([part[at] for part in (*begins, *sizes)] for at in (mixed & short, mixed & ~short))
+        parts = list(zip(*self.grouped(a, b, kept), strict=True)) or [(), ()]
+        parts = [np.frombuffer(b"".join(part), np.uint8) for part in parts]
+        for windows, made in ((kept, parts), (long, self.marks(a[1], b[1], *long))):
+            for marks, at, n, values in zip(lasts, windows[:2], windows[2:], made, strict=True):
+                marks[_ranges(at, n)] = values
         return *(side[0].astype("<u2").tobytes() for side in (a, b)), *(marks.tobytes() for marks in lasts)
 
     def align(self, text):
