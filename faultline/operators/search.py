@@ -7,6 +7,11 @@ newest-``limit`` cuts, so each posting list can be cut *before* it meets a
 query.  The join therefore moves at most ``limit`` entries per query code, no
 matter how many cases share that code, and no pair is built only to be thrown
 away.
+
+Where the queries read few lists (counted), the cut lists and the cases in them, at most
+``MAX_SHARED_ENTRIES``, are one small value that every task holds.  A query then meets
+its cases inside its own row, and only its keys, its features and its best hits travel.
+Beyond, lists and cases meet the queries by joins.
 """
 
 from pyspark.sql import Window
@@ -21,7 +26,11 @@ from faultline.operators.skew import join_spreading_hot_keys
 
 #: Distinct query keys, about 50 bytes each, that are broadcast to prune the corpus.
 MAX_PRUNING_KEYS = 200_000
+#: List entries, with their cases some 500 bytes each, that every task may hold.
+MAX_SHARED_ENTRIES = 200_000
 POSTING_KEY = ["shape", "brand", "term"]
+#: A packed hit: its score and ownership above, the place of its case below.
+PLACE_BITS = 32
 
 
 def query_columns(queries):
@@ -47,11 +56,11 @@ def _key(shape, brand=None, term=None):
     )
 
 
-def query_keys(queries):
-    """One row per posting list a query reads: its codes, else model, brand or all."""
+def _query_key_array():
+    """The posting lists a query reads: its codes, else model, brand or all."""
     codes = F.array_distinct(F.array_compact(F.col("codes")))
     brand, model = F.col("brand"), F.col("model")
-    keys = (
+    return (
         F.when(
             F.size("codes") > 0,
             F.when(
@@ -69,7 +78,19 @@ def query_keys(queries):
         .when(brand.isNotNull(), F.array(_key("brand", brand, None)))
         .otherwise(F.array(_key("all", None, None)))
     )
-    return queries.select("query_id", F.explode(keys).alias("key")).select("query_id", "key.*")
+
+
+def query_keys(queries):
+    """One row per posting list a query reads."""
+    return queries.select("query_id", F.explode(_query_key_array()).alias("key")).select(
+        "query_id", "key.*"
+    )
+
+
+def _key_name(key):
+    """One string for a key; no two keys share it."""
+    brand = key["brand"]
+    return F.concat(key["shape"], F.lit(":"), F.char_length(brand), F.lit(":"), brand, key["term"])
 
 
 def corpus_keys(corpus, id_col="id"):
@@ -111,14 +132,19 @@ def merge_lists(lists, limit=fv.CANDIDATE_LIMIT):
     return lists.groupBy(*POSTING_KEY).agg(F.slice(together, 1, limit).alias("posting"))
 
 
-def posting_lists(corpus, query_keys_df, limit=fv.CANDIDATE_LIMIT):
+def _distinct_keys(query_keys_df):
+    """How many lists the queries read, counted up to ``MAX_PRUNING_KEYS`` and one."""
+    return query_keys_df.select(*POSTING_KEY).distinct().limit(MAX_PRUNING_KEYS + 1).count()
+
+
+def posting_lists(corpus, query_keys_df, limit=fv.CANDIDATE_LIMIT, n_keys=None):
     """The cut lists that some query reads.
 
-    Few distinct query keys are broadcast to the corpus; of many (counted) only the
-    shapes are, of which there are six.
+    Few distinct query keys are broadcast to the corpus; of many (counted, unless given) only
+    the shapes are, of which there are six.
     """
     wanted = query_keys_df.select(*POSTING_KEY).distinct()
-    if wanted.limit(MAX_PRUNING_KEYS + 1).count() <= MAX_PRUNING_KEYS:
+    if (_distinct_keys(query_keys_df) if n_keys is None else n_keys) <= MAX_PRUNING_KEYS:
         members = corpus_keys(corpus).join(F.broadcast(wanted), POSTING_KEY, "left_semi")
     else:
         shapes = wanted.select("shape").distinct()
@@ -126,16 +152,124 @@ def posting_lists(corpus, query_keys_df, limit=fv.CANDIDATE_LIMIT):
     return cut_lists(members, limit)
 
 
+def _let(value, use):
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _with_shared(rows, lists, corpus, name, use):
+    """``rows`` with a column ``use(shared)`` called ``name``.
+
+    The subquery leaves its column in one place, so the optimizer puts it there and no
+    row carries a copy.
+    """
+    held = rows.withColumn("shared", _shared_lists(lists, corpus).scalar())
+    made = held.select("query_id", _let(F.col("shared"), use).alias(name))
+    return made.select("query_id", once(**{name: F.col(name)}))
+
+
+def _shared_lists(lists, corpus):
+    """Lists, their entries and the cases of these as a frame of one row with one struct.
+
+    Entries are numbered newest first.  ``lists`` maps a key's name to its entries; an
+    entry has its ``id``, the ``first`` entry of that id and the ``places`` of its cases;
+    cases lie in the order that decides between equal scores.  Without a corpus there
+    are no cases.
+    """
+    order = Window.orderBy("recency", "case_id")
+    name = _key_name({column: F.col(column) for column in POSTING_KEY})
+    numbered = (
+        lists.select(name.alias("name"), F.inline("posting"))
+        .withColumn("entry", F.dense_rank().over(order) - 1)
+        .withColumn("first", F.min("entry").over(Window.partitionBy("case_id")))
+    )
+    named = numbered.groupBy("name").agg(F.collect_set("entry").alias("entries"))
+    entries = numbered.select("entry", F.col("case_id").alias("id"), "first").distinct()
+    parts = [named.select(F.struct("name", "entries").alias("list"))]
+    if corpus is None:
+        parts.append(entries.select(F.struct("entry", "id", "first").alias("entry")))
+    else:
+        wanted = F.broadcast(entries.select("id").distinct())
+        place = F.row_number().over(Window.orderBy(F.desc_nulls_first("closed_at"), F.asc("id"))) - 1
+        found = corpus.join(wanted, "id", "left_semi").withColumn("place", place)
+        places = found.groupBy("id").agg(F.collect_list("place").alias("places"))
+        placed = entries.join(places, "id", "left")
+        parts.append(placed.select(F.struct("entry", "id", "first", "places").alias("entry")))
+        text = sim.case_text(F.col("symptoms"), F.col("obd_codes"), F.col("description"))
+        held = ["place", "id", "installation_id", "vehicle_model", "engine_power", "closed_at"]
+        parts.append(found.select(F.struct(*held, text.alias("text")).alias("case")))
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionByName(part, allowMissingColumns=True)
+    values = [
+        F.map_from_entries(F.collect_list("list")).alias("lists"),
+        F.sort_array(F.collect_list("entry")).alias("entries"),
+    ]
+    if corpus is not None:
+        values.append(F.sort_array(F.collect_list("case")).alias("cases"))
+    return together.agg(F.struct(*values).alias("shared"))
+
+
+def _candidate_entries(shared, names, limit):
+    """The first entries of a query's newest ``limit`` cases, newest first."""
+    lists = F.transform(names, lambda name: F.try_element_at(shared["lists"], name))
+    entries = F.flatten(F.filter(lists, lambda entries: entries.isNotNull()))
+    newest = F.sort_array(F.array_distinct(entries))
+    firsts = F.transform(newest, lambda entry: F.get(shared["entries"], entry)["first"])
+    return F.slice(F.array_distinct(firsts), 1, limit)
+
+
+def _dealt(queries):
+    """Queries dealt out by id.  They are small, but not their work: without a number of
+    partitions they would be gathered into fewer than there are cores."""
+    partitions = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    return queries.repartition(max(partitions, cores), "query_id")
+
+
+def _names_per_query(queries):
+    """The names of the lists a query reads; rows of one id read the lists of all."""
+    names = F.transform(_query_key_array(), _key_name)
+    every = F.array_distinct(F.flatten(F.collect_list("names")))
+    return queries.select("query_id", names.alias("names")).groupBy("query_id").agg(
+        every.alias("names")
+    )
+
+
+def _lists(queries, corpus, limit, index):
+    """The cut lists of all queries, and whether every task may hold them."""
+    keys = query_keys(queries)
+    n_keys = _distinct_keys(keys)
+    if index is None:
+        lists, longest = posting_lists(corpus, keys, limit, n_keys), limit
+    else:
+        lists, longest = index.lists(keys), index.limit
+    return lists, n_keys * longest <= MAX_SHARED_ENTRIES
+
+
 def candidate_cases(queries, corpus, limit=fv.CANDIDATE_LIMIT, index=None):
     """(query_id, case_id) candidates; ``queries`` as given by ``query_columns``.
 
     With an index (``postings.PostingIndex``) the lists are looked up instead of built.
     """
-    keys = query_keys(queries)
-    postings = posting_lists(corpus, keys, limit) if index is None else index.lists(keys)
+    lists, small = _lists(queries, corpus, limit, index)
+    if not small:
+        return _joined_candidates(queries, lists, limit)
+
+    def ids(shared):
+        return F.transform(
+            _candidate_entries(shared, F.col("names"), limit),
+            lambda entry: F.get(shared["entries"], entry)["id"],
+        )
+
+    found = _with_shared(_names_per_query(_dealt(queries)), lists, None, "case_ids", ids)
+    return found.filter(F.size("case_ids") > 0)
+
+
+def _joined_candidates(queries, lists, limit):
     merged = F.sort_array(F.flatten(F.collect_list("posting")))
     return (
-        join_spreading_hot_keys(keys, postings, POSTING_KEY, "query_id")
+        join_spreading_hot_keys(query_keys(queries), lists, POSTING_KEY, "query_id")
         .groupBy("query_id")
         .agg(merged.alias("merged"))
         .select(
@@ -145,13 +279,8 @@ def candidate_cases(queries, corpus, limit=fv.CANDIDATE_LIMIT, index=None):
     )
 
 
-def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT, needed=None, index=None):
-    """Every candidate pair with its score in tenths and its ownership.
-
-    ``needed`` maps the ownership column to the tenths a pair must reach: pairs below
-    are left out, and those that no word can lift so far are spared the word test.
-    """
-    features = queries.select(
+def _features(queries):
+    return queries.select(
         "query_id",
         F.col("installation_id").alias("asking_installation"),
         F.col("model").alias("asked_model"),
@@ -160,9 +289,103 @@ def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT, needed=None, in
         sim.lowered(F.col("symptoms")).alias("q_symptoms"),
         sim.query_words(F.col("text")).alias("q_words"),
     )
+
+
+def _is_own(installation_id):
+    return F.coalesce(installation_id == F.col("asking_installation"), F.lit(False))
+
+
+def _base(model, power, text):
+    attributes = sim.attribute_tenths(F.col("asked_model"), model, F.col("asked_power"), power)
+    return sim.base_tenths(F.col("q_codes"), F.col("q_symptoms"), text, attributes)
+
+
+def _packed_hits(shared, limit, needed, most):
+    """The candidates of a query's row that pass, each packed into a number, best first.
+
+    With ``most`` only that many.  A case that all its words cannot lift to the parts
+    that ``most`` passing cases have without theirs is spared the word test.
+    """
+    entries = _candidate_entries(shared, F.col("names"), limit)
+    places = F.flatten(
+        F.filter(
+            F.transform(entries, lambda entry: F.get(shared["entries"], entry)["places"]),
+            lambda places: places.isNotNull(),
+        )
+    )
+
+    def judge(case):
+        base = _base(case["vehicle_model"], case["engine_power"], case["text"])
+        own = _is_own(case["installation_id"])
+        return F.struct(case["place"].alias("place"), base.alias("base"), own.alias("own"))
+
+    def score(x, floor):
+        tenths = x["base"] + sim.word_tenths(
+            F.col("q_words"), F.get(shared["cases"], x["place"])["text"]
+        )
+        if needed is None:
+            return tenths
+        least = needed(x["own"])
+        lifted = F.when(x["base"] + fv.WORD_TENTHS_MAX >= F.greatest(least, floor), tenths)
+        return _let(lifted, lambda tenths: F.when(tenths >= least, tenths))
+
+    def pack(x, floor):
+        value = score(x, floor) * 2 + x["own"].cast("int")
+        return x["place"] - value.cast("long") * (1 << PLACE_BITS)
+
+    def packed(cases):
+        floor = F.lit(0)
+        if needed is not None and most is not None:
+            sure = F.filter(cases, lambda x: x["base"] >= needed(x["own"]))
+            floor = F.get(F.sort_array(F.transform(sure, lambda x: x["base"]), asc=False), most - 1)
+        return _let(
+            F.coalesce(floor, F.lit(0)),
+            lambda floor: F.transform(cases, lambda x: pack(x, floor)),
+        )
+
+    cases = F.transform(places, lambda place: _let(F.get(shared["cases"], place), judge))
+    hits = F.sort_array(F.filter(_let(cases, packed), lambda one: one.isNotNull()))
+    return hits if most is None else F.slice(hits, 1, most)
+
+
+def _shared_hits(queries, lists, corpus, limit, needed, most=None):
+    """Scored pairs, or the best ``most`` of each row, of queries that meet the shared lists."""
+    def unpacked(shared, packed):
+        place = packed.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+        value = -F.shiftright(packed, PLACE_BITS)
+        case = F.get(shared["cases"], place)
+        return F.struct(
+            case["id"].alias("case_id"),
+            case["closed_at"].alias("closed_at"),
+            (value.bitwiseAND(F.lit(1).cast("long")) == 1).alias("is_own"),
+            F.shiftright(value, 1).cast("int").alias("tenths"),
+        )
+
+    def hits(shared):
+        packed = _packed_hits(shared, limit, needed, most)
+        return F.transform(packed, lambda one: unpacked(shared, one))
+
+    dealt = _dealt(queries)
+    rows = _names_per_query(dealt).join(_features(dealt), "query_id")
+    return _with_shared(rows, lists, corpus, "hits", hits).select("query_id", F.inline("hits"))
+
+
+def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT, needed=None, index=None):
+    """Every candidate pair with its score in tenths and its ownership.
+
+    ``needed`` maps the ownership column to the tenths a pair must reach: pairs below
+    are left out, and those that no word can lift so far are spared the word test.
+    """
+    lists, small = _lists(queries, corpus, limit, index)
+    if small:
+        return _shared_hits(queries, lists, corpus, limit, needed)
+    return _joined_scores(queries, lists, corpus, limit, needed)
+
+
+def _joined_scores(queries, lists, corpus, limit, needed):
     pairs = (
-        candidate_cases(queries, corpus, limit, index)
-        .join(features, "query_id")
+        _joined_candidates(queries, lists, limit)
+        .join(_features(queries), "query_id")
         .withColumn("case_id", F.explode("case_ids"))
         .drop("case_ids")
     )
@@ -174,13 +397,14 @@ def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT, needed=None, in
         "closed_at",
         sim.case_text(F.col("symptoms"), F.col("obd_codes"), F.col("description")).alias("text"),
     )
-    own = F.coalesce(F.col("installation_id") == F.col("asking_installation"), F.lit(False))
-    attributes = sim.attribute_tenths(
-        F.col("asked_model"), F.col("vehicle_model"), F.col("asked_power"), F.col("engine_power")
-    )
-    base = sim.base_tenths(F.col("q_codes"), F.col("q_symptoms"), F.col("text"), attributes)
+    base = _base(F.col("vehicle_model"), F.col("engine_power"), F.col("text"))
     based = pairs.join(cases, "case_id").select(
-        "query_id", "case_id", "closed_at", "q_words", "text", once(base=base, is_own=own)
+        "query_id",
+        "case_id",
+        "closed_at",
+        "q_words",
+        "text",
+        once(base=base, is_own=_is_own(F.col("installation_id"))),
     )
     least = None if needed is None else needed(F.col("is_own"))
     if least is not None:
@@ -204,7 +428,12 @@ def search(
     def needed(is_own):
         return F.when(is_own, own_threshold * 10).otherwise(other_threshold * 10)
 
-    passing = scored_candidates(queries, corpus, limit, needed, index)
+    lists, small = _lists(queries, corpus, limit, index)
+    if small:
+        # the best of a query's rows are among the best of each
+        passing = _shared_hits(queries, lists, corpus, limit, needed, hits)
+    else:
+        passing = _joined_scores(queries, lists, corpus, limit, needed)
     best = Window.partitionBy("query_id").orderBy(
         F.desc("tenths"), F.desc("is_own"), F.desc_nulls_first("closed_at"), F.asc("case_id")
     )

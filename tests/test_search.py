@@ -159,3 +159,35 @@ def test_flat_query_columns(table):
     row = ("q", "i", ("", "M", "1", None), ["s"], None, "t")
     flat = search.query_columns(table([row], schemas.SEARCH_QUERY)).first()
     assert (flat["brand"], flat["model"], flat["power"], flat["codes"]) == (None, "M", None, [])
+
+
+def test_pairs_do_not_travel(spark, table, monkeypatch):
+    queries, corpus = random_world(5)
+    q, c = table(queries, QUERY), table(corpus, CASE)
+    plan = plan_of(search.search(q, c, limit=20))
+    # only keys and features are shuffled by query, and no row carries the shared cases
+    assert "SortMergeJoin [case_id" not in plan and "explode(case_ids" not in plan
+    assert plan.count("AS shared#") == plan.count("struct(lists, ")
+    shared = result(search.search(q, c, limit=20))
+    kept = result(search.candidate_cases(q, c, 20))
+    monkeypatch.setattr(search, "MAX_SHARED_ENTRIES", 0)
+    assert "case_id" in plan_of(search.search(q, c, limit=20))
+    assert result(search.search(q, c, limit=20)) == shared
+    assert result(search.candidate_cases(q, c, 20)) == kept
+
+
+def test_repeated_rows_meet_shared_lists_like_joined_ones(table, monkeypatch):
+    queries, corpus = random_world(8)
+    queries += [*queries[:9], (queries[0][0], *queries[1][1:]), (None, *queries[2][1:])]
+    corpus += [*corpus[:40], *[(corpus[0][0], *row[1:]) for row in corpus[40:50]], (None, *corpus[3][1:])]
+    q, c = table(queries, QUERY), table(corpus, CASE)
+
+    def all_of():
+        return [
+            sorted(map(repr, frame.collect()))
+            for frame in (search.candidate_cases(q, c, 30), search.scored_candidates(q, c, 30), search.search(q, c, limit=30))
+        ]
+
+    shared = all_of()
+    monkeypatch.setattr(search, "MAX_SHARED_ENTRIES", 0)
+    assert all_of() == shared
