@@ -19,6 +19,7 @@ task, so choose it as the expected size of the table over a few hundred megabyte
 from functools import reduce
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -80,11 +81,15 @@ class KeyedStore:
         stored = StructType([*self.schema.fields, StructField("bucket", IntegerType())])
         return self.spark.read.schema(stored).parquet(f"{self.path}/rows/version={version}")
 
-    def _write(self, rows, version, folders, replaced=()):
-        """Write bucketed rows and a manifest in which they follow, or replace, a bucket's folders."""
+    def _dealt(self, rows):
+        """Bucketed rows, one task for each bucket; those without a key in parts."""
         part = F.when(F.col("bucket") == LOOSE, F.pmod(F.xxhash64(*self.schema.names), F.lit(LOOSE_PARTS)))
-        spread = rows.withColumn("_part", part).repartition("bucket", "_part").drop("_part")
-        writer = spread.sortWithinPartitions("bucket", *self.keys).write.mode("overwrite")
+        return rows.withColumn("_part", part).repartition("bucket", "_part").drop("_part")
+
+    def _write(self, dealt, version, folders, replaced=()):
+        """Write dealt rows and a manifest in which they follow, or replace, a bucket's folders."""
+        ordered = dealt.sortWithinPartitions("bucket", *self.keys)
+        writer = ordered.write.mode("overwrite").option("compression", "zstd")
         for key in self.keys:
             writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
         writer.partitionBy("bucket").parquet(f"{self.path}/rows/version={version}")
@@ -117,7 +122,7 @@ class KeyedStore:
             full = [b for b in touched if len(folders.get(b, [])) >= self.most_folders]
             if full:
                 fresh = fresh.unionByName(self._bucketed(self._read(self.paths(folders, full))))
-            return fresh, full
+            return self._dealt(fresh), full
 
         self._merge(rows, order, version, "first", combine)
 
@@ -125,9 +130,13 @@ class KeyedStore:
         """The last incoming row of a key replaces it."""
 
         def combine(incoming, folders, touched):
-            old = self._bucketed(self._read(self.paths(folders, touched)))
-            kept = old.join(incoming.select(*self.keys), self.keys, "left_anti").select(incoming.columns)
-            return incoming.unionByName(kept), touched
+            # old and new rows of a bucket meet in the task that writes it
+            old = self._bucketed(self._read(self.paths(folders, touched))).withColumn("_new", F.lit(False))
+            keyed = incoming.filter(F.col("bucket") != LOOSE).withColumn("_new", F.lit(True))
+            newest = F.max("_new").over(Window.partitionBy("bucket", *self.keys))
+            met = old.unionByName(keyed).repartition("bucket").withColumn("_newest", newest)
+            kept = met.filter("_new = _newest").select(incoming.columns)
+            return kept.unionByName(self._dealt(incoming.filter(F.col("bucket") == LOOSE))), touched
 
         self._merge(rows, order, version, "last", combine)
 
@@ -142,7 +151,7 @@ class KeyedStore:
                 held = incoming.filter(F.col("bucket").isin(full)).drop("bucket")
                 merged = merge(held.unionByName(self._read(self.paths(folders, full))))
                 incoming = incoming.filter(~F.col("bucket").isin(full)).unionByName(self._bucketed(merged))
-            self._write(incoming, version, folders, full)
+            self._write(self._dealt(incoming), version, folders, full)
 
     def lookup(self, wanted, before=None, broadcast_rows=200_000):
         """The rows under the keys of ``wanted``, from the buckets of these keys, as of a version."""
