@@ -51,8 +51,8 @@ def fingerprint(text, shingle=SHINGLE):
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprint_texts(texts):
-    prints = np.array([fingerprint(text) for text in texts], np.uint64)
+def _fingerprint_texts(texts, shingle=SHINGLE):
+    prints = np.array([fingerprint(text, shingle) for text in texts], np.uint64)
     return [prints.view(np.int64)]
 
 
@@ -207,12 +207,36 @@ def classes(docs):
     return found.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
+def _linked_nodes(keys):
+    """Pairs of nodes of ``near_copies`` whose fingerprints (of its shingles) the index links.
+
+    Nodes of one fingerprint hang on the smallest of them, which also stands for them in
+    links between fingerprints.
+    """
+
+    def compute(texts):
+        return _fingerprint_texts(texts, near_copies.SHINGLE)
+
+    def linked(texts, found, scope):
+        prints = text_columns(texts.select(*keys, "text"), {"fp": "long"}, compute)
+        known = found.select(*keys, "node").distinct()
+        nodes = scope.stage(prints.join(known, keys).select("fp", "node").distinct(), "near-prints")
+        first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+        same = nodes.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        edges = scope.stage(links(first.select("fp")).distinct(), "near-links")
+        ends = [first.select(F.col("fp").alias(f), F.col("first").alias(n)) for f, n in (("a", "one"), ("b", "two"))]
+        between = edges.join(ends[0], "a").join(ends[1], "b").select(F.col("one").alias("a"), F.col("two").alias("b"))
+        return same.unionByName(between).filter("a <> b")
+
+    return linked
+
+
 def deduplicate(docs):
     """One document of each class of ``near_copies``, the one with the smallest id; same columns.
 
-    The query's settings (three words, three bits) do not bind this stage, and no radius of
-    fingerprints finds all pairs at the stage's similarity, so classes come from exact
-    sets.  Of repeated rows of that document one stays; rows that share an id but not the
+    The multi-index links fingerprints of the stage's own shingles, and each link is
+    verified on the exact sets.  No radius of fingerprints finds all pairs at the stage's
+    similarity, so an exact search follows for the pairs it left out.  Of repeated rows of that document one stays; rows that share an id but not the
     text are different documents.  Rows without an id come behind all others and are
     told apart by their texts.
     """
@@ -222,7 +246,7 @@ def deduplicate(docs):
     known = docs.withColumns(
         {key[0]: F.coalesce(F.col("doc_id").cast("long"), behind), key[1]: F.xxhash64("text")}
     )
-    found = near_copies.classes(known.select(*key, "text"), "class", key)
+    found = near_copies.classes(known.select(*key, "text"), "class", key, linked=_linked_nodes(key))
     chosen = found.groupBy("class").agg(F.min(F.struct(*key)).alias("kept")).select("kept.*")
     rows = found.groupBy(*key).agg(F.count("*").alias("n")).join(
         chosen.withColumn("stays", F.lit(True)), key, "left"

@@ -294,6 +294,19 @@ def test_stage_finds_near_copies_by_exact_similarity(spark):
     assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == set(group)
 
 
+def test_stage_links_near_copies_by_fingerprints(spark, monkeypatch):
+    """Without the exact search the fingerprints alone link copies of long texts."""
+    draw, rows = random.Random(12), []
+    for i in range(40):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(900)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, "more"]))]
+    nothing = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(near_copies, "pairs_tried", lambda *_: nothing)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in simhash.deduplicate(docs).collect()}
+    assert set(range(0, 80, 2)) <= kept and len(kept) < 50
+
+
 def test_stage_tells_equal_ids_apart_by_text(spark):
     draw = random.Random(9)
     one, two, three = (" ".join(f"w{draw.randrange(10**6)}" for _ in range(80)) for _ in range(3))
