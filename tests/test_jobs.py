@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from faultline import schemas
 from faultline.operators.scanlog import parse_responses
-from faultline.plans import jobs, views
+from faultline.plans import jobs, registry, views
 from faultline.session import scratch_path, shared_dir, stage
 from faultline.sources import readers, writers
 
@@ -153,3 +153,30 @@ def test_queue_shrinks_to_the_cases_that_may_still_succeed(spark):
         ("3", "sent"), ("5", "remaining"), ("6", "remaining"), ("x", "dropped")
     }
     assert sorted(r["id"] for r in left.collect()) == ["5", "6"]
+
+
+def test_quality_gate_stream_builds_its_documents_once(spark, monkeypatch):
+    class Replayed(Exception):
+        pass
+
+    def replayed(_, slices, __):
+        raise Replayed([file for rows in slices for file in rows.inputFiles()])
+
+    monkeypatch.setattr(registry, "replayed", replayed)
+    with pytest.raises(Replayed) as stopped:
+        registry.t6_stream_quality_gate(spark, "/root/testdata/sf0.001")
+    files = stopped.value.args[0]
+    assert files and not any("lineitem" in file for file in files)
+
+
+def test_a_slice_is_replayed_in_no_fewer_files_than_cores(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(registry, "SLICE_FILES", 2)
+    monkeypatch.setattr(registry, "scratch_path", lambda _, name: str(tmp_path / name))
+    cores = spark.sparkContext.defaultParallelism
+    slices = [spark.range(100).filter(f"id % 2 = {i}") for i in range(2)]
+    stream = registry.replayed(spark, slices, "numbers")
+    assert cores > 2 and len(list((tmp_path / "numbers").glob("part-*"))) == 2 * cores
+    sizes = []
+    writer = stream.writeStream.foreachBatch(lambda batch, _: sizes.append(batch.count()))
+    registry.run_available(writer, str(tmp_path / "checkpoint"))
+    assert sizes == [50, 50]
