@@ -3,19 +3,27 @@
 from pyspark.sql import functions as F
 
 from faultline import fixed_values as fv
-from faultline.functions.text import is_given, or_empty, strip, words
+from faultline.functions.text import is_given, or_empty, strip
+
+#: Any run that ``REPEATED_CHARACTER`` could find; its plain dot is several times faster.
+_REPEATED_ANY = r"(?s)(.)\1{6}"
 
 
 def resolution_reason(text):
     """First failing rule for a resolution text."""
     trimmed = strip(F.coalesce(text, F.lit("")))
     size = F.length(trimmed)
-    long_words = F.filter(words(F.lower(trimmed)), lambda w: F.length(w) > 2)
+    # split at each blank: the empty pieces between blanks are no long words
+    blanks = " " * len(fv.WHITESPACE_CHARACTERS)
+    pieces = F.split(F.translate(F.lower(trimmed), fv.WHITESPACE_CHARACTERS, blanks), " ")
+    long_words = F.filter(pieces, lambda w: F.length(w) > 2)
     return (
         F.when(size == 0, "missing")
         .when(size < fv.RESOLUTION_MIN, "too_short")
         .when(size > fv.RESOLUTION_MAX, "too_long")
-        .when(trimmed.rlike(fv.REPEATED_CHARACTER), "repeated_character")
+        .when(
+            trimmed.rlike(_REPEATED_ANY) & trimmed.rlike(fv.REPEATED_CHARACTER), "repeated_character"
+        )
         .when(F.size(F.array_distinct(long_words)) < fv.MIN_DISTINCT_WORDS, "too_few_words")
     )
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from faultline import fixed_values as fv
 from faultline.functions import answers, quality, scan, text
 from faultline.functions import similarity as sim
 from faultline.operators.scanlog import parse_responses
@@ -101,6 +102,21 @@ def test_resolution_reason(value, resolution, reason):
     assert value(quality.resolution_reason(F.lit(resolution).cast("string"))) == reason
 
 
+def test_cheap_run_test_misses_no_repeated_character(spark):
+    made = [f"{a}{c * n}{b}" for c in "a.\n\u2028\U0001f600" for n in (5, 6, 7, 9) for a in ("", "xy") for b in ("", "z\n")]
+    texts = spark.createDataFrame([(t,) for t in made], "t string")
+    found = texts.select(
+        F.col("t").rlike(quality._REPEATED_ANY).alias("any"), F.col("t").rlike(fv.REPEATED_CHARACTER).alias("exact")
+    ).collect()
+    assert sum(r["exact"] for r in found) == 24 and all(r["any"] for r in found if r["exact"])
+    assert any(r["any"] and not r["exact"] for r in found)
+
+
+def test_long_words_are_parted_by_every_whitespace(value):
+    text = F.lit("pump" + fv.WHITESPACE_CHARACTERS + "hose\u00a0\u00a0belt")
+    assert value(quality.resolution_reason(text)) is None
+
+
 CASE = "resolution string, symptoms array<string>, codes array<string>, text string, model string"
 
 
