@@ -19,13 +19,16 @@ def _keyed(keys):
 
 
 def one_per_key(rows, keys, order, keep):
-    """The first or last row per key in ``order``."""
-    pick = F.min_by if keep == "first" else F.max_by
-    payload = F.struct(*rows.columns)
+    """The first or last row per key in ``order``; the other columns decide between equals.
+
+    Each column travels once: a row that starts with its order needs no copy of that.
+    """
+    pick = F.min if keep == "first" else F.max
+    whole = F.struct(*order, *[c for c in rows.columns if c not in order])
     return (
         rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys])
-        .agg(pick(payload, F.struct(*order)).alias("row"))
-        .select("row.*")
+        .agg(pick(whole).alias("row"))
+        .select(*[F.col("row")[c].alias(c) for c in rows.columns])
     )
 
 

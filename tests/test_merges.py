@@ -12,6 +12,14 @@ def result(frame):
     return sorted((tuple(r) for r in frame.collect()), key=repr)
 
 
+@pytest.mark.parametrize("keep, wins", [("first", "a"), ("last", "c")])
+def test_other_columns_decide_between_rows_of_equal_order(table, keep, wins):
+    rows = [("i", "k", 1, body) for body in ("b", "a", "c", "b")]
+    got = merges.one_per_key(table(rows, ROW).coalesce(1), ["installation_id", "local_id"], ["n"], keep)
+    assert got.columns == ["installation_id", "local_id", "n", "body"]
+    assert result(got) == [("i", "k", 1, wins)]
+
+
 TARGET = [("i", "a", 0, "old"), ("i", None, 0, "loose")]
 INCOMING = [
     ("i", "a", 1, "new"), ("i", "b", 3, "later"), ("i", "b", 2, "first"),
