@@ -6,6 +6,8 @@ from pyspark.sql import types as T
 
 MICROS_PER_DAY = 86_400_000_000
 SALTS = 64
+#: Spark's default for ``spark.sql.optimizer.windowGroupLimitThreshold``.
+CUT_BEFORE_SHUFFLE = 1000
 
 
 def micros(df, column):
@@ -28,23 +30,22 @@ def recency_key(df, column):
 
 
 def newest_per_key(df, keys, order, limit, salt_on):
-    """First ``limit`` rows per key in ``order``, in two cuts.
+    """First ``limit`` rows per key in ``order``.
 
-    The first cut runs on (key, salt) so that a key holding a large share of all
-    rows is spread over many tasks; the second sees at most ``SALTS * limit``
-    rows of any key.
+    Up to ``CUT_BEFORE_SHUFFLE`` each task cuts its own rows before they travel, so a
+    key sends at most ``limit`` rows a task, whatever its share of all rows.  Of longer
+    limits a first cut runs on (key, salt), so that such a key is spread over many tasks;
+    the second sees at most ``SALTS * limit`` rows of any key.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(SALTS)))
-    spread = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    final = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        salted.withColumn("_n", F.row_number().over(spread))
-        .filter(F.col("_n") <= limit)
-        .drop("_salt")
-        .withColumn("_n", F.row_number().over(final))
-        .filter(F.col("_n") <= limit)
-        .drop("_n")
-    )
+    if limit > CUT_BEFORE_SHUFFLE:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(SALTS)))
+        df = _first(salted, [*keys, "_salt"], order, limit).drop("_salt")
+    return _first(df, keys, order, limit)
+
+
+def _first(df, keys, order, limit):
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_n", place).filter(F.col("_n") <= limit).drop("_n")
 
 
 def newest(df, limit, order):

@@ -10,10 +10,13 @@ away.
 
 Where the queries read few lists (counted), the cut lists and the cases in them, at most
 ``MAX_SHARED_ENTRIES``, are one small value that every task holds.  A query then meets
-its cases inside its own row, and only its keys, its features and its best hits travel.
-Beyond, lists and cases meet the queries by joins.
+its cases inside its own row, where it was read, and only its id travels, to see whether
+other rows have it too.  Rows that share an id meet the lists of all of them; their keys
+and features travel.  Beyond, lists and cases meet the queries by joins.
 """
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ from faultline.operators.skew import join_spreading_hot_keys
 MAX_PRUNING_KEYS = 200_000
 #: List entries, with their cases some 500 bytes each, that every task may hold.
 MAX_SHARED_ENTRIES = 200_000
+#: Ids of several query rows that are broadcast; beyond, all rows meet by their ids.
+MAX_REPEATED_IDS = 200_000
 POSTING_KEY = ["shape", "brand", "term"]
 #: A packed hit: its score and ownership above, the place of its case below.
 PLACE_BITS = 32
@@ -227,15 +232,42 @@ def _dealt(queries):
     return queries.repartition(max(partitions, cores), "query_id")
 
 
+def _enough_tasks(queries):
+    """Queries as they are read; dealt out only where they are fewer pieces than cores."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    return queries if queries.rdd.getNumPartitions() >= cores else _dealt(queries)
+
+
+def _names():
+    """The names of the lists a query row reads."""
+    return F.transform(_query_key_array(), _key_name)
+
+
 def _names_per_query(queries):
     """The names of the lists a query reads; rows of one id read the lists of all."""
-    names = F.transform(_query_key_array(), _key_name)
     every = F.array_distinct(F.flatten(F.collect_list("names")))
-    return queries.select("query_id", names.alias("names")).groupBy("query_id").agg(
+    return queries.select("query_id", _names().alias("names")).groupBy("query_id").agg(
         every.alias("names")
     )
 
 
+def _by_repeated_id(queries):
+    """(rows with an id of their own, rows that share one), None where there are none.
+
+    Few shared ids are broadcast; where they are many, all rows count as sharing.
+    """
+    counts = queries.filter("query_id IS NOT NULL").groupBy("query_id").agg(F.count("*").alias("rows"))
+    repeated = counts.filter("rows > 1").select("query_id")
+    n_repeated = repeated.limit(MAX_REPEATED_IDS + 1).count()
+    if n_repeated > MAX_REPEATED_IDS:
+        return None, queries
+    known = queries.filter("query_id IS NOT NULL")
+    if not n_repeated:
+        return known, None
+    few = F.broadcast(repeated)
+    return known.join(few, "query_id", "left_anti"), known.join(few, "query_id", "left_semi")
+
+
 def _lists(queries, corpus, limit, index):
     """The cut lists of all queries, and whether every task may hold them."""
     keys = query_keys(queries)
@@ -279,16 +311,19 @@ def _joined_candidates(queries, lists, limit):
     )
 
 
+def _feature_columns():
+    return {
+        "asking_installation": F.col("installation_id"),
+        "asked_model": F.col("model"),
+        "asked_power": F.col("power"),
+        "q_codes": sim.lowered(F.col("codes")),
+        "q_symptoms": sim.lowered(F.col("symptoms")),
+        "q_words": sim.query_words(F.col("text")),
+    }
+
+
 def _features(queries):
-    return queries.select(
-        "query_id",
-        F.col("installation_id").alias("asking_installation"),
-        F.col("model").alias("asked_model"),
-        F.col("power").alias("asked_power"),
-        sim.lowered(F.col("codes")).alias("q_codes"),
-        sim.lowered(F.col("symptoms")).alias("q_symptoms"),
-        sim.query_words(F.col("text")).alias("q_words"),
-    )
+    return queries.select("query_id", *[value.alias(name) for name, value in _feature_columns().items()])
 
 
 def _is_own(installation_id):
@@ -349,7 +384,10 @@ def _packed_hits(shared, limit, needed, most):
 
 
 def _shared_hits(queries, lists, corpus, limit, needed, most=None):
-    """Scored pairs, or the best ``most`` of each row, of queries that meet the shared lists."""
+    """The scored pairs of each row, best first, or the best ``most``, as an array ``hits``.
+
+    Of queries that meet the shared lists, in two frames as by ``_by_repeated_id``.
+    """
     def unpacked(shared, packed):
         place = packed.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
         value = -F.shiftright(packed, PLACE_BITS)
@@ -365,9 +403,21 @@ def _shared_hits(queries, lists, corpus, limit, needed, most=None):
         packed = _packed_hits(shared, limit, needed, most)
         return F.transform(packed, lambda one: unpacked(shared, one))
 
-    dealt = _dealt(queries)
-    rows = _names_per_query(dealt).join(_features(dealt), "query_id")
-    return _with_shared(rows, lists, corpus, "hits", hits).select("query_id", F.inline("hits"))
+    def met(rows):
+        return _with_shared(rows, lists, corpus, "hits", hits)
+
+    alone, sharing = _by_repeated_id(queries)
+    if alone is not None:
+        alone = met(_enough_tasks(alone).select("query_id", once(names=_names(), **_feature_columns())))
+    if sharing is not None:
+        dealt = _dealt(sharing)
+        sharing = met(_names_per_query(dealt).join(_features(dealt), "query_id"))
+    return alone, sharing
+
+
+def _union(*frames):
+    """The union of the frames that there are."""
+    return reduce(lambda one, two: one.unionByName(two), [frame for frame in frames if frame is not None])
 
 
 def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT, needed=None, index=None):
@@ -378,7 +428,8 @@ def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT, needed=None, in
     """
     lists, small = _lists(queries, corpus, limit, index)
     if small:
-        return _shared_hits(queries, lists, corpus, limit, needed)
+        found = _union(*_shared_hits(queries, lists, corpus, limit, needed))
+        return found.select("query_id", F.inline("hits"))
     return _joined_scores(queries, lists, corpus, limit, needed)
 
 
@@ -428,21 +479,27 @@ def search(
     def needed(is_own):
         return F.when(is_own, own_threshold * 10).otherwise(other_threshold * 10)
 
+    def ranked(passing):
+        best = Window.partitionBy("query_id").orderBy(
+            F.desc("tenths"), F.desc("is_own"), F.desc_nulls_first("closed_at"), F.asc("case_id")
+        )
+        return passing.withColumn("hit_rank", F.row_number().over(best)).filter(F.col("hit_rank") <= hits)
+
     lists, small = _lists(queries, corpus, limit, index)
     if small:
-        # the best of a query's rows are among the best of each
-        passing = _shared_hits(queries, lists, corpus, limit, needed, hits)
+        alone, sharing = _shared_hits(queries, lists, corpus, limit, needed, hits)
+        if alone is not None:
+            # one row has all hits of its query, in the order of the ranks
+            placed = alone.select("query_id", F.posexplode("hits").alias("place", "hit"))
+            alone = placed.select("query_id", (F.col("place") + 1).alias("hit_rank"), "hit.*")
+        if sharing is not None:
+            # the best of a query's rows are among the best of each
+            sharing = ranked(sharing.select("query_id", F.inline("hits")))
+        found = _union(alone, sharing)
     else:
-        passing = _joined_scores(queries, lists, corpus, limit, needed)
-    best = Window.partitionBy("query_id").orderBy(
-        F.desc("tenths"), F.desc("is_own"), F.desc_nulls_first("closed_at"), F.asc("case_id")
-    )
-    return (
-        passing.withColumn("hit_rank", F.row_number().over(best))
-        .filter(F.col("hit_rank") <= hits)
-        .select(
-            "query_id", "hit_rank", "case_id", (F.col("tenths") / 10).alias("score"), "is_own"
-        )
+        found = ranked(_joined_scores(queries, lists, corpus, limit, needed))
+    return found.select(
+        "query_id", "hit_rank", "case_id", (F.col("tenths") / 10).alias("score"), "is_own"
     )
 
 

@@ -4,8 +4,9 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from faultline.operators import search, skew
+from faultline.operators import recency, search, skew
 from faultline.plans import views
 
 QUERY = (
@@ -191,3 +192,51 @@ def test_repeated_rows_meet_shared_lists_like_joined_ones(table, monkeypatch):
     shared = all_of()
     monkeypatch.setattr(search, "MAX_SHARED_ENTRIES", 0)
     assert all_of() == shared
+
+
+def test_queries_of_an_id_of_their_own_do_not_travel(spark, table):
+    queries, corpus = random_world(6)
+    q, c = table(queries, QUERY), table(corpus, CASE)
+    alone, sharing = search._by_repeated_id(q)
+    assert sharing is None and alone.count() == len(queries)
+    plan = plan_of(search.search(q.coalesce(1), c, limit=20))
+    assert "REPARTITION" in plan  # fewer pieces than cores
+    plan = plan_of(search.search(q, c, limit=20))
+    assert "hashpartitioning(query_id" not in plan and "REPARTITION" not in plan
+    assert result(search.search(q, c, limit=20)) == plain_search(queries, corpus, 20)[0]
+
+
+def test_many_shared_ids_meet_like_few(table, monkeypatch):
+    queries, corpus = random_world(9)
+    queries += queries[:7]
+    q, c = table(queries, QUERY), table(corpus, CASE)
+    few = result(search.search(q, c, limit=20))
+    alone, sharing = search._by_repeated_id(q)
+    assert (alone.count(), sharing.count()) == (len(queries) - 14, 14)
+    monkeypatch.setattr(search, "MAX_REPEATED_IDS", 2)
+    assert search._by_repeated_id(q)[0] is None
+    assert result(search.search(q, c, limit=20)) == few
+
+
+def test_newest_per_key_is_cut_in_the_task_that_reads(spark):
+    rows = spark.range(0, 8000, 1, 4).select((F.col("id") % 3).alias("k"), "id")
+    newest = recency.newest_per_key(rows, ["k"], ["id"], 5, "id")
+    # rows of one key are not told apart before the cut, and travel once
+    assert "_salt" not in plan_of(newest) and plan_of(newest).count("Exchange hashpartitioning(k") == 1
+    assert sorted(r["id"] for r in newest.collect()) == list(range(15))
+    many = recency.newest_per_key(rows, ["k"], ["id"], 1001, "id")
+    assert "_salt" in plan_of(many) and many.count() == 3003
+
+
+def test_order_parts_of_few_and_many_parts(spark, table):
+    lines = table([(1, 10), (1, 11), (1, 10), (2, 12), (None, 10), (3, None), (3, 99)], "l_orderkey long, l_partkey long")
+    parts = table([(10, "a", "b", "c"), (10, "a2", "b", "c"), (11, None, "b", "d"), (12, "e", "f", None), (None, "x", "y", "z")],
+                  "p_partkey long, p_type string, p_brand string, p_name string")
+    few, many = views.order_parts(lines, parts), views.order_parts(lines, parts, most=0)
+    names = ["l_orderkey", "p_type", "p_brand", "p_name"]
+    rows = [sorted(map(repr, x.select(names).collect())) for x in (few, many)]
+    assert rows[0] == rows[1] and len(rows[0]) == 8
+    plan = plan_of(views.case_rows(spark, "/root/testdata/sf0.001"))
+    # arrays are made where the lines of an order lie, not before they travel
+    assert "partial_collect_set" in plan and "REPARTITION_BY_COL" in plan
+    assert plan.index("partial_collect_set") < plan.index("REPARTITION_BY_COL")

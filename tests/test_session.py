@@ -1,8 +1,9 @@
 import os
+import time
 
 import pytest
 
-from faultline.session import Scope, shared_dir
+from faultline.session import DROP_SHUFFLES, Scope, shared_dir, stage
 
 
 def folders(spark, name):
@@ -32,3 +33,20 @@ def test_a_scope_cleans_up_after_an_error(spark):
         scope.stage(spark.range(3), "scope-error")
         raise ZeroDivisionError
     assert not folders(spark, "scope-error")
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(DROP_SHUFFLES, None)
+    table = stage(spark.range(1000).repartition(5, "id"), "staged")
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 1000
+    assert spark.conf.get(DROP_SHUFFLES, None) == setting
