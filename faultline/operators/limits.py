@@ -118,7 +118,7 @@ def within_quota(rows, key, order, used, limit):
     """Add ``granted``: whether a row is among the first of its key that fit beside the used.
 
     ``used`` has the key and ``n``.  Only the first ``limit`` rows of a key can fit, and
-    they are cut in two steps, so no task holds a whole key.  ``order`` tells the rows of
+    they are cut before they meet, so no task holds a whole key.  ``order`` tells the rows of
     a key apart; rows without a key are not granted.
     """
     first = newest_per_key(rows.select(key, *order), [key], order, limit, order[-1])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from faultline.operators.merges import KEY, one_per_key
-from faultline.session import Scope, remove
+from faultline.session import Scope, remove, shuffles_dropped
 
 MANIFEST = "bucket int, folders array<bigint>"
 #: The bucket of rows without a key, and the parts it is written in.
@@ -92,7 +92,8 @@ class KeyedStore:
         writer = ordered.write.mode("overwrite").option("compression", "zstd")
         for key in self.keys:
             writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
-        writer.partitionBy("bucket").parquet(f"{self.path}/rows/version={version}")
+        with shuffles_dropped(dealt.sparkSession):
+            writer.partitionBy("bucket").parquet(f"{self.path}/rows/version={version}")
         written = [r["bucket"] for r in self.added(version).select("bucket").distinct().collect()]
         after = {b: [] if b in replaced else f for b, f in folders.items()}
         for bucket in written:

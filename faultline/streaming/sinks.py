@@ -8,9 +8,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from faultline.session import shuffles_dropped
+
 
 def write_batch(rows, path, batch_id):
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    with shuffles_dropped(rows.sparkSession):
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_before(spark, path, schema, batch_id):
