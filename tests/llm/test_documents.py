@@ -237,6 +237,24 @@ def test_template_pages_are_hardly_compared(spark, monkeypatch, own):
     assert sum(tried) < 20 * 2000
 
 
+def test_rounds_that_join_nothing_leave_the_classes(spark, monkeypatch):
+    """Pages that share shingles but are no near copies need no components; a chain of them needs some."""
+    steps = []
+    real = near_copies.roots
+    monkeypatch.setattr(near_copies, "roots", lambda edges: steps.append(edges) or real(edges))
+    pages = template_pages(60, 200, 0.25)
+    docs = spark.createDataFrame(pages, "doc_id long, text string").repartition(4)
+    assert simhash.deduplicate(docs).count() == 60
+    assert not steps
+    words = [f"w{i}" for i in range(200)]
+    chain = [(100 + i, " ".join([f"x{j}" for j in range(5 * i)] + words[5 * i :])) for i in range(12)]
+    rows = pages + chain
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {(r["doc_id"], r["text"]) for r in simhash.deduplicate(docs).collect()}
+    assert kept == set(plain_near_classes(rows).values())
+    assert steps
+
+
 def test_prefix_lengths_leave_no_pair_out():
     for n in range(1, 200):
         for m in range(n, 5 * n // 4 + 1):
