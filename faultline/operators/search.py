@@ -10,7 +10,7 @@ away.
 
 Where the queries read few lists (counted), the cut lists and the cases in them, at most
 ``MAX_SHARED_ENTRIES``, are one small value that every task holds.  A query then meets
-its cases inside its own row, where it was read, and only its id travels, to see whether
+its cases where it was read (``scoring.py``), and only its id travels, to see whether
 other rows have it too.  Rows that share an id meet the lists of all of them; their keys
 and features travel.  Beyond, lists and cases meet the queries by joins.
 """
@@ -19,12 +19,14 @@ from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline import fixed_values as fv
 from faultline.functions import similarity as sim
 from faultline.functions.once import once
 from faultline.functions.text import empty_to_null, or_empty
 from faultline.operators.recency import newest_per_key, recency_key
+from faultline.operators.scoring import scorer
 from faultline.operators.skew import join_spreading_hot_keys
 
 #: Distinct query keys, about 50 bytes each, that are broadcast to prune the corpus.
@@ -34,8 +36,6 @@ MAX_SHARED_ENTRIES = 200_000
 #: Ids of several query rows that are broadcast; beyond, all rows meet by their ids.
 MAX_REPEATED_IDS = 200_000
 POSTING_KEY = ["shape", "brand", "term"]
-#: A packed hit: its score and ownership above, the place of its case below.
-PLACE_BITS = 32
 
 
 def query_columns(queries):
@@ -335,83 +335,38 @@ def _base(model, power, text):
     return sim.base_tenths(F.col("q_codes"), F.col("q_symptoms"), text, attributes)
 
 
-def _packed_hits(shared, limit, needed, most):
-    """The candidates of a query's row that pass, each packed into a number, best first.
+def _scored_rows(rows, lists, corpus, limit, needed, most):
+    """The scored pairs of each row of names and features, best first, or the best ``most``.
 
-    With ``most`` only that many.  A case that all its words cannot lift to the parts
-    that ``most`` passing cases have without theirs is spared the word test.
+    Lists and cases go to a task's scorer once, with its first row.
     """
-    entries = _candidate_entries(shared, F.col("names"), limit)
-    places = F.flatten(
-        F.filter(
-            F.transform(entries, lambda entry: F.get(shared["entries"], entry)["places"]),
-            lambda places: places.isNotNull(),
-        )
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    given = F.when(first, _shared_lists(lists, corpus).scalar())
+    shape = (
+        T.StructType()
+        .add("query_id", rows.schema["query_id"].dataType)
+        .add("hit_rank", "integer")
+        .add("case_id", corpus.schema["id"].dataType)
+        .add("closed_at", corpus.schema["closed_at"].dataType)
+        .add("is_own", "boolean")
+        .add("tenths", "integer")
     )
-
-    def judge(case):
-        base = _base(case["vehicle_model"], case["engine_power"], case["text"])
-        own = _is_own(case["installation_id"])
-        return F.struct(case["place"].alias("place"), base.alias("base"), own.alias("own"))
-
-    def score(x, floor):
-        tenths = x["base"] + sim.word_tenths(
-            F.col("q_words"), F.get(shared["cases"], x["place"])["text"]
-        )
-        if needed is None:
-            return tenths
-        least = needed(x["own"])
-        lifted = F.when(x["base"] + fv.WORD_TENTHS_MAX >= F.greatest(least, floor), tenths)
-        return _let(lifted, lambda tenths: F.when(tenths >= least, tenths))
-
-    def pack(x, floor):
-        value = score(x, floor) * 2 + x["own"].cast("int")
-        return x["place"] - value.cast("long") * (1 << PLACE_BITS)
-
-    def packed(cases):
-        floor = F.lit(0)
-        if needed is not None and most is not None:
-            sure = F.filter(cases, lambda x: x["base"] >= needed(x["own"]))
-            floor = F.get(F.sort_array(F.transform(sure, lambda x: x["base"]), asc=False), most - 1)
-        return _let(
-            F.coalesce(floor, F.lit(0)),
-            lambda floor: F.transform(cases, lambda x: pack(x, floor)),
-        )
-
-    cases = F.transform(places, lambda place: _let(F.get(shared["cases"], place), judge))
-    hits = F.sort_array(F.filter(_let(cases, packed), lambda one: one.isNotNull()))
-    return hits if most is None else F.slice(hits, 1, most)
+    return rows.withColumn("given", given).mapInArrow(scorer(limit, needed, most), shape)
 
 
 def _shared_hits(queries, lists, corpus, limit, needed, most=None):
-    """The scored pairs of each row, best first, or the best ``most``, as an array ``hits``.
+    """The scored pairs of each row, best first with their ``hit_rank``, or the best ``most``.
 
     Of queries that meet the shared lists, in two frames as by ``_by_repeated_id``.
     """
-    def unpacked(shared, packed):
-        place = packed.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-        value = -F.shiftright(packed, PLACE_BITS)
-        case = F.get(shared["cases"], place)
-        return F.struct(
-            case["id"].alias("case_id"),
-            case["closed_at"].alias("closed_at"),
-            (value.bitwiseAND(F.lit(1).cast("long")) == 1).alias("is_own"),
-            F.shiftright(value, 1).cast("int").alias("tenths"),
-        )
-
-    def hits(shared):
-        packed = _packed_hits(shared, limit, needed, most)
-        return F.transform(packed, lambda one: unpacked(shared, one))
-
-    def met(rows):
-        return _with_shared(rows, lists, corpus, "hits", hits)
-
     alone, sharing = _by_repeated_id(queries)
     if alone is not None:
-        alone = met(_enough_tasks(alone).select("query_id", once(names=_names(), **_feature_columns())))
+        rows = _enough_tasks(alone).select("query_id", once(names=_names(), **_feature_columns()))
+        alone = _scored_rows(rows, lists, corpus, limit, needed, most)
     if sharing is not None:
         dealt = _dealt(sharing)
-        sharing = met(_names_per_query(dealt).join(_features(dealt), "query_id"))
+        rows = _names_per_query(dealt).join(_features(dealt), "query_id")
+        sharing = _scored_rows(rows, lists, corpus, limit, needed, most)
     return alone, sharing
 
 
@@ -423,13 +378,13 @@ def _union(*frames):
 def scored_candidates(queries, corpus, limit=fv.CANDIDATE_LIMIT, needed=None, index=None):
     """Every candidate pair with its score in tenths and its ownership.
 
-    ``needed`` maps the ownership column to the tenths a pair must reach: pairs below
-    are left out, and those that no word can lift so far are spared the word test.
+    ``needed`` are the tenths that a query's own cases and others must reach: pairs below
+    are left out.
     """
     lists, small = _lists(queries, corpus, limit, index)
     if small:
         found = _union(*_shared_hits(queries, lists, corpus, limit, needed))
-        return found.select("query_id", F.inline("hits"))
+        return found.drop("hit_rank")
     return _joined_scores(queries, lists, corpus, limit, needed)
 
 
@@ -457,7 +412,8 @@ def _joined_scores(queries, lists, corpus, limit, needed):
         "text",
         once(base=base, is_own=_is_own(F.col("installation_id"))),
     )
-    least = None if needed is None else needed(F.col("is_own"))
+    # pairs that no word can lift so far are spared the word test
+    least = None if needed is None else F.when(F.col("is_own"), needed[0]).otherwise(needed[1])
     if least is not None:
         based = based.filter(F.col("base") + fv.WORD_TENTHS_MAX >= least)
     tenths = F.col("base") + sim.word_tenths(F.col("q_words"), F.col("text"))
@@ -476,8 +432,7 @@ def search(
 ):
     """Best hits per query: score, then own cases, then newest, then id."""
 
-    def needed(is_own):
-        return F.when(is_own, own_threshold * 10).otherwise(other_threshold * 10)
+    needed = own_threshold * 10, other_threshold * 10
 
     def ranked(passing):
         best = Window.partitionBy("query_id").orderBy(
@@ -488,13 +443,9 @@ def search(
     lists, small = _lists(queries, corpus, limit, index)
     if small:
         alone, sharing = _shared_hits(queries, lists, corpus, limit, needed, hits)
-        if alone is not None:
-            # one row has all hits of its query, in the order of the ranks
-            placed = alone.select("query_id", F.posexplode("hits").alias("place", "hit"))
-            alone = placed.select("query_id", (F.col("place") + 1).alias("hit_rank"), "hit.*")
         if sharing is not None:
             # the best of a query's rows are among the best of each
-            sharing = ranked(sharing.select("query_id", F.inline("hits")))
+            sharing = ranked(sharing)
         found = _union(alone, sharing)
     else:
         found = ranked(_joined_scores(queries, lists, corpus, limit, needed))
